@@ -166,7 +166,6 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
             yield pa.array(out, pa.struct([("lang", pa.string()), ("score", pa.float64())]))
 
     guess = F.arrow_udf(run, "lang string, score double")
-    run.__annotations__ = {}
     said = docs.select(*keep, guess(F.col(text_col)).alias("__said"))
     rejected = (F.col("__said.lang") == "und") | (F.col("__said.score") < model.least)
     return said.select(*keep, F.col("__said.lang").alias("lang_pred"), F.col("__said.score").alias("score"), rejected.alias("rejected"))

@@ -8,8 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from wayline.llm.common import table
+from wayline.llm.decontaminate import leaked_documents
 from wayline.llm.language import language_of_documents
 from wayline.llm.neardup import near_duplicates
+from wayline.llm.packing import pack_documents
 from wayline.llm.sharding import shard_documents
 from wayline.llm.token_counts import count_tokens
 from wayline.llm.url_filter import Rule, judge_urls
@@ -21,6 +23,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), RULES)
 
@@ -33,12 +39,16 @@ def op8_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=24, seed=20240229)
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
+
+
 def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op6_url_filter, op7_language_id, op8_feistel_shards, op10_simhash_near_duplicates)}
+    return {f.__name__: f for f in (op1_token_counts, op2_decontamination, op6_url_filter, op7_language_id, op8_feistel_shards, op9_best_fit_packing, op10_simhash_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
