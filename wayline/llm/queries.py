@@ -12,6 +12,7 @@ from wayline.llm.decontaminate import leaked_documents
 from wayline.llm.language import language_of_documents
 from wayline.llm.neardup import near_duplicates
 from wayline.llm.packing import pack_documents
+from wayline.llm.pii import personal_data
 from wayline.llm.sharding import shard_documents
 from wayline.llm.token_counts import count_tokens
 from wayline.llm.url_filter import Rule, judge_urls
@@ -27,6 +28,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), RULES)
 
@@ -48,7 +53,7 @@ def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_decontamination, op6_url_filter, op7_language_id, op8_feistel_shards, op9_best_fit_packing, op10_simhash_near_duplicates)}
+    return {f.__name__: f for f in (op1_token_counts, op2_decontamination, op5_personal_data, op6_url_filter, op7_language_id, op8_feistel_shards, op9_best_fit_packing, op10_simhash_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
