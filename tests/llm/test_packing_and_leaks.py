@@ -11,7 +11,7 @@ from wayline.llm.packing import best_fit, least_bins, pack_documents, pack_piece
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 DOCS = "doc_id long, text string"
-HARD = [None, "", " ", "Hello  World\n", "don't 'S it's", "<|endoftext|> x<|startoftext|>y", "İΣ ΑΣ ΑΣ.", "e\u0301 \u0301x  　z\x1cq\x85r", "12ab34!?", "word " * 5000, "q" * 4000, "ﬁ Å ½"]
+HARD = [None, "", " ", "Hello  World\n", "don't 'S it's", "<|endoftext|> x<|startoftext|>y", "İΣ ΑΣ ΑΣ.", "e\u0301 \u0301x  　z\x1cq\x85r", "12ab34!?", "word " * 5000, "q" * 4000, "ﬁ Å ½", "a\x01b \x01 \x01\x01 c", "THE The tHe\x00 \x02"]
 
 
 def test_pieces_equal_the_library(spark):

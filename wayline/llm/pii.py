@@ -265,7 +265,7 @@ def windows_of(text: str, width: int) -> list[tuple[int, int]]:
     return out
 
 
-def fit(texts: list[str], seed: int = 11, made: int = 1000, epochs: int = 10, batch: int = 50, rate: float = 0.01) -> Tagger:
+def fit(texts: list[str], seed: int = 11, made: int = 1000, epochs: int = 10, batch: int = 50, rate: float = 0.04) -> Tagger:
     """Adam on stretches of the given texts, labelled by the base patterns, and on made-up ones in the words of the texts."""
     rng = np.random.default_rng(seed)
     words = sorted({w for t in texts[:200] for w in t.split()[:60] if w.isalpha()})[:2000] or ["word", "and", "the", "line"]
