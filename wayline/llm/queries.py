@@ -15,6 +15,8 @@ from wayline.llm.language import language_of_documents
 from wayline.llm.neardup import near_duplicates
 from wayline.llm.packing import pack_documents
 from wayline.llm.pii import personal_data
+from wayline.llm.quotes import ORACLE_SQL as QUOTES_SQL
+from wayline.llm.quotes import without_quotes
 from wayline.llm.sharding import shard_documents
 from wayline.llm.token_counts import count_tokens
 from wayline.llm.url_filter import Rule, judge_urls
@@ -34,6 +36,10 @@ def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, top=5)
 
 
+def op4_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_quotes(table(spark, sf_dir, "conversations"))
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
@@ -59,8 +65,8 @@ def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_nn_descent, op5_personal_data, op6_url_filter, op7_language_id, op8_feistel_shards, op9_best_fit_packing, op10_simhash_near_duplicates)}
+    return {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_nn_descent, op4_quotation_linking, op5_personal_data, op6_url_filter, op7_language_id, op8_feistel_shards, op9_best_fit_packing, op10_simhash_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_quotation_linking": QUOTES_SQL}
