@@ -111,7 +111,7 @@ def frequency_trips(spark, sf_dir):
     start = 20000 + F.col("p_partkey") % 100
     rows = p.select(F.col("p_partkey").alias("trip"), start.alias("start"), (start + F.col("p_size") * 60).alias("end"), F.lit(420).cast("long").alias("headway"), F.array(F.lit(10), F.lit(310)).cast("array<bigint>").alias("deps"))
     out = pat.by_frequency(rows)
-    return out.select("trip", F.col("at").alias("start_at"), F.element_at("deps", -1).alias("last"))
+    return out.select("trip", F.col("at").alias("start_at"), F.try_element_at("deps", F.lit(-1)).alias("last"))
 
 
 @query("""WITH c AS (SELECT user_id, event_id, (hour(ts)*3600 + minute(ts)*60 + second(ts))::BIGINT AS sec FROM events),
