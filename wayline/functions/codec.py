@@ -70,3 +70,69 @@ def names_of(bits: Column, order: list[str]) -> Column:
 def fingerprint(*columns: Column, chars: int = 16) -> Column:
     """The first characters of the SHA-256 of the columns as JSON, nulls left out."""
     return F.substring(F.sha2(F.to_json(F.struct(*columns)), 256), 1, chars)
+
+
+def fnv1a(text: Column) -> Column:
+    """32-bit FNV-1a of a text's UTF-8 bytes, as a long; null stays null."""
+    data = F.encode(text, "utf-8")
+    byte = lambda i: F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 10).cast("long")
+    steps = F.when(F.octet_length(text) > 0, F.sequence(F.lit(1), F.octet_length(text))).otherwise(F.array().cast("array<int>"))
+    mixed = F.aggregate(steps, F.lit(2166136261).cast("long"), lambda h, i: (h.bitwiseXOR(byte(i)) * 16777619).bitwiseAND(4294967295))
+    return F.when(text.isNotNull(), mixed)
+
+
+def shard_of(text: Column, shards: int = 256) -> Column:
+    """The shard that a key's rows are published in: the low end of its FNV-1a."""
+    return F.pmod(fnv1a(text), F.lit(shards)).cast("int")
+
+
+def encode_journey(legs: Column) -> Column:
+    """Legs (array of trip, board, alight, dep, arr) as a short url-safe text: differences as zig-zag numbers of seven bits a byte."""
+    import base64
+
+    def run(a: pa.Array) -> pa.Array:
+        out = []
+        for row in a.to_pylist():
+            if row is None:
+                out.append(None)
+                continue
+            data, last = bytearray(), [0] * 5
+            for leg in row:
+                now = [leg[k] for k in ("trip", "board", "alight", "dep", "arr")]
+                for v in (n - p for n, p in zip(now, last, strict=True)):
+                    v = ~(v << 1) if v < 0 else v << 1
+                    while v > 127:
+                        data.append(128 | v & 127)
+                        v >>= 7
+                    data.append(v)
+                last = now
+            out.append(base64.urlsafe_b64encode(bytes(data)).decode().rstrip("="))
+        return pa.array(out, pa.string())
+
+    return F.arrow_udf(run, "string")(legs)
+
+
+def decode_journey(text: Column) -> Column:
+    import base64
+
+    names = ("trip", "board", "alight", "dep", "arr")
+    kind = pa.list_(pa.struct([(n, pa.int64()) for n in names]))
+
+    def run(a: pa.Array) -> pa.Array:
+        out = []
+        for t in a.to_pylist():
+            if t is None:
+                out.append(None)
+                continue
+            values, v, shift = [], 0, 0
+            for b in base64.urlsafe_b64decode(t + "=" * (-len(t) % 4)):
+                v |= (b & 127) << shift
+                shift += 7
+                if b < 128:
+                    values.append(~(v >> 1) if v & 1 else v >> 1)
+                    v = shift = 0
+            rows = np.array(values, np.int64).reshape(-1, 5).cumsum(axis=0).tolist()
+            out.append([dict(zip(names, r, strict=True)) for r in rows])
+        return pa.array(out, kind)
+
+    return F.arrow_udf(run, "array<struct<trip:bigint,board:bigint,alight:bigint,dep:bigint,arr:bigint>>")(text)

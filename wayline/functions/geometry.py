@@ -130,3 +130,20 @@ def mean_bearing(degrees: Column, weight: Column | None = None) -> tuple[Column,
     w = F.lit(1.0) if weight is None else weight
     x, y, n = F.sum(w * F.sin(F.radians(degrees))), F.sum(w * F.cos(F.radians(degrees))), F.sum(w)
     return F.pmod(F.degrees(F.atan2(x, y)) + 360, F.lit(360.0)), F.hypot(x, y) / n
+
+
+def midpoint(points: Column) -> Column:
+    """The place half-way along a polyline, by length; null without points."""
+
+    def run(a: pa.Array) -> pa.Array:
+        out = []
+        for p in _lines(a):
+            if not len(p):
+                out.append(None)
+                continue
+            long = np.hypot(np.diff(p[:, 0]), np.diff(p[:, 1]) * np.cos(np.radians(p[0, 0])))
+            at = np.concatenate([[0.0], long.cumsum()])
+            out.append({"lat": float(np.interp(at[-1] / 2, at, p[:, 0])), "lon": float(np.interp(at[-1] / 2, at, p[:, 1]))})
+        return pa.array(out, pa.struct([("lat", pa.float64()), ("lon", pa.float64())]))
+
+    return F.arrow_udf(run, "lat double, lon double")(points)

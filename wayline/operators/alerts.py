@@ -47,3 +47,13 @@ def corridor(patterns: DataFrame, pairs: DataFrame, most: int = 25) -> DataFrame
     part = F.slice("stops", F.col("i") + 1, F.col("j").cast("int") + 1)
     best = met.groupBy("a", "b").agg(F.min(F.struct("j", "pattern", part.alias("stops"))).alias("x"))
     return best.select("a", "b", "x.pattern", "x.stops")
+
+STORED = "struct<version:int,id:string,title:string,line:string,lines:array<string>,stops:array<string>,valid_from:string,valid_to:string,resolved:boolean>"
+
+
+def parsed(texts: DataFrame, column: str = "value") -> DataFrame:
+    """Stored alerts (JSON text) as rows, with defaults; the first version's single ``line`` becomes the list of the second. Text that is no such JSON, or has no id, is dropped."""
+    a = texts.select(F.from_json(column, STORED).alias("a")).select("a.*").where("id is not null")
+    empty = F.array().cast("array<string>")
+    lines = F.when(F.coalesce("version", F.lit(1)) < 2, F.array_compact(F.array("line"))).otherwise(F.coalesce("lines", empty))
+    return a.select("id", F.coalesce("title", F.lit("")).alias("title"), lines.alias("lines"), F.coalesce("stops", empty).alias("stops"), F.col("valid_from").try_cast("timestamp").alias("valid_from"), F.col("valid_to").try_cast("timestamp").alias("valid_to"), F.coalesce("resolved", F.lit(False)).alias("resolved"))

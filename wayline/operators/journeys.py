@@ -101,3 +101,34 @@ def with_delays(stop_times: DataFrame, delays: DataFrame) -> DataFrame:
     """Times moved by each trip's delay; ``delay`` stays null where it is unknown, which is not on time."""
     out = stop_times.join(delays.select("trip", "delay"), "trip", "left")
     return out.withColumn("live_arr", F.col("arr") + F.coalesce("delay", F.lit(0))).withColumn("live_dep", F.col("dep") + F.coalesce("delay", F.lit(0)))
+
+
+def departure_windows(queries: DataFrame, offsets: list[int]) -> DataFrame:
+    """Queries (q, stop, dep) asked again at each offset in seconds; ``q`` stays, ``window`` tells them apart."""
+    return queries.withColumn("window", F.explode(F.array(*map(F.lit, offsets)))).withColumn("dep", F.col("dep") + F.col("window"))
+
+
+def boarded_queries(stop_times: DataFrame, riders: DataFrame) -> DataFrame:
+    """Start stops of riders (q, trip, seq) inside a moving trip: every call after theirs, at its arrival; for ``earliest_arrivals``."""
+    after = riders.select("q", "trip", F.col("seq").alias("__at"))
+    return stop_times.join(after, "trip").where(F.col("seq") > F.col("__at")).select("q", "stop", F.col("arr").alias("dep"))
+
+
+def transfer_points(changes: DataFrame, stop_times: DataFrame, walks: DataFrame, slack: int = 60) -> DataFrame:
+    """(c, off, on, wait): for each change (c, first, from_seq, second, to_seq) the place to go from one fixed trip to the other with the shortest walk, then the longest wait, then the smaller stops; ``slack`` seconds at least remain."""
+    first = changes.join(stop_times.select(F.col("trip").alias("first"), F.col("seq").alias("i"), F.col("stop").alias("off"), "arr"), "first").where("i > from_seq")
+    same = first.select("*", F.col("off").alias("on"), F.lit(0).cast("long").alias("walk"))
+    foot = first.join(walks.select(F.col("a").alias("off"), F.col("b").alias("on"), F.col("seconds").cast("long").alias("walk")), "off").select(*same.columns)
+    second = stop_times.select(F.col("trip").alias("second"), F.col("seq").alias("j"), F.col("stop").alias("on"), "dep")
+    met = same.unionByName(foot).join(second, ["second", "on"]).where("j < to_seq").withColumn("wait", F.col("dep") - F.col("arr") - F.col("walk")).where(F.col("wait") >= slack)
+    return met.groupBy("c").agg(F.min(F.struct("walk", (-F.col("wait")).alias("less"), "off", "on")).alias("x")).select("c", "x.off", "x.on", (-F.col("x.less")).alias("wait"))
+
+
+def tracked(kept: DataFrame, proposals: DataFrame) -> DataFrame:
+    """(q, decision, key): for a journey that is followed (q, key, combo, dep) and new proposals of the same columns: keep it if it is still there, else switch to the one of the same lines that leaves nearest in time, else none."""
+    p = proposals.select("q", F.col("key").alias("__k"), F.col("combo").alias("__c"), F.col("dep").alias("__d"))
+    gap = F.abs(F.col("__d") - F.col("dep"))
+    rank = F.when(F.col("__k") == F.col("key"), 0).when(F.col("__c") == F.col("combo"), 1)
+    met = kept.join(p, "q").withColumn("rank", rank).where("rank is not null").groupBy("q").agg(F.min(F.struct("rank", gap.alias("gap"), F.col("__k").alias("key"))).alias("x"))
+    out = kept.select("q").join(met, "q", "left")
+    return out.select("q", F.when(F.col("x.rank") == 0, "keep").when(F.col("x.rank") == 1, "switch").otherwise("none").alias("decision"), F.col("x.key").alias("key"))

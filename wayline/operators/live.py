@@ -81,3 +81,21 @@ def smoothed(samples: DataFrame, key: str, at: str, value: str, span: float = 15
 def fresh(samples: DataFrame, at: str, now: int, behind: int = 120, ahead: int = 15) -> DataFrame:
     """Samples no older than ``behind`` and no more than ``ahead`` seconds early; early ones count as taken now."""
     return samples.where(F.col(at).between(now - behind, now + ahead)).withColumn(at, F.least(F.col(at), F.lit(now)))
+
+
+def with_previous(matches: DataFrame, previous: DataFrame, bonus: int = 240) -> DataFrame:
+    """Matches (vehicle, trip, score, ...) whose score is less by ``bonus`` where the vehicle had that trip (vehicle, trip) before."""
+    had = previous.select("vehicle", "trip", F.lit(bonus).alias("__less"))
+    return matches.join(had, ["vehicle", "trip"], "left").withColumn("score", F.col("score") - F.coalesce("__less", F.lit(0))).drop("__less")
+
+
+def best_window(profile, deps):
+    """struct(error, start): where a run of seconds between stops fits best into a trip's departures, by the sum of absolute differences from the first of each; null if the trip is shorter."""
+    m = F.size(profile)
+
+    def error(i):
+        own = F.slice(deps, i + 1, m)
+        return F.struct(F.aggregate(F.zip_with(own, profile, lambda d, p: F.abs((d - F.get(own, F.lit(0))) - (p - F.get(profile, F.lit(0))))), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("error"), i.alias("start"))
+
+    starts = F.sequence(F.lit(0), F.size(deps) - m)
+    return F.when((m > 0) & (F.size(deps) >= m), F.array_min(F.transform(F.when(F.size(deps) >= m, starts), error)))

@@ -118,3 +118,27 @@ def composition_summary(composition: Column) -> Column:
     """struct(amenities, seats, cars) over the cars that carry seats."""
     cars = F.filter(composition["cars"], lambda c: c["seats"] > 0)
     return F.struct(F.array_sort(F.array_distinct(F.flatten(F.transform(cars, lambda c: c["amenities"])))).alias("amenities"), F.aggregate(cars, F.lit(0), lambda a, c: a + c["seats"]).alias("seats"), F.size(cars).alias("cars"))
+
+
+def platform_bearings(platforms: DataFrame, tracks: DataFrame, metres: float = 60.0, agree: float = 0.68) -> DataFrame:
+    """(stop, key, bearing): from the track to each platform (stop, key, lat, lon, layer), as the mean over the track pieces (lat1, lon1, lat2, lon2, layer) near by, weighted by their length; pieces of another layer don't count, and no bearing is told where they disagree, as with tracks on both sides."""
+    from wayline.functions.geometry import bearing, haversine, mean_bearing
+
+    a = platforms.select("stop", "key", "layer", F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"))
+    b = tracks.select("lat1", "lon1", "lat2", "lon2", F.col("layer").alias("t_layer"), ((F.col("lat1") + F.col("lat2")) / 2).alias("b_lat"), ((F.col("lon1") + F.col("lon2")) / 2).alias("b_lon"))
+    met = within_distance(a, b, metres).where(F.coalesce(F.col("layer") == F.col("t_layer"), F.lit(True)))
+    along = bearing(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
+    turn = F.pmod(bearing(F.col("b_lat"), F.col("b_lon"), F.col("a_lat"), F.col("a_lon")) - along + 540, F.lit(360.0)) - 180
+    side = F.pmod(along + F.when(turn >= 0, 90).otherwise(-90) + 360, F.lit(360.0))
+    mean, share = mean_bearing(F.col("side"), F.col("long"))
+    out = met.select("stop", "key", side.alias("side"), haversine(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")).alias("long")).groupBy("stop", "key").agg(mean.alias("bearing"), share.alias("share"))
+    return out.select("stop", "key", F.when(F.col("share") >= agree, F.col("bearing")).alias("bearing"))
+
+
+def resolved(asked: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """``asked`` (id and the key columns) with the ``stop`` of the first key, in the order given, that stands for one stop only in ``known`` (stop and the same columns); null if none does."""
+    out = asked
+    for i, k in enumerate(keys):
+        sole = known.where(F.col(k).isNotNull()).groupBy(k).agg(F.min("stop").alias(f"__s{i}"), F.max("stop").alias("__most")).where(F.col(f"__s{i}") == F.col("__most")).drop("__most")
+        out = out.join(sole, k, "left")
+    return out.select(*asked.columns, F.coalesce(*[F.col(f"__s{i}") for i in range(len(keys))]).alias("stop"))
