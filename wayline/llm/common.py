@@ -48,10 +48,9 @@ def numbered(df: DataFrame, order: list, name: str, to: str) -> tuple[DataFrame,
     """
     spark = df.sparkSession
     tie, at, part = f"__tie_{to}", f"__at_{to}", f"__part_{to}"
-    n = shuffle_partitions(spark)
     dealt = (
         df.withColumn(tie, F.monotonically_increasing_id())
-        .repartitionByRange(n, *order, F.col(tie))
+        .repartitionByRange(shuffle_partitions(spark), *order, F.col(tie))
         .sortWithinPartitions(*order, F.col(tie))
         .drop(tie)
         .withColumn(at, F.monotonically_increasing_id())
@@ -63,6 +62,7 @@ def numbered(df: DataFrame, order: list, name: str, to: str) -> tuple[DataFrame,
     total, starts = 0, {}
     for p in sorted(counts):
         starts[p], total = total, total + counts[p]
-    offsets = spark.createDataFrame(list(starts.items()) or [(0, 0)], f"{part} long, __start_{to} long")
+    rows = [F.struct(F.lit(p).cast("long").alias(part), F.lit(n).cast("long").alias(f"__start_{to}")) for p, n in starts.items() or [(0, 0)]]
+    offsets = spark.range(1).select(F.inline(F.array(*rows)))
     out = dealt.join(F.broadcast(offsets), part).withColumn(to, F.col(at) + F.col(f"__start_{to}"))
     return out.drop(part, at, f"__start_{to}"), total
