@@ -138,7 +138,7 @@ def without_quotes(messages: DataFrame, least_words: int = 3) -> DataFrame:
     rows = rows.select("conv_id", "turn", "role", "body", "quotes", F.coalesce("linked", F.lit(0)).alias("linked"), "reply_to", F.coalesce("thread", "turn").alias("thread"), F.coalesce("reply_depth", F.lit(0)).alias("reply_depth"))
     order = [F.col(c).asc_nulls_first() for c in ("conv_id", "thread", "turn", "role", "body")]
     placed, _ = numbered(rows, order, "reply-order", "__row")
-    first = placed.groupBy("conv_id").agg(F.min("__row").alias("__first")).withColumnRenamed("conv_id", "__conv")
+    first = written(placed.groupBy("conv_id").agg(F.min("__row").alias("__first")).withColumnRenamed("conv_id", "__conv"), "starts")
     placed = placed.join(first, F.col("conv_id").eqNullSafe(F.col("__conv")))
     return placed.select(*rows.columns, (F.col("__row") - F.col("__first")).alias("position"))
 
