@@ -9,20 +9,23 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayline.functions.geometry import haversine
+from wayline.operators.spatial import within_distance
 
 
 def schedule_matches(vehicles: DataFrame, stop_times: DataFrame, stops: DataFrame, metres: float = 350.0, early: int = 300, late: int = 5400) -> DataFrame:
-    """(vehicle, trip, delay, metres, score): every trip of the vehicle's route that calls within ``metres`` of it, from ``early`` seconds before to ``late`` after its time.
+    """(vehicle, trip, score, delay, metres): every trip of the vehicle's route that calls within ``metres`` of it, from ``early`` seconds before to ``late`` after its time.
 
-    Joined on route and quarter-hour buckets of time, so each vehicle meets only calls that may fit; the score is |delay| + 2 metres, small is good.
+    First the stops near each vehicle, by a grid; then their calls, by route, stop and quarter hour: a vehicle meets only calls that may fit.
+    The score is |delay| + 2 metres, small is good; of a trip's calls the best counts.
     """
-    calls = stop_times.join(stops.select("stop", "lat", "lon"), "stop").select("route", "trip", "dep", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"), F.floor(F.col("dep") / 900).alias("slot"))
-    asked = vehicles.select("*", F.explode(F.sequence(F.floor((F.col("sec") - late) / 900), F.floor((F.col("sec") + early) / 900))).alias("slot"))
-    met = asked.join(calls, ["route", "slot"]).withColumn("delay", F.col("sec") - F.col("dep")).where(F.col("delay").between(-early, late))
-    met = met.withColumn("metres", haversine(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon"))).where(F.col("metres") <= metres)
-    met = met.withColumn("score", F.abs("delay") + 2 * F.floor(F.col("metres") + 0.5).cast("long"))
-    return met.groupBy("vehicle", "trip").agg(F.min(F.struct("score", "delay", F.floor(F.col("metres") + 0.5).cast("long").alias("metres"))).alias("x")).select("vehicle", "trip", "x.score", "x.delay", "x.metres")
+    a = vehicles.select("vehicle", "route", "sec", F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"))
+    b = stops.select("stop", F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"))
+    near = within_distance(a, b, metres).select("vehicle", "route", "sec", "stop", F.floor(F.col("metres") + 0.5).alias("metres"))
+    asked = near.select("*", F.explode(F.sequence(F.floor((F.col("sec") - late) / 900), F.floor((F.col("sec") + early) / 900))).alias("slot"))
+    calls = stop_times.select("route", "stop", "trip", "dep", F.floor(F.col("dep") / 900).alias("slot"))
+    met = asked.join(calls, ["route", "stop", "slot"]).withColumn("delay", F.col("sec") - F.col("dep")).where(F.col("delay").between(-early, late))
+    met = met.withColumn("score", F.abs("delay") + 2 * F.col("metres"))
+    return met.groupBy("vehicle", "trip").agg(F.min(F.struct("score", "delay", "metres")).alias("x")).select("vehicle", "trip", "x.score", "x.delay", "x.metres")
 
 
 def one_to_one(matches: DataFrame, vehicles: DataFrame) -> DataFrame:
