@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,10 +26,15 @@ class WordIds:
     For tokenizers whose pre-tokens never hold white space, as ``pieces_of`` asks for: the ids of a text are those of
     its runs without ASCII white space, one after the other, and each run is encoded once. Runs are encoded
     many at a time with a mark between them, which is one token wherever it stands. A tokenizer that lower-cases
-    gets A-Z in lower case, so that fewer runs differ.
+    gets A-Z in lower case, so that fewer runs differ. Where the tokenizer is a byte-level BPE that parts letters, single digits
+    and other marks, as a probe shows, runs of plain letters, digits and marks are parted here and each part goes to the
+    model alone, without the library's normalizing.
     """
 
     MARK = "\x01"
+    PLAIN = re.compile(r"[a-zß-öø-ÿ0-9!-&(-;=-@\[-`{}~]+")
+    PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+    PROBE = ["word", "été", "größe", "a1b22c", "des.%%%", "(x),", "end.", "##", "2024-01-31", "ß!?", "x@y.com", "ÿø=*"]
 
     def __init__(self, path: str, cache_entries: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -41,12 +47,27 @@ class WordIds:
         self.lowers = not added and "Lowercase" in [n.get("type") for n in normal.get("normalizers", [normal])]
         mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
+        own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        rest = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(own))}
+        self.byte = {b: chr(b) for b in own} | rest
         self.clear()
+        self.parted = self.lowers and spec["model"]["type"] == "BPE" and all(self._parted(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in self.PROBE)
 
     def clear(self) -> None:
         self.at: dict[bytes, int] = {}
         self.size, self.begin, self.flat = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
         self.used = 0
+        self.parts: dict[str, list[int]] = {}
+
+    def _parted(self, word: str) -> list[int]:
+        """Ids of a plain run, part by part."""
+        out, known = [], self.parts
+        for p in self.PARTS.findall(word):
+            ids = known.get(p)
+            if ids is None:
+                ids = known[p] = [t.id for t in self.tokenizer.model.tokenize(p if p.isascii() else "".join(map(self.byte.__getitem__, p.encode())))]
+            out += ids
+        return out
 
     def _encode(self, words: list[str]) -> list[np.ndarray]:
         """Ids of each run, by one call for all of them."""
@@ -57,19 +78,26 @@ class WordIds:
         return np.split(np.delete(ids, at), at - np.arange(len(at)))
 
     def _learn(self, new: list[bytes]) -> None:
-        plain, odd = [w for w in new if b"\x01" not in w], [w for w in new if b"\x01" in w]
-        for part in [plain[i : i + 2000] for i in range(0, len(plain), 2000)] + [odd] * bool(odd):
-            ids = self._encode([w.decode() for w in part])
-            n, k = np.array(list(map(len, ids)), np.int64), len(self.at)
-            joined = np.concatenate(ids)
-            while len(self.size) < k + len(part):
-                self.size, self.begin = np.resize(self.size, 2 * len(self.size)), np.resize(self.begin, 2 * len(self.begin))
-            while len(self.flat) < self.used + len(joined):
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
-            self.size[k : k + len(part)], self.begin[k : k + len(part)] = n, self.used + np.cumsum(n) - n
-            self.flat[self.used : self.used + len(joined)] = joined
-            self.used += len(joined)
-            self.at.update(zip(part, range(k, k + len(part)), strict=True))
+        words = [w.decode() for w in new]
+        fast = [self.parted and bool(self.PLAIN.fullmatch(w)) for w in words]
+        for way in (True, False):
+            part = [w for w, f in zip(words, fast, strict=True) if f == way]
+            plain, odd = [w for w in part if self.MARK not in w], [w for w in part if self.MARK in w]
+            for run in [plain[i : i + 2000] for i in range(0, len(plain), 2000)] + [odd] * bool(odd):
+                self._store(run, [np.array(self._parted(w), np.uint32) for w in run] if way else self._encode(run))
+
+    def _store(self, words: list[str], ids: list[np.ndarray]) -> None:
+        part = [w.encode() for w in words]
+        n, k = np.array(list(map(len, ids)), np.int64), len(self.at)
+        joined = np.concatenate(ids)
+        while len(self.size) < k + len(part):
+            self.size, self.begin = np.resize(self.size, 2 * len(self.size)), np.resize(self.begin, 2 * len(self.begin))
+        while len(self.flat) < self.used + len(joined):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.size[k : k + len(part)], self.begin[k : k + len(part)] = n, self.used + np.cumsum(n) - n
+        self.flat[self.used : self.used + len(joined)] = joined
+        self.used += len(joined)
+        self.at.update(zip(part, range(k, k + len(part)), strict=True))
 
     def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
         rows = [(t.encode().lower() if self.lowers else t.encode()).split() for t in texts]
