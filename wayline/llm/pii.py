@@ -383,9 +383,14 @@ def redacted(text: str, spans: list[Span]) -> str:
 
 
 def fit_on(docs: DataFrame, sample_rows: int = 400, most_bytes: int = 20_000, text_col: str = "text") -> Tagger:
-    """The tagger fitted on at most ``sample_rows`` texts with digits or @, of at most ``most_bytes`` bytes, first by hash."""
+    """The tagger fitted on about ``sample_rows`` distinct texts with digits or @, of at most ``most_bytes`` bytes, drawn by hash.
+
+    The share that is drawn follows from a count, so no more than that comes to the driver however many tasks there are; copies of a text count once.
+    """
     rows = docs.where(F.col(text_col).rlike("[0-9@]") & (F.octet_length(text_col) <= most_bytes)).select(text_col)
-    return fit([r[0] for r in rows.orderBy(F.xxhash64(text_col), text_col).limit(sample_rows).collect()])
+    keep = min(1 << 40, (sample_rows << 40) // max(1, rows.count()))
+    drawn = rows.where(F.pmod(F.xxhash64(text_col), F.lit(1 << 40)) < keep).distinct()
+    return fit(sorted(r[0] for r in drawn.collect()))
 
 
 def with_personal_data(docs: DataFrame, model: Tagger, redact: bool, text_col: str = "text") -> DataFrame:
