@@ -7,6 +7,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -84,12 +85,12 @@ class WordIds:
             part = [w for w, f in zip(words, fast, strict=True) if f == way]
             plain, odd = [w for w in part if self.MARK not in w], [w for w in part if self.MARK in w]
             for run in [plain[i : i + 2000] for i in range(0, len(plain), 2000)] + [odd] * bool(odd):
-                self._store(run, [np.array(self._parted(w), np.uint32) for w in run] if way else self._encode(run))
+                self._store(run, list(map(self._parted, run)) if way else self._encode(run))
 
-    def _store(self, words: list[str], ids: list[np.ndarray]) -> None:
+    def _store(self, words: list[str], ids: list) -> None:
         part = [w.encode() for w in words]
         n, k = np.array(list(map(len, ids)), np.int64), len(self.at)
-        joined = np.concatenate(ids)
+        joined = np.fromiter(chain.from_iterable(ids), np.uint32, int(n.sum()))
         while len(self.size) < k + len(part):
             self.size, self.begin = np.resize(self.size, 2 * len(self.size)), np.resize(self.begin, 2 * len(self.begin))
         while len(self.flat) < self.used + len(joined):
