@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
+from wayline.llm import near_copies
 from wayline.llm.near_copies import nearest_tree, pairs_of_run, without_copies
 
 
@@ -98,3 +99,45 @@ def test_runs():
     got = set(map(tuple, pairs_of_run(key, check, 2).tolist()))
     assert (3, 1) in got and (1, 0) in got and (255, 0) not in got
     assert {b for e in got for b in e} >= set(range(12))
+
+
+def stretched(rng, base, share, at=None):
+    """``base`` with one stretch of new words."""
+    k = int(len(base) * share)
+    at = int(rng.integers(4, len(base) - k - 4)) if at is None else at
+    return [*base[:at], *(f"n{i}" for i in rng.integers(0, 1 << 40, k)), *base[at + k :]]
+
+
+def test_links_do_not_depend_on_the_tree(spark):
+    rng = np.random.default_rng(8)
+    base = [f"b{i}" for i in range(400)]
+    rows = [(i, " ".join(stretched(rng, base, rng.uniform(0.06, 0.17)))) for i in range(60)]
+    got = sorted(r[0] for r in without_copies(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").collect())
+    assert got == groups(rows)
+
+
+def test_equal_check_words(spark):
+    """Texts of the same two-word shingles: the links that the least name does not have."""
+    words = [f"v{i}" for i in range(5)]
+    rng, rows = np.random.default_rng(1), []
+    de_bruijn = [f"{a} {b}" for a in words for b in words]
+    for i in range(12):
+        parts = [de_bruijn[k] for k in rng.permutation(25)]
+        text = " ".join(parts * 2)
+        rows += [(2 * i, text), (2 * i + 1, text + " " + " ".join(parts[:3]))]
+    got = sorted(r[0] for r in without_copies(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").collect())
+    assert got == groups(rows)
+
+
+def test_rounds_reach_every_pair():
+    rng = np.random.default_rng(3)
+    key, check, name = np.repeat([1, 2], 40), rng.integers(0, 1 << 12, 80), rng.permutation(80)
+    want = {(max(name[i], name[j]), min(name[i], name[j])) for k in (0, 40) for i in range(k, k + 40) for j in range(k, i) if int(check[i] ^ check[j]).bit_count() <= 5}
+    got, begin, end, more = set(), 0, 2, True
+    while more:
+        e, more = near_copies.ranked_pairs(key, check, name, name, 5, begin, end)
+        got |= set(map(tuple, e.tolist()))
+        begin, end = end, end * 8
+    assert got == want
+    e, rest = near_copies.spanned(key, check, name, 5)
+    assert set(map(tuple, e.tolist())) <= want and set(name[rest]) >= {x for p in want - set(map(tuple, e.tolist())) for x in p}

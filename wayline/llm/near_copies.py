@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -98,17 +98,21 @@ def fuzzy_keys(f0: np.ndarray, f1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def key_rows(nodes: DataFrame) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            check, f0, f1 = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            n, check, f0, f1 = (c.to_numpy(zero_copy_only=False) for c in b.columns)
             for i in range(0, len(check), 512):
                 key, at = fuzzy_keys(f0[i : i + 512], f1[i : i + 512])
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(check[i : i + 512][at])], names=["key", "check"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(check[i : i + 512][at]), pa.array(n[i : i + 512][at])], names=["key", "check", "n"])
 
-    return nodes.select("check", "f0", "f1").mapInArrow(emit, "key long, check long")
+    return nodes.select("n", "check", "f0", "f1").mapInArrow(emit, "key long, check long, n long")
 
 
-def nearest_tree(check: np.ndarray, radius: int) -> np.ndarray:
-    """Edges of a least spanning forest of distinct words by Hamming distance, up to ``radius`` (Prim's rule, one row at a time)."""
-    x = np.unique(check).view(np.uint64)
+def nearest_tree(check: np.ndarray, radius: int, name: np.ndarray | None = None) -> np.ndarray:
+    """Edges, as names, of a least spanning forest of words by Hamming distance, up to ``radius`` (Prim's rule, one row at a time).
+
+    Without names a word is its own, and equal ones are one.
+    """
+    x = (np.unique(check) if name is None else check).view(np.uint64)
+    name = x.view(np.int64) if name is None else name
     if len(x) < 2:
         return np.zeros((0, 2), np.int64)
     away, link, left = np.bitwise_count(x ^ x[0]).astype(np.int16), np.zeros(len(x), np.int64), np.ones(len(x), bool)
@@ -116,63 +120,121 @@ def nearest_tree(check: np.ndarray, radius: int) -> np.ndarray:
     for _ in range(len(x) - 1):
         k = int(away.argmin())
         if away[k] <= radius:
-            out.append((x[k], x[link[k]]))
+            out.append((name[k], name[link[k]]))
         left[k], away[k] = False, 999
         d = np.bitwise_count(x ^ x[k])
         closer = left & (d < away)
         away[closer], link[closer] = d[closer], k
-    return np.array(out, np.uint64).reshape(-1, 2).view(np.int64)
+    return np.array(out, np.int64).reshape(-1, 2)
 
 
-def pairs_of_run(key: np.ndarray, check: np.ndarray, radius: int, small: int = 8) -> np.ndarray:
-    """Of rows sorted by key: all near pairs of short runs, and the tree edges of long ones; distinct, larger first."""
+def pairs_of_run(key: np.ndarray, check: np.ndarray, radius: int, small: int = 8, name: np.ndarray | None = None) -> np.ndarray:
+    """Of rows sorted by key: all near pairs of short runs, and the tree edges of long ones; distinct, larger name first."""
     c, out = check.view(np.uint64), []
+    named = check if name is None else name
     begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.append(begin, len(key)))
     long_row = np.repeat(size > small, size)
     for lag in range(1, small):
         hit = np.flatnonzero((key[lag:] == key[:-lag]) & ~long_row[lag:])
-        hit = hit[(np.bitwise_count(c[hit] ^ c[hit + lag]) <= radius) & (c[hit] != c[hit + lag])]
-        out.append(np.stack([check[hit], check[hit + lag]], axis=1))
-    out += [nearest_tree(check[b : b + n], radius) for b, n in zip(begin[size > small].tolist(), size[size > small].tolist(), strict=True)]
+        hit = hit[(np.bitwise_count(c[hit] ^ c[hit + lag]) <= radius) & (named[hit] != named[hit + lag])]
+        out.append(np.stack([named[hit], named[hit + lag]], axis=1))
+    out += [nearest_tree(check[b : b + n], radius, None if name is None else name[b : b + n]) for b, n in zip(begin[size > small].tolist(), size[size > small].tolist(), strict=True)]
     e = np.concatenate(out)
     return np.unique(np.stack([e.max(axis=1), e.min(axis=1)], axis=1), axis=0)
 
 
+def spanned(key: np.ndarray, check: np.ndarray, name: np.ndarray, radius: int, small: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """``pairs_of_run``, and the positions of the rows of long runs that have near pairs besides: those in trees of three words or more."""
+    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size = np.diff(np.append(begin, len(key)))
+    short = np.repeat(size <= small, size)
+    pairs, rest = [pairs_of_run(key[short], check[short], radius, small, name[short])] if short.any() else [], [np.zeros(0, np.int64)]
+    for b, n in zip(begin[size > small].tolist(), size[size > small].tolist(), strict=True):
+        e = nearest_tree(check[b : b + n], radius, np.arange(b, b + n))
+        degree = np.bincount(e.ravel() - b, minlength=n)
+        rest.append(np.unique(e[degree[e - b].sum(axis=1) > 2]))
+        pairs.append(np.stack([np.maximum(*name[e].T), np.minimum(*name[e].T)], axis=1))
+    return np.unique(np.concatenate(pairs), axis=0), np.concatenate(rest)
+
+
+def ranked_pairs(key: np.ndarray, check: np.ndarray, name: np.ndarray, root: np.ndarray, radius: int, begin: int, end: int) -> tuple[np.ndarray, bool]:
+    """Of rows sorted by key: near pairs of unlike roots in which one is among the other's ``begin``-th to ``end``-th nearest (ties by name),
+    distinct and larger name first; and whether such pairs stand further back.
+    """
+    out, more, x = [np.zeros((0, 2), np.int64)], False, check.view(np.uint64)
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])).tolist()
+    for b, e in zip(at, [*at[1:], len(key)], strict=True):
+        if (root[b:e] == root[b]).all():
+            continue
+        for v in range(b, e):
+            d = np.bitwise_count(x[b:e] ^ x[v])
+            near = np.flatnonzero((d <= radius) & (name[b:e] != name[v]))
+            if len(near) <= begin or (root[b + near] == root[v]).all():
+                continue
+            near = b + near[np.lexsort((name[b + near], d[near]))]
+            more = more or bool((root[near[end:]] != root[v]).any())
+            near = near[begin:end]
+            near = near[root[near] != root[v]]
+            out.append(np.stack([np.maximum(name[near], name[v]), np.minimum(name[near], name[v])], axis=1))
+    return np.unique(np.concatenate(out), axis=0), more
+
+
+def by_run(rows: DataFrame, told: Callable[..., pa.RecordBatch], schema: str) -> DataFrame:
+    """``told`` of the columns of ``rows``, whole runs of a key at a time. The first column is the key."""
+    first = rows.columns[0]
+    dealt = rows.repartition(first).sortWithinPartitions(first)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            now = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
+            if len(held[0]) < 100_000:
+                continue
+            cut = int(np.searchsorted(held[0], held[0][-1]))
+            if cut:
+                yield told(*(c[:cut] for c in held))
+                held = [c[cut:] for c in held]
+        if held is not None and len(held[0]):
+            yield told(*held)
+
+    return dealt.mapInArrow(run, schema)
+
+
 def candidate_edges(nodes: DataFrame, radius: int, block: int) -> DataFrame:
-    """(a, b): check words of nodes that share a key and differ in at most ``radius`` bits, enough to span each key's groups.
+    """(a, b): names of nodes that share a key and differ in at most ``radius`` bits, enough to span each key's groups, with key and check
+    null; and (a, key, check), with b null: the rows of keys in which there are more such pairs.
 
     A key with more rows than about ``block`` (told by an even draw of one node in 64) is dealt to a grid: each pair of its blocks is one
-    group. A least forest of the whole lies in the forests of the pairs, so none of its edges is lost.
+    group. A least forest of the whole lies in the forests of the pairs, so none of its edges is lost; any two rows meet in a group.
     """
     keys = key_rows(nodes)
-    crowd = key_rows(nodes.where(F.pmod(F.xxhash64("check"), F.lit(64)) == 0)).groupBy("key").agg((F.count("*") * 64).alias("n")).where(F.col("n") > block)
-    crowd = written(crowd.select("key", F.ceil(2 * F.col("n") / block).cast("long").alias("g")), "crowded-keys")
+    crowd = key_rows(nodes.where(F.pmod(F.xxhash64("n"), F.lit(64)) == 0)).groupBy("key").agg((F.count("*") * 64).alias("size")).where(F.col("size") > block)
+    crowd = written(crowd.select("key", F.ceil(2 * F.col("size") / block).cast("long").alias("g")), "crowded-keys")
     if crowd.limit(1).count():
-        i = F.pmod(F.xxhash64("check"), F.col("g"))
+        i = F.pmod(F.xxhash64("n"), F.col("g"))
         cells = F.when(F.col("g").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("g") - 1), lambda j: F.least(i, j) * F.col("g") + F.greatest(i, j)))
-        keys = keys.join(crowd, "key", "left").select("key", "check", F.explode(cells).alias("cell")).select((F.col("key") + F.col("cell") * (1 << 32)).alias("key"), "check")
-    dealt = keys.repartition("key").sortWithinPartitions("key")
+        keys = keys.join(crowd, "key", "left").select("key", "check", "n", F.explode(cells).alias("cell")).select((F.col("key") + F.col("cell") * (1 << 32)).alias("key"), "check", "n")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, held = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def told(key: np.ndarray, check: np.ndarray, name: np.ndarray) -> pa.RecordBatch:
+        e, rest = spanned(key, check, name, radius)
+        pair = np.arange(len(e) + len(rest)) < len(e)
+        cols = [(np.concatenate([e[:, 0], name[rest]]), None), (np.concatenate([e[:, 1], name[rest]]), ~pair)]
+        cols += [(np.concatenate([e[:, 0], c[rest]]), pair) for c in (key, check)]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64(), mask=m) for x, m in cols], names=["a", "b", "key", "check"])
 
-        def told(key: np.ndarray, check: np.ndarray) -> pa.RecordBatch:
-            e = pairs_of_run(key, check, radius) if len(key) > 1 else np.zeros((0, 2), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(e[:, 0])), pa.array(np.ascontiguousarray(e[:, 1]))], names=["a", "b"])
+    return by_run(keys, told, "a long, b long, key long, check long")
 
-        for b in batches:
-            key, check = (np.concatenate([x, c.to_numpy(zero_copy_only=False)]) for x, c in zip((held_key, held), b.columns, strict=True))
-            if len(key) < 100_000 and len(b) or not len(key):
-                held_key, held = key, check
-                continue
-            cut = int(np.searchsorted(key, key[-1]))
-            held_key, held = key[cut:], check[cut:]
-            if cut:
-                yield told(key[:cut], check[:cut])
-        yield told(held_key, held)
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+def further_edges(rows: DataFrame, radius: int, begin: int, end: int) -> DataFrame:
+    """(a, b) of ``ranked_pairs`` over rows (key, check, n, root); a row of nulls says that more stand further back."""
+
+    def told(*cols: np.ndarray) -> pa.RecordBatch:
+        e, more = ranked_pairs(*cols, radius, begin, end)
+        return pa.RecordBatch.from_arrays([pa.array([*e[:, i].tolist(), *[None] * more], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return by_run(rows, told, "a long, b long")
 
 
 def overlap(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -200,28 +262,51 @@ def shingle_sets(rows: DataFrame, words: int) -> DataFrame:
     return rows.select("n", "text").mapInArrow(run, "n long, s array<long>")
 
 
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles have a Jaccard similarity of at least ``least``."""
+    both = pairs.join(sets.select(F.col("n").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("n").alias("b"), F.col("s").alias("sb")), "b")
+    return both.where(F.arrow_udf(overlap, "double")("sa", "sb") >= least).select("a", "b")
+
+
+def roots_of(seen: DataFrame, pairs: DataFrame, sets: DataFrame, least: float, radius: int) -> DataFrame:
+    """(n, root) of all verified links among candidates: the forests' edges first, then round by round what they have left apart.
+
+    A round takes, of each node and key, the next nearest partners that are not yet in its group, eight times as many as the last. It ends when all
+    candidates are in one group or have been verified, so no link depends on the choice of edges.
+    """
+    roots = components(written(verified(pairs, sets, least), "copy-links"))
+    rest, tried, begin, end = seen.where("key is not null").select("key", "check", F.col("a").alias("n")), pairs, 0, 8
+    if not rest.limit(1).count():
+        return roots.withColumnRenamed("a", "n")
+    while True:
+        rows = rest.join(roots.withColumnRenamed("a", "n"), "n", "left").select("key", "check", "n", F.coalesce("root", "n").alias("root"))
+        told = written(further_edges(rows, radius, begin, end), "copy-further")
+        fresh = written(told.where("b is not null").distinct().join(tried, ["a", "b"], "left_anti"), "copy-fresh")
+        if fresh.limit(1).count():
+            known = roots.select("a", F.col("root").alias("b")).unionByName(verified(fresh, sets, least))
+            roots, tried = components(written(known, "copy-links")), tried.unionByName(fresh)
+        if not told.where("b is null").limit(1).count():
+            return roots.withColumnRenamed("a", "n")
+        begin, end = end, end * 8
+
+
 def duplicate_groups(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int = 14, block: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, h, root, first): a row per document row; ``first`` marks those of the group's kept text, of which the row of the least id stays.
 
     Texts of equal words are one node. Nodes that share a Golay key of two segments and whose check words are within ``radius`` bits of 64 are
-    candidates; of each key's candidates a least spanning forest is verified by the exact Jaccard similarity of shingles of
+    candidates; all of them that verified links do not tie together anyway are verified by the exact Jaccard similarity of shingles of
     ``words`` words, at least ``least``. Links found this way are always true; a pair at similarity 0.8 with edits
     spread over the text shares a key with probability above 0.99, one with all edits in one stretch with about 0.92.
     """
     rows = written(prints(docs, id_col, text_col), "copy-prints")
     nodes = written(rows.groupBy("n").agg(F.min("id").alias("rep"), F.first("check").alias("check"), F.first("f0").alias("f0"), F.first("f1").alias("f1")), "copy-nodes")
-    leads = written(nodes.groupBy("check").agg(F.min("n").alias("lead"), F.count("*").alias("same")), "copy-leads")
-    edges = written(candidate_edges(nodes, radius, block), "copy-edges")
-    named = edges.join(leads.select(F.col("check").alias("a"), F.col("lead").alias("na")), "a").join(leads.select(F.col("check").alias("b"), F.col("lead").alias("nb")), "b").select("na", "nb")
-    alike = nodes.join(leads.where("same > 1"), "check").where("n <> lead").select(F.col("n").alias("na"), F.col("lead").alias("nb"))
-    pairs = written(named.unionByName(alike), "copy-pairs")
-    ends = pairs.select(F.col("na").alias("n")).unionByName(pairs.select(F.col("nb").alias("n"))).distinct()
+    seen = written(candidate_edges(nodes, radius, block), "copy-edges")
+    pairs = written(seen.where("key is null").select("a", "b").distinct(), "copy-pairs")
+    ends = pairs.select(F.col("a").alias("n")).unionByName(pairs.select(F.col("b").alias("n"))).distinct()
     wanted = written(nodes.join(ends, "n").select("n", "rep"), "copy-ends").join(rows.select("id", "h", "n"), "n").where(F.col("id").eqNullSafe(F.col("rep"))).groupBy("n").agg(F.min(F.struct("id", "h")).alias("x")).select("n", "x.*")
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).join(wanted, ["id", "h"])
     sets = written(shingle_sets(texts, words).dropDuplicates(["n"]), "copy-sets")
-    both = pairs.join(sets.select(F.col("n").alias("na"), F.col("s").alias("sa")), "na").join(sets.select(F.col("n").alias("nb"), F.col("s").alias("sb")), "nb")
-    links = written(both.where(F.arrow_udf(overlap, "double")("sa", "sb") >= least).select(F.col("na").alias("a"), F.col("nb").alias("b")), "copy-links")
-    roots = components(links).withColumnRenamed("a", "n")
+    roots = roots_of(seen, pairs, sets, least, radius)
     rooted = written(nodes.select("n", "rep").join(roots, "n", "left").withColumn("root", F.coalesce("root", "n")), "copy-roots")
     kept = rooted.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "n")).alias("k")).select(F.col("k.n").alias("n"), F.col("k.rep").alias("kept_id"), F.lit(True).alias("kept"))
     decided = written(rooted.select("n", "root").join(kept, "n", "left"), "copy-decided")
