@@ -108,6 +108,15 @@ def stretched(rng, base, share, at=None):
     return [*base[:at], *(f"n{i}" for i in rng.integers(0, 1 << 40, k)), *base[at + k :]]
 
 
+@pytest.mark.parametrize("leaves", [30, 100])
+def test_star_is_one_group(spark, leaves):
+    rng = np.random.default_rng(leaves)
+    base = [f"b{i}" for i in range(400)]
+    rows = [(0, " ".join(base))] + [(i, " ".join(stretched(rng, base, 0.085))) for i in range(1, leaves + 1)]
+    out = without_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r[0] for r in out] == groups(rows) == [0]
+
+
 def test_links_do_not_depend_on_the_tree(spark):
     rng = np.random.default_rng(8)
     base = [f"b{i}" for i in range(400)]
@@ -141,3 +150,22 @@ def test_rounds_reach_every_pair():
     assert got == want
     e, rest = near_copies.spanned(key, check, name, 5)
     assert set(map(tuple, e.tolist())) <= want and set(name[rest]) >= {x for p in want - set(map(tuple, e.tolist())) for x in p}
+
+
+@pytest.mark.parametrize("kind", ["replaced", "removed", "added"])
+def test_stretch_at_least_similarity(kind):
+    """Pairs at about 0.8 with one stretch changed meet: a key in common, and the check words within the radius."""
+    rng, missed = np.random.default_rng(4), 0
+    for _ in range(300):
+        base = [f"w{i}" for i in rng.integers(0, 50000, int(rng.integers(200, 300)))]
+        at, n = int(rng.integers(4, 120)), len(base) - 4
+        if kind == "replaced":
+            other = stretched(rng, base, (n / 9 - 4) / len(base), at)
+        elif kind == "removed":
+            other = base[:at] + base[at + int(n / 5) - 4 :]
+        else:
+            other = base[:at] + [f"n{i}" for i in rng.integers(0, 1 << 40, int(n / 4) - 4)] + base[at:]
+        a, b = near_copies.print_of(" ".join(base)), near_copies.print_of(" ".join(other))
+        keys, of = near_copies.fuzzy_keys([a[2], b[2]])
+        missed += not np.intersect1d(keys[of == 0], keys[of == 1]).size or ((a[1] ^ b[1]) & (1 << 64) - 1).bit_count() > 20
+    assert missed <= 3

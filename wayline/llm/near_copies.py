@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -16,11 +15,11 @@ from wayline.llm.common import written
 from wayline.llm.components import components
 from wayline.llm.neardup import codewords
 
-#: Segments of 23 bits in the two fingerprint words that keys are made of; the third word only checks.
-SEGMENTS = [(0, 0), (0, 23), (1, 0), (1, 23), (1, 41)]
+#: Keys of a fingerprint: each of two segments of 23 bits that no other key reads. Words of 64 bits for them; one word more only checks.
+KEYS, WORDS = 11, 8
 #: Per Python worker: hashes of words seen; only a cache, emptied when full.
 _WORDS: dict[bytes, int] = {}
-PRINT = "n long, check long, f0 long, f1 long"
+PRINT = "n long, check long, f binary"
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -51,44 +50,49 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def print_of(text: str | None, run: int = 1 << 15) -> tuple[int, int, int, int]:
-    """(name of the word sequence, check word, key words 0 and 1): a 192-bit SimHash of the distinct two-word shingles."""
+def print_of(text: str | None, run: int = 255 * 32) -> tuple[int, int, bytes]:
+    """(name of the word sequence, check word, key words): a SimHash of 64 bits for each word, of the distinct two-word shingles."""
     w = words_of(text)
     name = int.from_bytes(hashlib.md5(b" ".join(w)).digest()[:8], "little", signed=True)
     if not w:
-        return name, 0, 0, 0
+        return name, 0, bytes(8 * WORDS)
     s = shingle_set(w, 2)
-    ones = np.zeros(192, np.int64)
+    ones = np.zeros(64 * (WORDS + 1), np.int64)
     for i in range(0, len(s), run):
-        x = np.stack([mixed(s[i : i + run] ^ np.uint64(salt)) for salt in (1, 2, 3)], axis=1)
-        ones += np.unpackbits(x.view(np.uint8).reshape(-1, 24), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-    return name, *np.packbits(ones * 2 > len(s), bitorder="little").view(np.int64).tolist()
+        x = np.stack([mixed(s[i : i + run] ^ np.uint64(salt)) for salt in range(1, WORDS + 2)], axis=1)
+        bits = np.unpackbits(x.view(np.uint8).reshape(len(x), -1), axis=1, bitorder="little")
+        for j in range(0, len(bits), 255):
+            ones += bits[j : j + 255].sum(axis=0, dtype=np.uint8)
+    made = np.packbits(ones * 2 > len(s), bitorder="little").tobytes()
+    return name, int.from_bytes(made[:8], "little", signed=True), made[8:]
 
 
 def prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, h, n, check, f0, f1): h is a plain hash of the text, by which rows are found again; n names its sequence of words."""
+    """(id, h, n, check, f): h is a plain hash of the text, by which rows are found again; n names its sequence of words."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = np.array([print_of(t.as_py()) for t in b.column(2)], np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(np.ascontiguousarray(p[:, i])) for i in range(4))], names=["id", "h", "n", "check", "f0", "f1"])
+            n, check, f = zip(*(print_of(t.as_py()) for t in b.column(2)), strict=True) if len(b) else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(check, pa.int64()), pa.array(f, pa.binary())], names=["id", "h", "n", "check", "f"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"id {kind}, h long, {PRINT}")
 
 
-def fuzzy_keys(f0: np.ndarray, f1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of fingerprints with each one's position: for two of the five segments, a codeword within 4 bits of each."""
-    f, mask = (f0.view(np.uint64), f1.view(np.uint64)), np.uint64((1 << 23) - 1)
+def fuzzy_keys(f: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of fingerprints with each one's position: for each two segments, a codeword within 4 bits of each."""
+    bits = np.unpackbits(np.frombuffer(b"".join(f), np.uint8).reshape(-1, 8 * WORDS), axis=1, bitorder="little")
+    segments = bits[:, : 46 * KEYS].reshape(-1, 2 * KEYS, 23) @ (1 << np.arange(23))
     codes = []
-    for word, shift in SEGMENTS:
-        c = np.sort(codewords(((f[word] >> np.uint64(shift)) & mask).astype(np.int64)), axis=1)
+    for s in range(2 * KEYS):
+        c = np.sort(codewords(segments[:, s]), axis=1)
         new = np.ones(c.shape, bool)
         new[:, 1:] = c[:, 1:] != c[:, :-1]
         codes.append((c, new))
     keys, at = [], []
-    for t, ((a, new_a), (b, new_b)) in enumerate(combinations(codes, 2)):
+    for t in range(KEYS):
+        (a, new_a), (b, new_b) = codes[2 * t], codes[2 * t + 1]
         row, i, j = np.nonzero(new_a[:, :, None] & new_b[:, None, :])
         keys.append((t << 24) | (a[row, i] << 12) | b[row, j])
         at.append(row)
@@ -98,12 +102,12 @@ def fuzzy_keys(f0: np.ndarray, f1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def key_rows(nodes: DataFrame) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, check, f0, f1 = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            n, check, f = (c.to_numpy(zero_copy_only=False) for c in b.columns)
             for i in range(0, len(check), 512):
-                key, at = fuzzy_keys(f0[i : i + 512], f1[i : i + 512])
+                key, at = fuzzy_keys(f[i : i + 512].tolist())
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(check[i : i + 512][at]), pa.array(n[i : i + 512][at])], names=["key", "check", "n"])
 
-    return nodes.select("n", "check", "f0", "f1").mapInArrow(emit, "key long, check long, n long")
+    return nodes.select("n", "check", "f").mapInArrow(emit, "key long, check long, n long")
 
 
 def nearest_tree(check: np.ndarray, radius: int, name: np.ndarray | None = None) -> np.ndarray:
@@ -290,16 +294,16 @@ def roots_of(seen: DataFrame, pairs: DataFrame, sets: DataFrame, least: float, r
         begin, end = end, end * 8
 
 
-def duplicate_groups(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int = 14, block: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def duplicate_groups(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int = 20, block: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, h, root, first): a row per document row; ``first`` marks those of the group's kept text, of which the row of the least id stays.
 
     Texts of equal words are one node. Nodes that share a Golay key of two segments and whose check words are within ``radius`` bits of 64 are
     candidates; all of them that verified links do not tie together anyway are verified by the exact Jaccard similarity of shingles of
-    ``words`` words, at least ``least``. Links found this way are always true; a pair at similarity 0.8 with edits
-    spread over the text shares a key with probability above 0.99, one with all edits in one stretch with about 0.92.
+    ``words`` words, at least ``least``. Links found this way are always true; of pairs at
+    similarity 0.8 with their edits in one stretch, at most 0.7 % share no key or lie outside the radius (simulated), of pairs with spread edits none of 1,000.
     """
     rows = written(prints(docs, id_col, text_col), "copy-prints")
-    nodes = written(rows.groupBy("n").agg(F.min("id").alias("rep"), F.first("check").alias("check"), F.first("f0").alias("f0"), F.first("f1").alias("f1")), "copy-nodes")
+    nodes = written(rows.groupBy("n").agg(F.min("id").alias("rep"), F.first("check").alias("check"), F.first("f").alias("f")), "copy-nodes")
     seen = written(candidate_edges(nodes, radius, block), "copy-edges")
     pairs = written(seen.where("key is null").select("a", "b").distinct(), "copy-pairs")
     ends = pairs.select(F.col("a").alias("n")).unionByName(pairs.select(F.col("b").alias("n"))).distinct()
