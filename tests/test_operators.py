@@ -149,3 +149,8 @@ def test_skyline(spark):
     assert got == want
 
 
+def test_joined_itineraries_wait_for_the_next_morning(spark):
+    first = spark.createDataFrame([(1, 7, 28800, 32400, 0), (2, 7, 79200, 82800, 1), (3, 8, 0, 600, 0)], "q long, hub long, dep long, arr long, transfers long")
+    second = spark.createDataFrame([(7, 61200, 64800, 0), (7, 64000, 64500, 2), (7, 32500, 33000, 0), (9, 1000, 2000, 0)], "hub long, dep2 long, arr2 long, transfers2 long")
+    assert sorted(map(tuple, journeys.joined_itineraries(first, second).collect())) == [(1, 7, 28800, 64500, 3), (2, 7, 79200, 86400 + 33000, 2)]
+    assert sorted(map(tuple, journeys.joined_itineraries(first, second, wrap=None).collect())) == [(1, 7, 28800, 64500, 3)]

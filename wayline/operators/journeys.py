@@ -84,16 +84,22 @@ def skyline(journeys: DataFrame, key: str = "q") -> DataFrame:
     return own.select(*journeys.columns)
 
 
-def joined_itineraries(first: DataFrame, second: DataFrame, buffer: int = 300) -> DataFrame:
+def joined_itineraries(first: DataFrame, second: DataFrame, buffer: int = 300, wrap: int | None = 86400) -> DataFrame:
     """Journeys of two networks put together at a common place: (q, dep, arr, transfers) of the earliest arrival for each first part.
 
-    ``first``: (q, hub, dep, arr, transfers), ``second``: (hub, dep2, arr2, transfers2). Joined on hub and hour of departure within six hours.
+    ``first``: (q, hub, dep, arr, transfers), ``second``: (hub, dep2, arr2, transfers2). The wait for the second part has no bound: one window
+    over both sides, ordered by time, carries the best of all later departures back to each first part. ``wrap``: seconds of a day after which
+    the second part runs again; null: it runs once.
     """
-    hours = F.sequence(F.floor((F.col("arr") + buffer) / 3600), F.floor((F.col("arr") + buffer) / 3600) + 6)
-    a = first.select("*", F.explode(hours).alias("__h"))
-    b = second.withColumn("__h", F.floor(F.col("dep2") / 3600))
-    met = a.join(b, ["hub", "__h"]).where(F.col("dep2") >= F.col("arr") + buffer)
-    best = met.groupBy("q", "hub", "dep", "arr", "transfers").agg(F.min(F.struct("arr2", "dep2", "transfers2")).alias("x"))
+    onward = second.select("hub", "dep2", "arr2", "transfers2")
+    if wrap is not None:
+        onward = onward.unionByName(onward.select("hub", (F.col("dep2") + wrap).alias("dep2"), (F.col("arr2") + wrap).alias("arr2"), "transfers2"))
+    offers = onward.groupBy("hub", F.col("dep2").alias("__at")).agg(F.min(F.struct("arr2", "dep2", "transfers2")).alias("__offer"))
+    asked = first.select("hub", (F.col("arr") + buffer).alias("__at")).distinct()
+    met = offers.select("hub", "__at", "__offer").unionByName(asked.withColumn("__offer", F.lit(None).cast(offers.schema["__offer"].dataType)))
+    later = Window.partitionBy("hub").orderBy(F.desc("__at")).rangeBetween(Window.unboundedPreceding, 0)
+    found = met.select("hub", "__at", F.min("__offer").over(later).alias("x"), F.col("__offer").isNull().alias("__asks")).where("__asks and x is not null").drop("__asks")
+    best = first.select("q", "hub", "dep", "arr", "transfers").distinct().withColumn("__at", F.col("arr") + buffer).join(found, ["hub", "__at"])
     return best.select("q", "hub", "dep", F.col("x.arr2").alias("arr"), (F.col("transfers") + 1 + F.col("x.transfers2")).alias("transfers"))
 
 

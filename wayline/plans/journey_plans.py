@@ -77,7 +77,7 @@ def joined_itineraries(spark, sf_dir):
     j = _journeys(spark, sf_dir)
     a = j.where("id % 2 = 0").select("q", (F.col("id") % 5).alias("hub"), (F.col("dep") * 60).alias("dep"), (F.col("arr") * 60).alias("arr"), "transfers")
     b = j.where("id % 2 = 1").select((F.col("id") % 5).alias("hub"), (F.col("dep") * 60).alias("dep2"), (F.col("arr") * 60).alias("arr2"), F.col("transfers").alias("transfers2"))
-    return journeys.joined_itineraries(a, b).distinct()
+    return journeys.joined_itineraries(a, b, wrap=None).distinct()
 
 
 @query(t.sql("""SELECT a.trip, a.route, a.dep, b.arr, b.arr - a.dep AS ride FROM stop_times a JOIN stop_times b ON a.trip = b.trip AND a.seq < b.seq WHERE a.service = 2 AND a.stop IN (5, 12, 40) AND b.stop IN (19, 26, 54) AND a.dep >= 28800
