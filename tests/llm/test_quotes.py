@@ -73,3 +73,16 @@ def test_chain_of_replies(spark, n):
     rows = [(7, i, "user", (f"> {said[i - 1]}\n" if i else "") + said[i]) for i in range(n)]
     out = sorted(without_quotes(frame(spark, rows)).collect(), key=lambda r: r["turn"])
     assert [r["reply_depth"] for r in out] == list(range(n)) and {r["thread"] for r in out} == {0}
+
+
+def test_whole_passage_goes_to_the_message_that_has_it(spark):
+    stock, own = "We thank you for your letter of today.", "Trams run late."
+    rows = [(1, 0, "user", stock), (1, 1, "user", "Nothing of the kind here."), (1, 2, "user", f"{stock} {own}"), (1, 3, "user", f"> {stock} {own}\nWhy is that so?")]
+    out = {r["turn"]: r for r in without_quotes(frame(spark, rows)).collect()}
+    assert (out[3]["reply_to"], out[3]["thread"], out[3]["reply_depth"]) == (2, 2, 1)
+
+
+def test_quoters_own_later_copy_hides_no_original(spark):
+    said = "The bridge at the mill is closed."
+    rows = [(1, 0, "user", f"> {said}\nIs it true?"), (1, 1, "user", said), (2, 0, "user", said)]
+    assert {(r["conv_id"], r["turn"]): r["linked"] for r in without_quotes(frame(spark, rows)).collect()} == {(1, 0): 1, (1, 1): 0, (2, 0): 0}

@@ -14,6 +14,8 @@ MARK = "\u0001"
 ATTRIBUTION = r"(?i)\b(wrote|writes|said)\s*:$"
 SENTENCE_END = r"(?<=[.!?])\s+"
 NOT_WORDS = r"[^\p{L}\p{N}]+"
+#: Letters of scripts that put no spaces between words: two count as a word.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -60,15 +62,15 @@ def passages_of(lines: Column) -> Column:
 
 
 def pieces_of(passages: Column, least_words: int) -> Column:
-    """Of each passage its sentences, normalised (lower case, words and digits only) and hashed: array of (passage, depth, h1, h2, chars).
+    """Of each passage its sentences, normalised (lower case, words and digits only) and hashed: array of (passage, depth, h1, h2, chars, telling).
 
-    Sentences of fewer than ``least_words`` words link nothing: they are common to messages that have no bond.
+    Sentences of fewer than ``least_words`` words are not telling: they are common to messages that have no bond.
     """
 
     def sentences(p: Column, i: Column) -> Column:
         norm = F.transform(F.split(p["text"], SENTENCE_END), lambda s: F.trim(F.regexp_replace(F.lower(s), NOT_WORDS, " ")))
-        norm = F.filter(norm, lambda s: (s != "") & (F.size(F.split(s, " ")) >= least_words))
-        return F.transform(norm, lambda s: F.struct(i.alias("passage"), p["depth"].alias("depth"), F.xxhash64(s).alias("h1"), F.xxhash64(F.lit(1), s).alias("h2"), F.length(s).alias("chars")))
+        telling = lambda s: (F.size(F.split(s, " ")) >= least_words) | (F.regexp_count(s, F.lit(UNSPACED)) >= 2 * least_words)
+        return F.transform(F.filter(norm, lambda s: (s != "") & (F.size(F.split(s, " ")) >= least_words)), lambda s: F.struct(i.alias("passage"), p["depth"].alias("depth"), F.xxhash64(s).alias("h1"), F.xxhash64(F.lit(1), s).alias("h2"), F.length(s).alias("chars"), telling(s).alias("telling")))
 
     return F.flatten(F.transform(passages, sentences))
 
@@ -78,23 +80,32 @@ def quote_links(read: DataFrame, least_words: int = 3) -> DataFrame:
 
     ``read``: a written table (conv_id, turn, passages). A passage comes from the earlier message of the same conversation with most
     characters of its sentences outside quotes (ties: the earliest); where there is none, from the first message
-    of another conversation, in order of (conv_id, turn), by the same count. Sentences of the originals are brought
-    down to the first that has each before the join, so a sentence that a third of the messages share costs one row.
+    of another conversation, in order of (conv_id, turn), by the same count, of sentences of ``least_words`` words or more. Within a conversation
+    all earlier holders count: those that hold the same quoted sentences are brought down to the earliest before the join. For other
+    conversations a sentence has its holders in the two least conversations, one of which is not the quoter's.
     Messages with a null conv_id or turn link to nothing.
     """
     pieces = read.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode(pieces_of(F.col("passages"), least_words)).alias("p")).select("conv_id", "turn", "p.*")
     quoted = written(pieces.where("depth > 0"), "quoted")
     asked = written(quoted.select("h1", "h2").distinct(), "asked")
-    sources = pieces.where("depth = 0").select("conv_id", "turn", "h1", "h2").join(asked, ["h1", "h2"], "left_semi")
-    within = sources.groupBy("h1", "h2", "conv_id").agg(F.min("turn").alias("own_turn"))
-    across = within.groupBy("h1", "h2").agg(F.min(F.struct("conv_id", "own_turn")).alias("first"))
-    met = quoted.join(within, ["h1", "h2", "conv_id"], "left").join(across, ["h1", "h2"], "left")
-    near = F.col("own_turn") < F.col("turn")
-    far = F.col("first.conv_id") != F.col("conv_id")
-    source = F.when(near, F.struct(F.lit(0).alias("far"), F.col("conv_id").alias("c"), F.col("own_turn").alias("t"))).when(far, F.struct(F.lit(1).alias("far"), F.col("first.conv_id").alias("c"), F.col("first.own_turn").alias("t")))
-    counted = met.withColumn("s", source).where("s is not null").groupBy("conv_id", "turn", "passage", "depth", "s").agg(F.sum("chars").alias("chars"))
-    best = counted.groupBy("conv_id", "turn", "passage", "depth").agg(F.min(F.struct(F.col("s.far").alias("far"), (-F.col("chars")).alias("less"), F.col("s.c").alias("c"), F.col("s.t").alias("t"))).alias("b"))
-    return best.select("conv_id", "turn", "passage", "depth", F.col("b.c").alias("source_conv"), F.col("b.t").alias("source_turn"), (-F.col("b.less")).alias("chars"))
+    sources = written(pieces.where("depth = 0").select("conv_id", "turn", "h1", "h2", "telling").join(asked, ["h1", "h2"], "left_semi"), "quote-sources")
+    kinds = sources.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_set(F.struct("h1", "h2"))).alias("held")).groupBy("conv_id", "held").agg(F.min("turn").alias("t"))
+    held = kinds.select("conv_id", "t", F.explode("held").alias("s")).select("conv_id", "t", "s.h1", "s.h2")
+    passage = ["conv_id", "turn", "passage", "depth"]
+
+    def most(counted: DataFrame) -> DataFrame:
+        return counted.groupBy(*passage).agg(F.min(F.struct((-F.col("chars")).alias("less"), "c", "t")).alias("b")).select(*passage, F.col("b.c").alias("source_conv"), F.col("b.t").alias("source_turn"), (-F.col("b.less")).alias("chars"))
+
+    near = quoted.join(held, ["h1", "h2", "conv_id"]).where("t < turn").groupBy(*passage, "t").agg(F.sum("chars").alias("chars")).withColumn("c", F.col("conv_id"))
+    near = written(most(near), "near-links")
+    holders = sources.where("telling").groupBy("h1", "h2", "conv_id").agg(F.min("turn").alias("t"))
+    first = written(holders.groupBy("h1", "h2").agg(F.min(F.struct(F.col("conv_id").alias("c"), "t")).alias("first")), "first-holders")
+    second = holders.join(first, ["h1", "h2"]).where(F.col("conv_id") != F.col("first.c")).groupBy("h1", "h2").agg(F.min(F.struct(F.col("conv_id").alias("c"), "t")).alias("second"))
+    across = written(first.join(second, ["h1", "h2"], "left"), "two-holders")
+    other = F.when(F.col("first.c") != F.col("conv_id"), F.col("first")).otherwise(F.col("second"))
+    far = quoted.where("telling").join(near.select(*passage), passage, "left_anti").join(across, ["h1", "h2"]).withColumn("s", other).where("s is not null")
+    far = most(far.groupBy(*passage, "s.c", "s.t").agg(F.sum("chars").alias("chars")))
+    return near.unionByName(far)
 
 
 def reply_threads(replies: DataFrame, max_rounds: int = 40) -> DataFrame:
