@@ -86,3 +86,10 @@ def test_quoters_own_later_copy_hides_no_original(spark):
     said = "The bridge at the mill is closed."
     rows = [(1, 0, "user", f"> {said}\nIs it true?"), (1, 1, "user", said), (2, 0, "user", said)]
     assert {(r["conv_id"], r["turn"]): r["linked"] for r in without_quotes(frame(spark, rows)).collect()} == {(1, 0): 1, (1, 1): 0, (2, 0): 0}
+
+
+def test_short_and_unspaced_sentences(spark):
+    rows = [(1, 0, "user", "Hello to all of you."), (1, 1, "user", "Agreed."), (1, 2, "user", "> Agreed.\nGood."), (1, 3, "user", "\u5317\u4eac\u7684\u7535\u8f66\u4eca\u5929\u665a\u70b9\u4e86"), (1, 4, "user", "> \u5317\u4eac\u7684\u7535\u8f66\u4eca\u5929\u665a\u70b9\u4e86\nYes."), (2, 0, "user", "> Agreed.\nSo."), (2, 1, "user", "> \u5317\u4eac\u7684\u7535\u8f66\u4eca\u5929\u665a\u70b9\u4e86\nNo.")]
+    out = {(r["conv_id"], r["turn"]): r for r in without_quotes(frame(spark, rows)).collect()}
+    assert (out[1, 2]["reply_to"], out[1, 4]["reply_to"]) == (1, 3)
+    assert (out[2, 0]["linked"], out[2, 1]["linked"]) == (0, 1)

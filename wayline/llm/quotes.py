@@ -70,7 +70,7 @@ def pieces_of(passages: Column, least_words: int) -> Column:
     def sentences(p: Column, i: Column) -> Column:
         norm = F.transform(F.split(p["text"], SENTENCE_END), lambda s: F.trim(F.regexp_replace(F.lower(s), NOT_WORDS, " ")))
         telling = lambda s: (F.size(F.split(s, " ")) >= least_words) | (F.regexp_count(s, F.lit(UNSPACED)) >= 2 * least_words)
-        return F.transform(F.filter(norm, lambda s: (s != "") & (F.size(F.split(s, " ")) >= least_words)), lambda s: F.struct(i.alias("passage"), p["depth"].alias("depth"), F.xxhash64(s).alias("h1"), F.xxhash64(F.lit(1), s).alias("h2"), F.length(s).alias("chars"), telling(s).alias("telling")))
+        return F.transform(F.filter(norm, lambda s: s != ""), lambda s: F.struct(i.alias("passage"), p["depth"].alias("depth"), F.xxhash64(s).alias("h1"), F.xxhash64(F.lit(1), s).alias("h2"), F.length(s).alias("chars"), telling(s).alias("telling")))
 
     return F.flatten(F.transform(passages, sentences))
 
