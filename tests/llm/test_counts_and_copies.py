@@ -23,6 +23,8 @@ def test_counts_equal_the_library(spark):
     want = [(i, len((x or "").encode()), n := len(t.encode(x or "", add_special_tokens=False)), n > 10) for i, x in rows]
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     assert count_tokens(spark.createDataFrame([], DOCS), PATH, 10).count() == 0
+    parts = count_tokens(spark.createDataFrame(rows, DOCS), PATH, 10, batch_bytes=16, cache_bytes=100).collect()
+    assert sorted(map(str, map(tuple, parts))) == sorted(map(str, want))
 
 
 def brute(rows):

@@ -2,20 +2,65 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: ASCII white space, at which texts part.
+_SPACE = re.compile(rb"[ \t-\r]")
+#: Per Python worker: what its last task has left there, under one name. Another name's takes its place.
+_WORKER: dict[tuple, Any] = {}
+
+
+def worker_cache(name: tuple, make: Callable[[], Any]) -> Any:
+    """The object of this name that an earlier task of this Python worker made, or a new one.
+
+    A worker keeps one such object at a time, so that workers that serve several operators don't add up their caches.
+    """
+    if name not in _WORKER:
+        _WORKER.clear()
+        _WORKER[name] = make()
+    return _WORKER[name]
+
+
+def segments(text: bytes, most: int) -> Iterator[bytes]:
+    """The text in parts of about ``most`` bytes, cut before ASCII white space."""
+    at = 0
+    while len(text) - at > most and (m := _SPACE.search(text, at + most)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:] if at else text
+
+
+def by_bytes(texts: Iterator[str], most: int) -> Iterator[list[str]]:
+    """Runs of strings of about ``most`` UTF-8 bytes together; a longer string is a run of its own."""
+    run, held = [], 0
+    for text in texts:
+        n = len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
+        if run and held + n > most:
+            yield run
+            run, held = [], 0
+        run.append(text)
+        held += n
+    if run:
+        yield run
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary folder is set.
+    Only where the session names none and runs in this one process (tests) a temporary folder is set; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
         named = tempfile.mkdtemp(prefix="wayline-")
         spark.sparkContext.setCheckpointDir(named)
         named = spark.sparkContext.getCheckpointDir()
@@ -34,6 +79,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with marks after it until ``df`` has no column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def stretch_of(text: Column, chars: int) -> Column:
+    """A stretch of ``chars`` characters, where a hash of the text says; shorter texts whole."""
+    return F.substring(text, F.lit(1) + F.pmod(F.xxhash64(text), F.greatest(F.char_length(text) - chars + 1, F.lit(1))).cast("int"), F.lit(chars))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

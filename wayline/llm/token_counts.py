@@ -6,13 +6,16 @@ import json
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Per Python worker: the tokenizer and the counts of pieces seen; only a cache, emptied when full.
-_WORKER: dict = {}
+from wayline.llm.common import by_bytes, worker_cache
+
+#: About the bytes that an entry of a cache takes besides its string.
+ENTRY = 130
 
 
 class PieceCounter:
@@ -21,14 +24,15 @@ class PieceCounter:
     The byte-level pattern always starts a new pre-token at such a space, whatever stands before it, so that
     the counts of the pieces add up to the count of the whole text. There is no cut before the first
     character of an added token, whose neighbours are split off first. Tokenizers of another make
-    (normalizer, prefix space, added tokens that take in white space) get whole texts.
+    (normalizer, prefix space, added tokens that take in white space) get whole texts. A cache of piece counts holds
+    ``cache_bytes`` at most and is emptied when full.
     """
 
-    def __init__(self, path: str, cache_entries: int):
+    def __init__(self, path: str, cache_bytes: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache, self.cache_entries = Tokenizer.from_file(path), {}, cache_entries
+        self.tokenizer, self.cache, self.cache_bytes, self.held = Tokenizer.from_file(path), {}, cache_bytes, 0
         spec = json.loads(self.tokenizer.to_str())
         pre, added = spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or []
         self.cuts = (
@@ -40,8 +44,20 @@ class PieceCounter:
         )
         first = "".join(sorted({regex.escape(t["content"][0]) for t in added}))
         self.unsafe = regex.compile(rf" (?=[\s\x1c-\x1f\u180e{first}]|$)")
+        self.safe = regex.compile(rf" (?=[^\s\x1c-\x1f\u180e{first}])")
         self.opens = {t["content"][0] for t in added}
 
+    def segments(self, text: str, chars: int) -> Iterator[str]:
+        """The text in parts of about ``chars`` characters, cut before such spaces."""
+        at = 0
+        while self.cuts and len(text) - at > chars:
+            m = self.safe.search(text, at + chars)
+            if not m:
+                break
+            yield text[at : m.start()]
+            at = m.start()
+        yield text[at:] if at else text
+
     def pieces(self, text: str) -> list[str]:
         """The first piece with its own start, and the others without their leading space."""
         if not self.cuts:
@@ -60,54 +76,58 @@ class PieceCounter:
     def _lengths(self, texts: list[str]) -> list[int]:
         return [len(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def counts(self, texts: list[str]) -> list[int]:
+    def counts(self, texts: list[str], most: int = 1 << 18) -> list[int]:
+        """Tokens of each text. Calls of the model are of about ``most`` bytes."""
         rows = [self.pieces(t) for t in texts]
-        heads = self._lengths([r[0] for r in rows])
-        if len(self.cache) > self.cache_entries:
+        heads = [n for run in by_bytes((r[0] for r in rows), most) for n in self._lengths(run)]
+        if self.held > self.cache_bytes:
             self.cache.clear()
+            self.held = 0
         cache = self.cache
         new = set()
         for r in rows:
             new.update(r[1:])
-        new = sorted(new.difference(cache))
-        for i in range(0, len(new), 4096):
-            cache.update(zip(new[i : i + 4096], self._lengths([" " + p for p in new[i : i + 4096]]), strict=True))
+        for run in by_bytes(sorted(new.difference(cache)), most):
+            cache.update(zip(run, self._lengths([" " + p for p in run]), strict=True))
+            self.held += sum(map(len, run)) + ENTRY * len(run)
         get = cache.__getitem__
         return [h + sum(map(get, r[1:])) for h, r in zip(heads, rows, strict=True)]
 
 
-def by_bytes(values: Iterator, most: int) -> Iterator[list[str]]:
-    """Runs of texts of about ``most`` bytes, so that each encoding call does like work; null is empty."""
-    run, held = [], 0
-    for v in values:
-        text = v.as_py() or ""
-        run.append(text)
-        held += len(text)
-        if held >= most:
-            yield run
-            run, held = [], 0
+def segment_runs(texts: Iterator[tuple[str, int]], counter: PieceCounter, most: int) -> Iterator[tuple[list[int], list[str]]]:
+    """Runs of segments of about ``most`` UTF-8 bytes with the number of each one's text. Texts come with their bytes."""
+    at, run, held = [], [], 0
+    for k, (text, size) in enumerate(texts):
+        for part in counter.segments(text, most) if size > most else (text,):
+            at.append(k)
+            run.append(part)
+            held += size if size <= most else min(size, 4 * len(part))
+            if held >= most:
+                yield at, run
+                at, run, held = [], [], 0
     if run:
-        yield run
+        yield at, run
 
 
 def count_tokens(
-    docs: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 1 << 20, cache_entries: int = 500_000
+    docs: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 1 << 20, cache_bytes: int = 48 << 20
 ) -> DataFrame:
     """Per row of ``docs``: id, n_bytes (UTF-8), n_tokens and over_limit (n_tokens above ``limit``).
 
     One narrow pass: no shuffle, and only lengths come back from Python. ``path`` is a tokenizers file that
-    executors can read. Null text counts as empty (0 bytes, 0 tokens); ids may be null or repeat, each row
-    gives one row; other columns are not read.
+    executors can read. Texts are encoded in runs of about ``batch_bytes`` bytes; a longer text takes several. Null text counts as empty (0 bytes, 0 tokens); ids may be null or repeat, each row
+    gives one row, no rows give none; other columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (path, cache_entries)
-        if key not in _WORKER:
-            _WORKER[key] = PieceCounter(path, cache_entries)
+        counter = worker_cache(("pieces", path, cache_bytes), lambda: PieceCounter(path, cache_bytes))
         for b in batches:
-            n = [c for run in by_bytes(iter(b.column(2)), batch_bytes) for c in _WORKER[key].counts(run)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=["id", "n_bytes", "n_tokens"])
+            n = np.zeros(len(b), np.int64)
+            texts = ((t.as_py() or "", k.as_py()) for t, k in zip(b.column(2), b.column(1), strict=True))
+            for at, run in segment_runs(texts, counter, batch_bytes):
+                np.add.at(n, at, counter.counts(run))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n)], names=["id", "n_bytes", "n_tokens"])
 
     out = docs.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias("text"))
     out = out.mapInArrow(lengths, f"id {kind}, n_bytes long, n_tokens long")
