@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayline.llm.common import written
+from wayline.llm.common import segments, worker_cache, written
 
-#: Per Python worker: the tokenizer and the ids of words seen; only a cache, emptied when full.
-_WORKER: dict = {}
+#: About the bytes that an entry of the caches takes besides its string.
+ENTRY = 190
 
 
 class WordIds:
@@ -29,7 +29,8 @@ class WordIds:
     many at a time with a mark between them, which is one token wherever it stands. A tokenizer that lower-cases
     gets A-Z in lower case, so that fewer runs differ. Where the tokenizer is a byte-level BPE that parts letters, single digits
     and other marks, as a probe shows, runs of plain letters, digits and marks are parted here and each part goes to the
-    model alone, without the library's normalizing.
+    model alone, without the library's normalizing. A run that would hold an added token only in lower case stays as it is, as the library
+    looks for those in the text as written. Caches hold ``cache_bytes`` at most and are emptied when full.
     """
 
     MARK = "\x01"
@@ -37,15 +38,16 @@ class WordIds:
     PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
     PROBE = ["word", "été", "größe", "a1b22c", "des.%%%", "(x),", "end.", "##", "2024-01-31", "ß!?", "x@y.com", "ÿø=*"]
 
-    def __init__(self, path: str, cache_entries: int):
+    def __init__(self, path: str, cache_bytes: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache_entries = Tokenizer.from_file(path), cache_entries
+        self.tokenizer, self.cache_bytes = Tokenizer.from_file(path), cache_bytes
         spec = json.loads(self.tokenizer.to_str())
         normal = spec.get("normalizer") or {}
-        added = any(c.isupper() for t in spec.get("added_tokens") or [] for c in t["content"])
-        self.lowers = not added and "Lowercase" in [n.get("type") for n in normal.get("normalizers", [normal])]
+        added = [t["content"] for t in spec.get("added_tokens") or []]
+        self.added = [t.encode().lower() for t in added]
+        self.lowers = not any(c.isupper() for t in added for c in t) and "Lowercase" in [n.get("type") for n in normal.get("normalizers", [normal])]
         mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
         own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -57,16 +59,34 @@ class WordIds:
     def clear(self) -> None:
         self.at: dict[bytes, int] = {}
         self.size, self.begin, self.flat = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
-        self.used = 0
+        self.used = self.held = 0
         self.parts: dict[str, list[int]] = {}
 
+    def forget(self, but: set[bytes]) -> None:
+        """Empties the caches but for the runs of the texts at hand, in which the common ones are."""
+        known = [w for w in but if w in self.at]
+        ids = [self.flat[self.begin[k] : self.begin[k] + self.size[k]].tolist() for k in map(self.at.__getitem__, known)]
+        parts = self.parts
+        self.clear()
+        self._store([w.decode() for w in known], ids)
+        self.parts = {p: parts[p] for w in known for p in self.PARTS.findall(w.decode()) if p in parts} if self.parted else {}
+        self.held += sum(len(p) + ENTRY + 40 * len(ids) for p, ids in self.parts.items())
+
     def _parted(self, word: str) -> list[int]:
         """Ids of a plain run, part by part."""
-        out, known = [], self.parts
-        for p in self.PARTS.findall(word):
+        parts, known = self.PARTS.findall(word), self.parts
+        out = []
+        for p in parts:
             ids = known.get(p)
             if ids is None:
-                ids = known[p] = [t.id for t in self.tokenizer.model.tokenize(p if p.isascii() else "".join(map(self.byte.__getitem__, p.encode())))]
+                at = self.at.get(p.encode()) if len(parts) > 1 else None
+                if at is not None:
+                    ids = self.flat[self.begin[at] : self.begin[at] + self.size[at]].tolist()
+                else:
+                    ids = [t.id for t in self.tokenizer.model.tokenize(p if p.isascii() else "".join(map(self.byte.__getitem__, p.encode())))]
+                    if len(parts) > 1:  # a run of one part is kept as a run
+                        known[p] = ids
+                        self.held += len(p) + ENTRY + 40 * len(ids)
             out += ids
         return out
 
@@ -98,15 +118,25 @@ class WordIds:
         self.size[k : k + len(part)], self.begin[k : k + len(part)] = n, self.used + np.cumsum(n) - n
         self.flat[self.used : self.used + len(joined)] = joined
         self.used += len(joined)
+        self.held += sum(map(len, part)) + ENTRY * len(part) + 4 * len(joined)
         self.at.update(zip(part, range(k, k + len(part)), strict=True))
 
-    def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
-        rows = [(t.encode().lower() if self.lowers else t.encode()).split() for t in texts]
-        if len(self.at) > self.cache_entries:
-            self.clear()
+    def runs(self, text: bytes) -> list[bytes]:
+        """The text's runs without white space, in lower case where the tokenizer makes them so."""
+        if not self.lowers:
+            return text.split()
+        low = text.lower()
+        if not any(a in low for a in self.added):
+            return low.split()
+        return [w if any(a in (x := w.lower()) for a in self.added) else x for w in text.split()]
+
+    def ids(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        rows = list(map(self.runs, texts))
         new = set()
         for r in rows:
             new.update(r)
+        if self.held > self.cache_bytes:
+            self.forget(new)
         self._learn(sorted(new.difference(self.at)))
         for r in rows:
             k = np.fromiter(map(self.at.__getitem__, r), np.int64, len(r))
@@ -116,40 +146,47 @@ class WordIds:
             yield self.flat[starts + np.arange(total)]
 
 
-def pieces_of(docs: DataFrame, path: str, capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 1 << 20, cache_entries: int = 1_000_000) -> DataFrame:
+def pieces_of(docs: DataFrame, path: str, capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 1 << 20, cache_bytes: int = 128 << 20) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids with ``end_id`` after them, cut every ``capacity`` ids.
 
     ``path``: a tokenizers file whose pre-tokens hold no white space and whose added tokens don't either. Null text is
-    empty: its one piece is ``end_id`` alone. One narrow pass; the ids themselves stay in the task.
+    empty: its one piece is ``end_id`` alone. Texts are encoded in runs of about ``batch_bytes`` bytes; a longer one takes several. One narrow pass;
+    the ids themselves stay in the task.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (path, cache_entries)
-        if key not in _WORKER:
-            _WORKER[key] = WordIds(path, cache_entries)
+        words = worker_cache(("word ids", path, cache_bytes), lambda: WordIds(path, cache_bytes))
         for b in batches:
             row, piece, start, length, crc = [], [], [], [], []
 
-            def note(first: int, texts: list[str]) -> None:
-                for k, ids in enumerate(_WORKER[key].ids(texts)):
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                    for p, i in enumerate(range(0, len(ids), capacity)):
-                        part = ids[i : i + capacity]
-                        row.append(first + k)
-                        piece.append(p)
-                        start.append(i)
-                        length.append(len(part))
-                        crc.append(zlib.crc32(part.tobytes()))
-
-            held, size, first = [], 0, 0
-            for i, v in enumerate(b.column(1)):
-                held.append(v.as_py() or "")
-                size += len(held[-1])
-                if size >= batch_chars:
-                    note(first, held)
-                    held, size, first = [], 0, i + 1
-            note(first, held)
+            def note(k: int, ids: np.ndarray) -> None:
+                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+                for p, i in enumerate(range(0, len(ids), capacity)):
+                    part = ids[i : i + capacity]
+                    row.append(k)
+                    piece.append(p)
+                    start.append(i)
+                    length.append(len(part))
+                    crc.append(zlib.crc32(part.tobytes()))
+
+            def told(at: list[int], texts: list[bytes]) -> None:
+                for k, ids in zip(at, words.ids(texts), strict=True):
+                    note(k, ids)
+
+            at, held, size = [], [], 0
+            for k, v in enumerate(b.column(1)):
+                text = (v.as_py() or "").encode()
+                if len(text) > batch_bytes:
+                    note(k, np.concatenate([next(words.ids([part])) for part in segments(text, batch_bytes)]))
+                    continue
+                at.append(k)
+                held.append(text)
+                size += len(text)
+                if size >= batch_bytes:
+                    told(at, held)
+                    at, held, size = [], [], 0
+            told(at, held)
             ints = [pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), *ints], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
