@@ -7,7 +7,8 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from wayline.llm.decontaminate import HammingBlocks, leaked_documents, words_of
-from wayline.llm.packing import best_fit, least_bins, pack_documents, pack_pieces
+from wayline.llm.common import segments
+from wayline.llm.packing import WordIds, best_fit, least_bins, pack_documents, pack_pieces
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 DOCS = "doc_id long, text string"
@@ -38,6 +39,25 @@ def test_pieces_equal_the_library(spark):
     assert pack_documents(spark.createDataFrame([], DOCS), PATH, 64).count() == 0
 
 
+def test_special_strings_in_any_case_equal_the_library():
+    rng = random.Random(9)
+    t, ids = Tokenizer.from_file(PATH), WordIds(PATH, 1 << 20)
+    texts = ["say <|ENDOFTEXT|> now", "A<|EndOfText|>B <|endoftext|>", "<|STARTOFTEXT|><|startoftext|>"]
+    texts += ["".join(rng.choice([" ", "\n", "a", "B", "É", "<|", "|>", "<|endoftext|>", "<|EndOfText|>", "<|STARTOFTEXT|>", "1", "Σ"]) for _ in range(rng.randrange(30))) for _ in range(5000)]
+    for x, got in zip(texts, ids.ids([x.encode() for x in texts]), strict=True):
+        assert got.tolist() == t.encode(x, add_special_tokens=False).ids, x
+
+
+def test_long_texts_in_parts_and_caches_that_empty():
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choice("abcdefÉxyz19<|.") for _ in range(rng.randrange(1, 9))) for _ in range(3000)) for _ in range(4)]
+    t, small = Tokenizer.from_file(PATH), WordIds(PATH, 50_000)
+    for x in texts:
+        got = np.concatenate([next(small.ids([part])) for part in segments(x.encode(), 1000)])
+        assert got.tolist() == t.encode(x, add_special_tokens=False).ids
+        assert small.held < 150_000
+
+
 def test_bound_and_best_fit():
     rng = random.Random(3)
     for _ in range(300):
@@ -122,3 +142,49 @@ def test_hamming_blocks_find_all():
         for _ in range(20):
             g = f ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, 23, replace=False)))
             assert [i for i, _ in blocks.within(g, 23)] == [i for i, x in enumerate(prints) if int(x ^ g).bit_count() <= 23]
+
+
+def test_items_with_one_opening_take_linear_time():
+    import time
+
+    from wayline.llm.decontaminate import ItemIndex
+
+    rng = random.Random(4)
+    opening = [f"o{i}" for i in range(12)]
+    took = {}
+    for n in (250, 1000):
+        items = [(i, " ".join(opening + [f"w{rng.randrange(10**6)}" for _ in range(20)])) for i in range(n)]
+        index = ItemIndex(items, 5)
+        text = " ".join(["x"] * 30 + opening + ["y"] * 30 + words_of(items[7][1]))
+        began = time.process_time()
+        for _ in range(3):
+            found = index.find(text, 0.8, 23)
+        took[n] = time.process_time() - began
+        assert [f["item_id"] for f in found] == [7]
+    assert took[1000] < 10 * took[250] + 0.2
+
+
+def test_long_text_of_one_item_over_and_over():
+    import tracemalloc
+
+    from wayline.llm.decontaminate import ItemIndex
+
+    item = " ".join(f"w{i}" for i in range(50))
+    index = ItemIndex([(1, item)], 5)
+    text = (item + " ") * 6000
+    tracemalloc.start()
+    found = index.find(text, 0.8, 23)
+    assert tracemalloc.get_traced_memory()[1] < 120e6
+    tracemalloc.stop()
+    assert found == [{"item_id": 1, "similarity": 1.0, "start": 0, "words": 50, "distance": 0}]
+
+
+def test_leaks_keep_all_other_columns(spark):
+    from wayline.llm.decontaminate import with_leaks
+
+    docs = spark.createDataFrame([(1, "a b c d e f", "x", [1]), (1, "a b c d e f", "x", [1]), (None, None, None, None)], "doc_id long, text string, leaks string, score array<int>")
+    bench = spark.createDataFrame([(5, "a b c d e f"), (5, "a b c d e f")], "item_id int, text string")
+    out = with_leaks(docs, bench, into="found")
+    assert out.select(*docs.columns).exceptAll(docs).count() == 0
+    assert sorted(len(r["found"]) for r in out.collect()) == [0, 1, 1]
+    assert out.drop("found").schema.simpleString() == docs.schema.simpleString()
