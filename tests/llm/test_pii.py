@@ -87,6 +87,29 @@ def test_what_the_patterns_miss(model):
     assert {k for k, _, _ in added_spans(text, tags, [])} == {"phone", "card"}
 
 
+def test_named_keys_are_secrets(model):
+    rng = np.random.default_rng(77)
+    keys = ["".join(rng.choice(list("0123456789abcdef"), 40)) for _ in range(30)]
+    texts = [f'casa les {name} = "{k}" und of' for k, name in zip(keys, ["token", "password", "secret"] * 10, strict=True)]
+    hit = sum(("secret", t.index(k), t.index(k) + len(k)) in added_spans(t, g, []) for k, t, g in zip(keys, texts, tags_of(texts, model), strict=True))
+    assert hit >= 27
+    plain = [f"the {w} of 20{i:02d} und {i} les" for i in range(40) for w in ("token", "order")]
+    assert sum(len(added_spans(t, g, [])) for t, g in zip(plain, tags_of(plain, model), strict=True)) <= 2
+
+
+def test_a_text_of_digits_takes_little_memory(model):
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    text = "".join(map(str, rng.integers(0, 10, 300_000)))
+    (tags,) = tags_of([text], model)
+    tracemalloc.start()
+    base = base_spans(text)
+    added_spans(text, tags, base)
+    assert sum(t.nbytes for _, t in tags) <= len(text) and tracemalloc.get_traced_memory()[1] < 25e6
+    tracemalloc.stop()
+
+
 def test_windows_cover_all_triggers():
     rng = random.Random(3)
     for _ in range(200):

@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import re
 import string
+import uuid
+from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,17 +15,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayline.llm.common import stretch_of, worker_cache
+
 KINDS = ("email", "ip", "card", "phone")
+#: The model also knows keys and passwords, for which there is no base pattern.
+ALL_KINDS = (*KINDS, "secret")
 #: Tags: outside, then begin and inside of each kind.
-TAGS = 1 + 2 * len(KINDS)
+TAGS = 1 + 2 * len(ALL_KINDS)
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset(string.ascii_letters + string.digits + "._%+-")
 #: Possessive, and never from within a run of digits, where it can't match either: linear in the text.
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
-_CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
+_CARD = re.compile(r"[0-9]++(?:[ -][0-9]++)*+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-#: Every span of any kind holds one of these; the model reads what lies around them.
-_TRIGGER = re.compile(r"[0-9@]|[\[(] ?at ?[\])]")
+#: The model reads what lies around these: every span of the four base kinds holds one, and secrets stand near one.
+_TRIGGER = re.compile(r"[0-9@=]|[\[(] ?at ?[\])]")
+#: Labels of secrets in the texts that the model is fitted on; never used to find any.
+_NAMED_KEY = re.compile(r"(?i)\b(?:token|secret|passw(?:or)?d|api[_ -]?key)\b[\"']?\s*[:=]\s*[\"']?([A-Za-z0-9+/_-]{12,})")
 Span = tuple[str, int, int]
 
 
@@ -66,7 +74,7 @@ def base_spans(text: str) -> list[Span]:
 
 
 def joined(spans: list[Span]) -> str:
-    return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (KINDS.index(x[0]), x[1], x[2])))
+    return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (ALL_KINDS.index(x[0]), x[1], x[2])))
 
 
 _CLASSES = {c: i + 4 for i, c in enumerate(string.ascii_lowercase + string.punctuation)}
@@ -206,7 +214,7 @@ def made_up(rng: np.random.Generator, words: list[str], n: int) -> list[tuple[st
         return "".join(rng.choice(list("abcdefghiklmnoprstu"), int(rng.integers(2, 9))))
 
     def email() -> str:
-        at, dot = pick(("@", "."), ("@", "."), ("@", "."), (" (at) ", "."), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" at ", " dot ") if False else (" [at] ", "."))
+        at, dot = pick(("@", "."), ("@", "."), ("@", "."), (" (at) ", "."), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" [at] ", "."))
         return f"{name()}{pick('', '.', '_')}{pick(digits(2), name())}{at}{name()}{pick('', digits(1))}{dot}{pick('', 'example' + dot)}{pick('com', 'net', 'org')}"
 
     def card() -> str:
@@ -220,9 +228,18 @@ def made_up(rng: np.random.Generator, words: list[str], n: int) -> list[tuple[st
         a, b, c = digits(3), digits(3), digits(4)
         return pick(f"+{pick('1', '44', '49')} ({a}) {b}-{c}", f"+{pick('1', '33')} {a} {b} {c}", f"({a}) {b}-{c}", f"+{digits(2)}-{a}-{b}-{c}", f"({a}) {b} {c}")
 
+    def key() -> str:
+        k = "".join(rng.choice(list(pick("0123456789abcdef", "0123456789abcdef", string.ascii_letters + string.digits)), int(rng.integers(16, 49))))
+        return pick(k, k.upper(), k)
+
+    def secret() -> tuple[str, str]:
+        """What stands before the key, and what after it."""
+        named = pick("token", "secret", "password", "api_key", "API key", "passwd", "TOKEN", "Token")
+        open_, close = pick(('"', '"'), ('"', '"'), ("'", "'"), ("", ""))
+        return named + pick(" = ", "=", ": ", ":", " := ") + open_, close
+
     def none() -> str:
-        key = "".join(rng.choice(list("0123456789abcdef"), int(rng.integers(16, 41))))
-        return pick(f"20{digits(2)}-0{pick('1', '7')}-1{digits(1)}", f"v{digits(1)}.{digits(2)}.{digits(1)}", key, f'token = "{key}"', f"password={key}", "AKIA" + key.upper()[:16], digits(int(rng.integers(1, 7))), f"{digits(2)},{digits(2)} %", f"@{name()}", f"{digits(2)}:{digits(2)}", f"{digits(3)}.{digits(3)}", f"(at {digits(2)})", digits(int(rng.integers(20, 30))))
+        return pick(f"20{digits(2)}-0{pick('1', '7')}-1{digits(1)}", f"v{digits(1)}.{digits(2)}.{digits(1)}", key(), f"id {key()}", f"{name()} = {digits(2)}", f'{name()} = "{name()}"', f"{name()}={name()}", f"the {pick('token', 'password', 'secret')} {name()}", digits(16), digits(int(rng.integers(1, 7))), f"{digits(2)},{digits(2)} %", f"@{name()}", f"{digits(2)}:{digits(2)}", f"{digits(3)}.{digits(3)}", f"(at {digits(2)})", digits(int(rng.integers(20, 30))))
 
     makers = {"email": email, "ip": lambda: ".".join(str(int(v)) for v in rng.integers(0, 256, 4)), "card": card, "phone": phone}
     out = []
@@ -230,8 +247,13 @@ def made_up(rng: np.random.Generator, words: list[str], n: int) -> list[tuple[st
         text, spans = " ".join(rng.choice(words, int(rng.integers(0, 8)))), []
         for _ in range(int(rng.integers(1, 4))):
             text += pick(" ", " ", " ", "\n", ": ", ", ") if text else ""
-            kind = pick(*KINDS, None, None)
-            if kind:
+            kind = pick(*ALL_KINDS, None, None)
+            if kind == "secret":
+                before, after = secret()
+                value = key()
+                spans.append((kind, len(text) + len(before), len(text) + len(before) + len(value)))
+                text += before + value + after
+            elif kind:
                 value = makers[kind]()
                 spans.append((kind, len(text), len(text) + len(value)))
                 text += value
@@ -265,21 +287,28 @@ def windows_of(text: str, width: int) -> list[tuple[int, int]]:
     return out
 
 
-def fit(texts: list[str], seed: int = 11, made: int = 1000, epochs: int = 10, batch: int = 50, rate: float = 0.04) -> Tagger:
-    """Adam on stretches of the given texts, labelled by the base patterns, and on made-up ones in the words of the texts."""
+def labelled(text: str) -> list[Span]:
+    """Spans that a text teaches: those of the base patterns and keys that bear a name."""
+    base = base_spans(text)
+    return base + [("secret", *m.span(1)) for m in _NAMED_KEY.finditer(text) if not any(s < m.end(1) and m.start(1) < e for _, s, e in base)]
+
+
+def fit(texts: list[str], seed: int = 11, made: int = 1500, per_text: int = 6, epochs: int = 10, batch: int = 50, rate: float = 0.04) -> Tagger:
+    """Adam on stretches of the given texts, ``per_text`` of each at random, labelled by ``labelled``, and on made-up ones in the words of the texts."""
     rng = np.random.default_rng(seed)
-    words = sorted({w for t in texts[:200] for w in t.split()[:60] if w.isalpha()})[:2000] or ["word", "and", "the", "line"]
+    words = sorted({w for t in texts for w in t.split() if w.isalpha()})
+    words = [words[i] for i in rng.permutation(len(words))[:2000]] or ["word", "and", "the", "line"]
     rows = made_up(rng, words, made)
     model = Tagger.fresh(seed)
     for t in texts:
-        spans = base_spans(t)
-        for lo, hi in windows_of(t, model.width)[:4]:
+        spans, places = labelled(t), windows_of(t, model.width)
+        for lo, hi in (places[i] for i in rng.permutation(len(places))[:per_text]):
             rows.append((t[lo:hi], [(k, max(s, lo) - lo, min(e, hi) - lo) for k, s, e in spans if s < hi and e > lo]))
     x, y = np.zeros((len(rows), model.width), np.int64), np.zeros((len(rows), model.width), np.int64)
     for i, (t, spans) in enumerate(rows):
         x[i] = classes(t[: model.width], model.width)
         for kind, s, e in spans:
-            tag = 1 + 2 * KINDS.index(kind)
+            tag = 1 + 2 * ALL_KINDS.index(kind)
             y[i, s:e] = tag + 1
             if s < model.width:
                 y[i, s] = tag
@@ -301,74 +330,83 @@ def fit(texts: list[str], seed: int = 11, made: int = 1000, epochs: int = 10, ba
     return model
 
 
-def tags_of(texts: list[str], model: Tagger, rows: int = 256) -> list[dict[int, int]]:
-    """Per text: the tag of each character that isn't outside.
+def tags_of(texts: list[str], model: Tagger, rows: int = 256) -> list[list[tuple[int, np.ndarray]]]:
+    """Per text: the tags of its characters by areas around triggers, each with its begin; characters outside them have none.
 
     Equal stretches are decoded once. Where stretches overlap, a character takes the tag of the one in which it
     stands farthest from both ends that cut the text; so a span is one path wherever the stretches began.
     """
     places = [windows_of(t, model.width) for t in texts]
-    known: dict[str, np.ndarray] = dict.fromkeys(t[lo:hi] for t, p in zip(texts, places, strict=True) for lo, hi in p)
-    names = list(known)
+    known: dict[str, int] = {}
+    for t, p in zip(texts, places, strict=True):
+        for lo, hi in p:
+            known.setdefault(t[lo:hi], len(known))
+    names, paths = list(known), np.zeros((len(known), model.width), np.int8)
     for i in range(0, len(names), rows):
-        for name, path in zip(names[i : i + rows], model.decode(np.stack([classes(n, model.width) for n in names[i : i + rows]])), strict=True):
-            known[name] = path
+        paths[i : i + rows] = model.decode(np.stack([classes(n, model.width) for n in names[i : i + rows]]))
     out = []
     for t, p in zip(texts, places, strict=True):
-        tags, depth = {}, {}
-        for lo, hi in p:
-            path = known[t[lo:hi]]
-            for c in range(lo, hi):
-                d = min(c - lo if lo else 1 << 30, hi - 1 - c if hi < len(t) else 1 << 30)
-                if d > depth.get(c, -1):
-                    depth[c], tags[c] = d, int(path[c - lo])
-        out.append({c: k for c, k in tags.items() if k})
+        areas: list[tuple[int, np.ndarray]] = []
+        for k in np.split(np.arange(len(p)), [i for i in range(1, len(p)) if p[i][0] > p[i - 1][1]]) if p else []:
+            begin, end = p[k[0]][0], p[k[-1]][1]
+            tags, depth = np.zeros(end - begin, np.int8), np.full(end - begin, -1, np.int32)
+            for lo, hi in (p[i] for i in k.tolist()):
+                c = np.arange(hi - lo)
+                d = np.minimum(c if lo else c + (1 << 29), c[::-1] if hi < len(t) else c + (1 << 29))
+                deeper = d > depth[lo - begin : hi - begin]
+                tags[lo - begin : hi - begin][deeper] = paths[known[t[lo:hi]], : hi - lo][deeper]
+                depth[lo - begin : hi - begin][deeper] = d[deeper]
+            areas.append((begin, tags))
+        out.append(areas)
     return out
 
 
-_SHAPES = {
-    "email": re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]* ?(?:@|[\[(] ?at ?[\])]) ?[A-Za-z0-9-]+(?: ?(?:\.|[\[(] ?dot ?[\])]) ?[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}"),
-    "card": re.compile(r"[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4,7}"),
-    "phone": re.compile(r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{2,4}[ .-]?[0-9]{2,5}(?:[ .-][0-9]{2,4})?"),
-}
-
-
-def added_spans(text: str, tags: dict[int, int], base: list[Span]) -> list[Span]:
+def tagged(areas: list[tuple[int, np.ndarray]]) -> Iterator[Span]:
+    """Spans as the tags have them: one tag of the kind and all of it that follow without a new begin."""
+    for begin, tags in areas:
+        t = np.concatenate([[0], tags, [0]]).astype(np.int8)
+        kind, starts = (t + 1) >> 1, t & 1 == 1
+        in_one = (kind[1:] == kind[:-1]) & ~starts[1:]
+        first, last = np.flatnonzero((t[1:] > 0) & ~in_one) + 1, np.flatnonzero((t[:-1] > 0) & ~in_one)
+        for s, e in zip(first.tolist(), last.tolist(), strict=True):
+            yield ALL_KINDS[kind[s] - 1], begin + s - 1, begin + e
+
+
+def consistent(kind: str, value: str) -> bool:
+    """Whether a text can be of its kind by what the kind's labels have in common: digits, or the parts of an address."""
+    digits = sum(c in string.digits for c in value)
+    if kind == "ip":
+        parts = value.split(".", 4)
+        return len(parts) == 4 and all(p.isdecimal() and len(p) < 10 and int(p) <= 255 for p in parts)
+    if kind == "card":
+        return 16 <= digits <= 19 and luhn("".join(c for c in value if c in string.digits))
+    if kind == "phone":
+        return 8 <= digits <= 15 and not any(map(str.isalpha, value))
+    if kind == "email":
+        return ("@" in value or "at" in value) and ("." in value or "dot" in value)
+    return len(value) >= 12 and digits > 0 and not any(map(str.isspace, value))
+
+
+def added_spans(text: str, tags: list[tuple[int, np.ndarray]], base: list[Span]) -> list[Span]:
     """Spans that the tags make, trimmed of marks at their ends, where no base span lies.
 
-    A span has to have the written form of its kind, be no part of a longer run of digits, and bear what the
-    kind asks for (Luhn, 8 to 15 digits and a plus or brackets): tags alone never redact plain numbers.
+    A span begins and ends with a word, and is ``consistent`` with its kind.
     """
     out: list[Span] = []
-    spans: list[list] = []
-    for c in sorted(tags):
-        kind, first = (tags[c] - 1) // 2, tags[c] % 2 == 1
-        if first or not spans or spans[-1][2] != c or spans[-1][0] != kind:
-            spans.append([kind, c, c + 1])
-        else:
-            spans[-1][2] = c + 1
     taken = sorted((s, e) for _, s, e in base)
-    for k, s, e in spans:
-        kind = KINDS[k]
+    starts = [s for s, _ in taken]
+    for kind, s, e in tagged(tags):
         while s < e and not (text[s].isalnum() or text[s] in "+("):
             s += 1
         while e > s and not text[e - 1].isalnum():
             e -= 1
         value = text[s:e]
-        digits = "".join(c for c in value if c in string.digits)
-        if not _SHAPES[kind].fullmatch(value) or any(a < e and s < b for a, b in taken):
-            continue
-        if s and (text[s - 1].isalnum() and value[0].isalnum()) or e < len(text) and text[e].isalnum():
+        if not value or s and text[s - 1].isalnum() and value[0].isalnum() or e < len(text) and text[e].isalnum() or not consistent(kind, value):
             continue
-        if kind == "card" and not (16 <= len(digits) <= 19 and luhn(digits)):
-            continue
-        if kind == "phone" and not (8 <= len(digits) <= 15 and value[0] in "+("):
-            continue
-        if kind == "ip" and (text[max(0, s - 1) : s] == "." or text[e : e + 1] == "." and text[e + 1 : e + 2].isdigit()):
+        near = bisect(starts, e - 1)
+        if any(a < e and s < b for a, b in taken[max(0, near - 4) : near]):
             continue
         out.append((kind, s, e))
-        taken.append((s, e))
     return out
 
 
@@ -382,29 +420,30 @@ def redacted(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-def fit_on(docs: DataFrame, sample_rows: int = 400, most_bytes: int = 20_000, text_col: str = "text") -> Tagger:
-    """The tagger fitted on about ``sample_rows`` distinct texts with digits or @, of at most ``most_bytes`` bytes, drawn by hash.
+def fit_on(docs: DataFrame, sample_rows: int = 400, chars: int = 4000, text_col: str = "text") -> Tagger:
+    """The tagger fitted on about ``sample_rows`` distinct texts with digits or @, of each a stretch of at most ``chars`` characters, drawn by a hash of the text.
 
-    The share that is drawn follows from a count, so no more than that comes to the driver however many tasks there are; copies of a text count once.
+    The share that is drawn follows from the number of distinct texts, so no more than that comes to the driver however many tasks there are.
     """
-    rows = docs.where(F.col(text_col).rlike("[0-9@]") & (F.octet_length(text_col) <= most_bytes)).select(text_col)
-    keep = min(1 << 40, (sample_rows << 40) // max(1, rows.count()))
-    drawn = rows.where(F.pmod(F.xxhash64(text_col), F.lit(1 << 40)) < keep).distinct()
-    return fit(sorted(r[0] for r in drawn.collect()))
+    rows = docs.where(F.col(text_col).rlike("[0-9@]")).select(F.col(text_col).alias("text"))
+    keep = min(1 << 40, (sample_rows << 40) // max(1, rows.agg(F.approx_count_distinct(F.xxhash64("text"))).first()[0]))
+    drawn = rows.where(F.pmod(F.xxhash64(F.lit(1), "text"), F.lit(1 << 40)) < keep).select(F.xxhash64("text").alias("h"), stretch_of(F.col("text"), chars).alias("text")).distinct()
+    return fit(sorted(r["text"] for r in drawn.collect()))
 
 
-def with_personal_data(docs: DataFrame, model: Tagger, redact: bool, text_col: str = "text") -> DataFrame:
-    """Adds ``pii``: base and added (kind:start:end, joined by commas), the count of each kind of base span, and the redacted text if asked for.
+def with_personal_data(docs: DataFrame, model: Tagger, redact: bool, text_col: str = "text", into: str = "pii") -> DataFrame:
+    """Adds the column ``into``: base and all spans (kind:start:end, joined by commas), the count of each kind of base span, and the redacted text if asked for.
 
     Whole texts in one narrow Arrow pass; the model (fixed size) is broadcast. Null text counts as empty (its redacted text is null). An existing column
-    ``pii`` is replaced.
+    ``into`` is replaced; all others stay as they are.
     """
-    keep = [c for c in docs.columns if c != "pii"]
+    keep = [c for c in docs.columns if c != into]
+    name = uuid.uuid4().hex
     box = docs.sparkSession.sparkContext.broadcast({k: getattr(model, k) for k in (*Tagger.PARTS, "width")})
     fields = [("base", pa.string()), ("all", pa.string()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("text", pa.string())]
 
     def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tagger = Tagger(**box.value)
+        tagger = worker_cache(("tagger", name), lambda: Tagger(**box.value))
         for a in arrays:
             out: list[dict] = []
 
@@ -428,15 +467,17 @@ def with_personal_data(docs: DataFrame, model: Tagger, redact: bool, text_col: s
             yield pa.array(out, pa.struct(fields))
 
     kind = "base string, all string, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, text string"
-    return docs.select(*keep, F.arrow_udf(run, kind)(F.col(text_col)).alias("pii"))
+    return docs.select(*keep, F.arrow_udf(run, kind)(F.col(text_col)).alias(into))
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_email, n_ip, n_card, n_phone (of base spans), base_sha256, spans (base and added), n_added.
+    """Per document: doc_id, n_email, n_ip, n_card, n_phone (of base spans), base_sha256, spans (base and added), n_added, n_spans.
+
+    Added spans are of the same kinds or of the kind ``secret``, which stands last in ``spans``.
 
     Null and empty texts have no spans; repeated rows and null ids give a row each; no rows give none.
     """
     docs = docs.select("doc_id", "text")
     found = with_personal_data(docs, fit_on(docs), redact=False)
-    added = F.size(F.filter(F.split("pii.all", ","), lambda x: x != "")) - F.size(F.filter(F.split("pii.base", ","), lambda x: x != ""))
-    return found.select("doc_id", *[f"pii.n_{k}" for k in KINDS], "pii.base_sha256", F.col("pii.all").alias("spans"), added.cast("long").alias("n_added"))
+    number = lambda c: F.size(F.filter(F.split(c, ","), lambda x: x != "")).cast("long")
+    return found.select("doc_id", *[f"pii.n_{k}" for k in KINDS], "pii.base_sha256", F.col("pii.all").alias("spans"), (number("pii.all") - number("pii.base")).alias("n_added"), number("pii.all").alias("n_spans"))
