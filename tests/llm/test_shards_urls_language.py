@@ -98,3 +98,15 @@ def test_windows_do_not_change_sums():
     (a, n), (b, m) = sums(texts, table), sums(texts, table, window=17)
     assert np.allclose(a, b, atol=1e-3) and (n == m).all() and n[1] == 0
     assert fit([]).langs == []
+
+
+def test_language_sample_is_bounded(spark):
+    from wayline.llm.language import labelled_sample
+
+    df = spark.range(6000).selectExpr("id as doc_id", "case when id % 3 = 0 then 'one hot text' else concat('text', repeat(concat(' w', id), 3000)) end as text", "case when id % 2 = 0 then 'en' else 'de' end as lang")
+    got = labelled_sample(df, F.lit(True), per_lang=200, chars=50, most_rows=300, most_langs=5)
+    assert 200 < len(got) < 400 and {g[1] for g in got} == {"en", "de"} and max(len(g[0]) for g in got) <= 50
+    assert len(set(got)) == len(got)
+    few = labelled_sample(df.where("doc_id % 3 = 0"), F.lit(True), per_lang=200, chars=50, most_rows=300, most_langs=5)
+    assert sorted(few) == [("one hot text", "de"), ("one hot text", "en")]
+    assert len({g[1] for g in labelled_sample(df, F.lit(True), 10, 50, 300, most_langs=1)}) == 1

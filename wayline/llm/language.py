@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayline.llm.common import free_name, stretch_of, worker_cache
+
 BITS = 15
 #: ASCII that isn't a letter is a space; other bytes stay as they are.
 _TO_SPACE = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
@@ -129,28 +132,33 @@ def fit(rows: list[tuple[str, str]], seed: int = 7, dim: int = 16, epochs: int =
     return model
 
 
-def labelled_sample(docs: DataFrame, learn_from, per_lang: int, most_bytes: int, text_col: str = "text", lang_col: str = "lang", draw_col: str = "doc_id") -> list[tuple[str, str]]:
-    """At most about ``per_lang`` labelled texts of each language, of at most ``most_bytes`` bytes each, drawn by hash."""
-    rows = docs.where(learn_from & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.octet_length(text_col) <= most_bytes))
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
-    keep = F.lit(0)
+def labelled_sample(docs: DataFrame, learn_from: Column, per_lang: int, chars: int, most_rows: int, most_langs: int, text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
+    """About ``per_lang`` stretches of each language (``most_rows`` of all together), of at most ``chars`` characters.
+
+    Distinct texts of any length are drawn by a hash of the text, at a share that follows from their number, and one stretch out of each by the same hash;
+    copies count once, so no text that many rows hold weighs more. Of more than ``most_langs`` languages those with most texts are learned.
+    """
+    rows = docs.where(learn_from & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    counted = rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n"))
+    counts = {r["lang"]: r["n"] for r in counted.orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
+    each, keep = min(per_lang, most_rows // max(1, len(counts))), F.lit(0)
     for lang, n in counts.items():
-        keep = F.when(F.col(lang_col) == lang, min(1 << 20, (per_lang << 20) // n)).otherwise(keep)
-    drawn = rows.where(F.pmod(F.xxhash64(draw_col), F.lit(1 << 20)) < keep).select(text_col, lang_col, F.xxhash64(draw_col, text_col).alias("o"))
-    return [(r[0], r[1]) for r in sorted(drawn.collect(), key=lambda r: (r[2], r[1], r[0]))]
+        keep = F.when(F.col("lang") == lang, min(1 << 20, (each << 20) // max(1, n))).otherwise(keep)
+    drawn = rows.where(F.pmod(F.xxhash64(F.lit(1), "text"), F.lit(1 << 20)) < keep).select(F.xxhash64("text").alias("h"), stretch_of(F.col("text"), chars).alias("text"), "lang").distinct()
+    return sorted((r["text"], r["lang"]) for r in drawn.collect())
 
 
-def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """Adds lang_pred, score and rejected to the columns of ``docs``; existing columns of these names are replaced.
+def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", into: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """Adds lang_pred, score and rejected, under the names ``into``, to the columns of ``docs``; existing columns of these names are replaced.
 
     ``und`` with score 0 if the text is null or has no letter (or the model knows no language). ``rejected``: und, or a calibrated score below
-    the model's bound. Whole texts; one narrow pass; the model (fixed size) is broadcast.
+    the model's bound. Whole texts; one narrow pass; the model (fixed size) is broadcast. Repeated rows give a row each, no rows none.
     """
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
-    box = docs.sparkSession.sparkContext.broadcast(model)
+    keep = [c for c in docs.columns if c not in into]
+    box, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        m = box.value
+        m = worker_cache(("language", name), lambda: box.value)
         for part in parts:
             out, held, size = [], [], 0
             for i, v in enumerate(part):
@@ -165,10 +173,11 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
                     held, size = [], 0
             yield pa.array(out, pa.struct([("lang", pa.string()), ("score", pa.float64())]))
 
+    said = free_name(docs, "said")
     guess = F.arrow_udf(run, "lang string, score double")
-    said = docs.select(*keep, guess(F.col(text_col)).alias("__said"))
-    rejected = (F.col("__said.lang") == "und") | (F.col("__said.score") < model.least)
-    return said.select(*keep, F.col("__said.lang").alias("lang_pred"), F.col("__said.score").alias("score"), rejected.alias("rejected"))
+    told = docs.select(*keep, guess(F.col(text_col)).alias(said))
+    lang, score = F.col(f"{said}.lang"), F.col(f"{said}.score")
+    return told.select(*keep, lang.alias(into[0]), score.alias(into[1]), ((lang == "und") | (score < model.least)).alias(into[2]))
 
 
 def fold(id_col: str = "doc_id"):
@@ -176,13 +185,13 @@ def fold(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit_on(docs: DataFrame, per_lang: int = 1500, most_bytes: int = 20_000) -> LanguageModel:
-    """The model that the queries use, fitted on rows outside the held-out fold with a known id."""
-    return fit(labelled_sample(docs, ~fold() & F.col("doc_id").isNotNull(), per_lang, most_bytes))
+def fit_on(docs: DataFrame, per_lang: int = 1500, chars: int = 2000, most_rows: int = 30_000, most_langs: int = 200) -> LanguageModel:
+    """The model that the queries use, fitted on rows outside the held-out fold with a known id; the parameters bound its sample."""
+    return fit(labelled_sample(docs, ~fold() & F.col("doc_id").isNotNull(), per_lang, chars, most_rows, most_langs))
 
 
-def language_of_documents(docs: DataFrame, per_lang: int = 1500, most_bytes: int = 20_000) -> DataFrame:
+def language_of_documents(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred, score (0 to 1), rejected. Null ids are not held out, nor learned from."""
     docs = docs.select("doc_id", "text", "lang")
-    said = identify(docs.select("doc_id", "text"), fit_on(docs, per_lang, most_bytes))
+    said = identify(docs.select("doc_id", "text"), fit_on(docs))
     return said.select("doc_id", fold().alias("held_out"), "lang_pred", "score", "rejected")

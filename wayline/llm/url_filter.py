@@ -89,6 +89,8 @@ class Boosted:
 def fit(train: DataFrame, features: list[str], trees: int = 8, depth: int = 3, bins: int = 16, rate: float = 0.4, least: float = 5.0) -> Boosted:
     """Logistic boosting on the columns ``features`` and ``y`` (0/1) of a written table.
 
+    Rows are binned once; after each tree a table of their bins, margins and gradients is written. A level takes one grouped histogram over it.
+    Trees reach Spark as literal arrays, by which the node of a row is looked up, so the same compiled code serves all trees.
     No rows, or one class only, give a constant model at the smoothed rate.
     """
     n, ones = train.agg(F.count("y"), F.coalesce(F.sum("y"), F.lit(0))).first()
@@ -97,54 +99,77 @@ def fit(train: DataFrame, features: list[str], trees: int = 8, depth: int = 3, b
         return model
     cuts = train.agg(*[F.percentile_approx(c, [i / bins for i in range(1, bins)], 1000).alias(c) for c in features]).first().asDict()
     cuts = {c: sorted(set(map(float, v or []))) for c, v in cuts.items()}
-    binned = train.select(*[F.col(c).cast("double") for c in features], F.col("y"))
-    bin_of = {c: sum((F.when(F.col(c) > v, 1).otherwise(0) for v in cuts[c]), F.lit(0)) for c in features}
-    columns = {c: F.col(c) for c in features}
+
+    def bin_of(c: str) -> Column:
+        return F.size(F.filter(F.lit(cuts[c]).cast("array<double>"), lambda v: F.col(c) > v)).cast("tinyint")
+
+    def graded(rows: DataFrame) -> DataFrame:
+        p = 1 / (1 + F.exp(-F.col("m") / UNIT))
+        g, h = F.round((p - F.col("y")) * UNIT).cast("long"), F.round(p * (1 - p) * UNIT).cast("long")
+        return written(rows.select("bins", "y", "m", g.alias("g"), h.alias("h")), "url-boosted")
+
+    rows = graded(train.select(F.array(*map(bin_of, features)).alias("bins"), "y", F.lit(round(model.base * UNIT)).cast("long").alias("m")))
+    at = lambda values, k: F.element_at(F.lit(values), k)
     for _ in range(trees):
-        p = model.score(columns)
-        rows = binned.select("*", F.round((p - F.col("y")) * UNIT).cast("long").alias("g"), F.round(p * (1 - p) * UNIT).cast("long").alias("h"))
-        tree: dict[int, tuple] = {}
+        tree: dict[int, tuple[int, int]] = {}
+        values: dict[int, float] = {}
+
+        def node_after(levels: int, tree=tree) -> Column:
+            """The node of a row after so many levels. Nodes without a split send all rows to their first child."""
+            feature, bound = ([tree.get(k, (0, bins))[i] for k in range(1, 1 << depth)] for i in (0, 1))
+            node = F.lit(1)
+            for _ in range(levels):
+                node = 2 * node + (F.element_at("bins", at(feature, node) + 1) > at(bound, node)).cast("int")
+            return node
+
         open_nodes = [1]
         for level in range(depth):
-            node = F.lit(1)
-            for _ in range(level):
-                step = node
-                node = F.lit(-1)
-                for k, (c, bound) in tree.items():
-                    node = F.when(step == k, F.when(F.col(c) <= bound, 2 * k).otherwise(2 * k + 1)).otherwise(node)
-            cells = F.explode(F.array(*[F.struct(F.lit(c).alias("f"), bin_of[c].alias("b")) for c in features]))
-            sums = rows.withColumn("node", node).where(F.col("node").isin(open_nodes)).select("node", "g", "h", cells.alias("c")).groupBy("node", "c.f", "c.b").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
-            found = {}
+            cells = rows.select(node_after(level).alias("node"), "g", "h", F.posexplode("bins").alias("f", "b")).where(F.array_contains(F.lit(open_nodes), F.col("node")))
+            sums: dict[tuple[int, int], dict[int, tuple[float, float]]] = {}
+            for r in cells.groupBy("node", "f", "b").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect():
+                sums.setdefault((r["node"], r["f"]), {})[r["b"]] = (r["g"] / UNIT, r["h"] / UNIT)
+            next_nodes = []
             for k in open_nodes:
-                for c in features:
-                    cell = {r["b"]: (r["g"] / UNIT, r["h"] / UNIT) for r in sums if r["node"] == k and r["f"] == c}
-                    g_all, h_all = sum(x[0] for x in cell.values()), sum(x[1] for x in cell.values())
-                    g = h = 0.0
-                    for i, bound in enumerate(cuts[c]):
-                        g, h = g + cell.get(i, (0, 0))[0], h + cell.get(i, (0, 0))[1]
-                        if min(h, h_all - h) * 4 < least:
-                            continue
-                        gain = g * g / (h + 1) + (g_all - g) ** 2 / (h_all - h + 1) - g_all * g_all / (h_all + 1)
-                        if gain > 1e-6 and (k not in found or gain > found[k][0] + 1e-9):
-                            found[k] = (gain, c, bound, -g / (h + 1), -(g_all - g) / (h_all - h + 1))
-            leaf = {}
-            for k, (_, c, bound, low, high) in found.items():
-                tree[k] = (c, bound)
-                leaf[2 * k], leaf[2 * k + 1] = low, high
-            values = leaf if level == 0 else {**values, **leaf}  # noqa: F821
-            open_nodes = sorted(leaf)
+                split = best_split([sums.get((k, f), {}) for f in range(len(features))], [len(cuts[c]) for c in features], least)
+                if split:
+                    tree[k] = split[:2]
+                    values[2 * k], values[2 * k + 1] = split[2:]
+                    next_nodes += [2 * k, 2 * k + 1]
+            open_nodes = next_nodes
             if not open_nodes:
                 break
         if not tree:
             break
 
         def build(k: int, tree=tree, values=values):
-            return (tree[k][0], tree[k][1], build(2 * k), build(2 * k + 1)) if k in tree else round(rate * values[k] * UNIT)
+            return (features[tree[k][0]], cuts[features[tree[k][0]]][tree[k][1]], build(2 * k), build(2 * k + 1)) if k in tree else round(rate * values[k] * UNIT)
 
         model.trees.append(build(1))
+        ends = []
+        for leaf in range(1 << depth, 2 << depth):
+            while leaf not in values and leaf > 1:
+                leaf //= 2
+            ends.append(round(rate * values.get(leaf, 0.0) * UNIT))
+        rows = graded(rows.select("bins", "y", (F.col("m") + at(ends, node_after(depth) - (1 << depth) + 1)).cast("long").alias("m")))
     return model
 
 
+def best_split(cells: list[dict[int, tuple[float, float]]], bounds: list[int], least: float) -> tuple[int, int, float, float] | None:
+    """(feature, bin up to which rows go low, value of the low side, of the high side) of the largest gain; None if there is none."""
+    found = None
+    for f, (cell, n) in enumerate(zip(cells, bounds, strict=True)):
+        g_all, h_all = sum(x[0] for x in cell.values()), sum(x[1] for x in cell.values())
+        g = h = 0.0
+        for i in range(n):
+            g, h = g + cell.get(i, (0, 0))[0], h + cell.get(i, (0, 0))[1]
+            if min(h, h_all - h) * 4 < least:
+                continue
+            gain = g * g / (h + 1) + (g_all - g) ** 2 / (h_all - h + 1) - g_all * g_all / (h_all + 1)
+            if gain > 1e-6 and (found is None or gain > found[0] + 1e-9):
+                found = (gain, f, i, -g / (h + 1), -(g_all - g) / (h_all - h + 1))
+    return found[1:] if found else None
+
+
 def judge_urls(pages: DataFrame, rules: list[Rule], sample_rows: int = 200_000, id_col: str = "page_id", url_col: str = "url", prior: float = 20.0, most: float = 0.5) -> DataFrame:
     """Per row: id, host, path, rule, verdict and block_score (the trees' probability, also where a rule decides).
 
