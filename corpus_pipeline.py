@@ -10,33 +10,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayline.llm import decontaminate, language, near_copies, packing, pii
-from wayline.llm.common import table, written
+from wayline.llm.common import free_name, table, written
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language the classifier rejects: no letters, or a calibrated score below its bound."""
-    return language.identify(docs, language.fit_on(docs)).where("not rejected").select(*docs.columns)
+    """Drops documents whose language the classifier rejects: no letters (null and empty texts too), or a calibrated score below its bound.
+
+    Repeated rows are judged alike; no rows give none; every column of ``docs`` stays as it is, whatever its name.
+    """
+    names = tuple(free_name(docs, n) for n in ("lang_pred", "score", "rejected"))
+    return language.identify(docs, language.fit_on(docs), into=names).where(~F.col(names[2])).select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of exact and near copies (0.8 of five-word shingles) the document with the least doc_id stays."""
+    """Of each group of exact and near copies (0.8 of five-word shingles) the document with the least doc_id stays.
+
+    Null, empty and word-less texts are copies of one another, and of rows that repeat whole one stays; no rows give none.
+    """
     return near_copies.without_copies(docs)
 
 
 def free_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which a benchmark item is found."""
-    return decontaminate.with_leaks(docs, table(spark, sf_dir, "benchmark")).where(F.size("leaks") == 0).select(*docs.columns)
+    """Drops documents in which a benchmark item is found. Null and empty texts and items match nothing; repeated rows go or stay alike; columns stay."""
+    leaks = free_name(docs, "leaks")
+    return decontaminate.with_leaks(docs, table(spark, sf_dir, "benchmark"), into=leaks).where(F.size(leaks) == 0).select(*docs.columns)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by its kind in brackets; n_chars is that of the new text."""
-    text = F.col("pii.text")
+    """Replaces personal data by its kind in brackets; n_chars is that of the new text. Null texts stay null; every row and other column stays."""
+    pii_ = free_name(docs, "pii")
+    text = F.col(f"{pii_}.text")
     new = {"text": text, "n_chars": F.char_length(text).cast("long")}
-    return pii.with_personal_data(docs, pii.fit_on(docs), redact=True).select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    return pii.with_personal_data(docs, pii.fit_on(docs), redact=True, into=pii_).select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the token ids into sequences of at most 2048."""
+    """Packs the token ids into sequences of at most 2048. A null or empty text is its end id alone; repeated rows are packed each; no rows give none."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 2048)
 
 

@@ -46,3 +46,33 @@ def test_decisions(stages):
 
 def test_whole_run(spark):
     assert cp.run(spark, SF).count() > 0
+
+
+def test_stages_keep_clashing_columns_and_odd_rows(spark):
+    names = ["lang_pred", "score", "rejected", "leaks", "pii", "said", "text_hash", "gone_id", "gone_hash", "h", "n"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(80)
+    odd = spark.createDataFrame([(None, None, None, None, None), (7000001, "", "en", "s", 0), (7000002, "mail a.b@c.org " + "the of and in " * 60000, "en", "s", 1), (7000003, "same text here of the and", "en", "s", 1), (7000003, "same text here of the and", "en", "s", 1)], docs.schema)
+    at = docs.unionByName(odd)
+    for n in names:
+        at = at.withColumn(n, F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    for _, stage in cp.STAGES[:-1]:
+        out = stage(spark, at, SF).checkpoint()
+        assert out.columns == at.columns and out.schema.simpleString() == at.schema.simpleString()
+        for n in names:
+            assert out.where(F.col(n) != F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))).count() == 0
+        at = out
+    assert at.where("doc_id = 7000003").count() == 1 and at.where("doc_id = 7000001 or doc_id is null").count() == 0
+    assert "[email]" in at.where("doc_id = 7000002").first()["text"]
+    assert cp.STAGES[-1][1](spark, at, SF).count() >= at.count()
+
+
+def test_each_stage_takes_an_empty_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in cp.STAGES:
+        assert stage(spark, docs, SF).count() == 0
+
+
+def test_each_stage_takes_null_texts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(6).withColumn("text", F.lit(None).cast("string"))
+    kept = [stage(spark, docs, SF).count() for _, stage in cp.STAGES]
+    assert kept == [0, 1, 6, 6, 6]
