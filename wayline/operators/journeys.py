@@ -2,65 +2,70 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-LEG = "struct<trip:bigint,board:bigint,alight:bigint,dep:bigint,arr:bigint>"
+from wayline.operators.tables import cut
 
+LEG = "struct<trip:bigint,board:bigint,alight:bigint,dep:bigint,arr:bigint>"
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df as a written table in the session's checkpoint folder, or checkpointed where only a folder is set on the context."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        import tempfile
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wayline-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def boardings(stop_times: DataFrame, first_hour: int) -> tuple[DataFrame, DataFrame]:
+    """(stop, hour, route, seq, dep, trip): all departures by their hour; and the next one of each line at or after the begin of an hour, from ``first_hour`` to the line's last."""
+    at = stop_times.select("stop", F.floor(F.col("dep") / 3600).alias("hour"), "route", "seq", "dep", "trip")
+    line = ["stop", "route", "seq"]
+    firsts = at.groupBy(*line, "hour").agg(F.min(F.struct("dep", "trip")).alias("x"))
+    before = F.lag("hour").over(Window.partitionBy(*line).orderBy("hour"))
+    spans = firsts.select(*line, "hour", "x", F.greatest(F.coalesce(before + 1, F.lit(first_hour)), F.lit(first_hour)).alias("since")).where("since <= hour")
+    return at, spans.select("stop", F.explode(F.sequence("since", "hour")).alias("hour"), "route", "seq", "x.dep", "x.trip")
 
 
-def earliest_arrivals(stop_times: DataFrame, walks: DataFrame, queries: DataFrame, rounds: int = 3, change: int = 120, wait: int = 7200) -> DataFrame:
+def earliest_arrivals(stop_times: DataFrame, walks: DataFrame, queries: DataFrame, rounds: int = 4, change: int = 120, wait: int | None = None) -> DataFrame:
     """(q, stop, round, arr, legs): the earliest arrival of each query at each stop with 1 .. ``rounds`` rides.
 
-    ``queries``: (q, stop, dep) start stops with the time there; ``walks``: (a, b, seconds). A round boards, from each stop reached, every line
-    pattern's next departure within ``wait`` seconds (a departure board as-of join on stop and hour), rides on, then
-    walks once; a state keeps the least (arr, legs). Row counts per round grow with the reached (query, stop) pairs. Rounds are written tables,
+    ``queries``: (q, stop, dep) start stops with the time there; ``walks``: (a, b, seconds). A journey may begin with a walk; each round boards, from each
+    stop reached, every line's next departure (within ``wait`` seconds, if that is given), rides on, then walks once. Legs with a null trip are walks.
+    The next departure is found by two equality joins on (stop, hour): with the departures of the hour itself, and with each line's first one
+    after it. A state keeps the least (arr, legs). Row counts per round grow with the reached (query, stop) pairs. Rounds are written tables,
     so the plan stays flat and lost executors repeat one round at most.
     """
     calls = stop_times.select("trip", "route", "seq", "stop", "arr", "dep")
-    board = calls.select(F.col("stop"), "trip", "route", "seq", "dep", F.floor(F.col("dep") / 3600).alias("hour"))
     ride = calls.select("trip", F.col("seq").alias("to_seq"), F.col("stop").alias("to_stop"), F.col("arr").alias("to_arr"))
+    first = queries.agg(F.floor(F.min("dep") / 3600)).first()[0]
+    here, later = map(cut, boardings(calls, 0 if first is None else int(first)))
     none = F.array().cast(f"array<{LEG}>")
-    frontier = queries.groupBy("q", "stop").agg(F.min("dep").alias("arr")).select("q", "stop", F.col("arr").cast("long").alias("arr"), none.alias("legs"))
+    paths = walks.select(F.col("a").alias("stop"), "b", "seconds")
+
+    def walked(rows: DataFrame) -> DataFrame:
+        leg = F.struct(F.lit(None).cast("bigint").alias("trip"), F.col("stop").alias("board"), F.col("b").alias("alight"), F.col("arr").alias("dep"), (F.col("arr") + F.col("seconds")).alias("arr")).cast(LEG)
+        foot = rows.join(paths, "stop").select("q", F.col("b").alias("stop"), (F.col("arr") + F.col("seconds")).alias("arr"), F.concat("legs", F.array(leg)).alias("legs"))
+        return least(rows.unionByName(foot))
+
+    def least(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("q", "stop").agg(F.min(F.struct("arr", "legs")).alias("x")).select("q", "stop", "x.arr", "x.legs")
+
+    frontier = cut(walked(queries.groupBy("q", "stop").agg(F.min("dep").cast("long").alias("arr")).withColumn("legs", none)))
     best, results = frontier.select("q", "stop", F.col("arr").alias("best")), []
     for r in range(1, rounds + 1):
-        slack = change if r > 1 else 0
-        hours = F.sequence(F.floor((F.col("arr") + slack) / 3600), F.floor((F.col("arr") + slack + wait) / 3600))
-        ready = frontier.select("q", "stop", "arr", "legs", F.explode(hours).alias("hour"))
-        met = ready.join(board, ["stop", "hour"]).where((F.col("dep") >= F.col("arr") + slack) & (F.col("dep") <= F.col("arr") + slack + wait))
+        ready = frontier.withColumn("at", F.col("arr") + (change if r > 1 else 0)).withColumn("hour", F.floor(F.col("at") / 3600))
+        met = ready.join(here, ["stop", "hour"]).where("dep >= at").unionByName(ready.withColumn("hour", F.col("hour") + 1).join(later, ["stop", "hour"]))
+        if wait is not None:
+            met = met.where(F.col("dep") <= F.col("at") + wait)
         caught = met.groupBy("q", "stop", "route", "seq").agg(F.min(F.struct("dep", "trip", "legs")).alias("c")).select("q", "stop", "seq", "c.*")
         rides = caught.join(ride, "trip").where("to_seq > seq")
         leg = F.struct(F.col("trip"), F.col("stop").alias("board"), F.col("to_stop").alias("alight"), F.col("dep"), F.col("to_arr").alias("arr")).cast(LEG)
         got = rides.select("q", F.col("to_stop").alias("stop"), F.col("to_arr").cast("long").alias("arr"), F.concat("legs", F.array(leg)).alias("legs"))
-        got = got.groupBy("q", "stop").agg(F.min(F.struct("arr", "legs")).alias("x")).select("q", "stop", "x.arr", "x.legs")
-        foot = got.join(walks.select(F.col("a").alias("stop"), "b", "seconds"), "stop").select("q", F.col("b").alias("stop"), (F.col("arr") + F.col("seconds")).alias("arr"), "legs")
-        all_ = got.unionByName(foot).groupBy("q", "stop").agg(F.min(F.struct("arr", "legs")).alias("x")).select("q", "stop", "x.arr", "x.legs")
-        frontier = _cut(all_.join(best, ["q", "stop"], "left").where("best is null or arr < best").drop("best"))
+        frontier = cut(walked(least(got)).join(best, ["q", "stop"], "left").where("best is null or arr < best").drop("best"))
         results.append(frontier.select("q", "stop", F.lit(r).alias("round"), "arr", "legs"))
-        best = _cut(best.unionByName(frontier.select("q", "stop", F.col("arr").alias("best"))).groupBy("q", "stop").agg(F.min("best").alias("best")))
+        best = cut(best.unionByName(frontier.select("q", "stop", F.col("arr").alias("best"))).groupBy("q", "stop").agg(F.min("best").alias("best")))
     out = results[0]
     for x in results[1:]:
         out = out.unionByName(x)
     return out
 
 
-def latest_departures(stop_times: DataFrame, walks: DataFrame, queries: DataFrame, rounds: int = 3, change: int = 120, wait: int = 7200) -> DataFrame:
+def latest_departures(stop_times: DataFrame, walks: DataFrame, queries: DataFrame, rounds: int = 4, change: int = 120, wait: int | None = None) -> DataFrame:
     """(q, stop, round, dep): the latest departure from each stop that still arrives by the query's time: the same rounds on times turned about."""
     flipped = stop_times.select("trip", "route", (-F.col("seq")).alias("seq"), "stop", (-F.col("dep")).alias("arr"), (-F.col("arr")).alias("dep"))
     back = walks.select(F.col("b").alias("a"), F.col("a").alias("b"), "seconds")

@@ -41,31 +41,36 @@ def one_to_one(matches: DataFrame, vehicles: DataFrame) -> DataFrame:
 def nearest_in_time(left: DataFrame, right: DataFrame, key: str, at: str, other: str, most: int) -> DataFrame:
     """``left`` rows with the ``right`` row of the same key nearest in circular time of day, at most ``most`` seconds off; ties: the earlier.
 
-    The times of day are dealt to slots of ``most`` seconds; a row meets its slot and both neighbours only, also across midnight.
+    The times of day are dealt to slots of ``most`` seconds; a row meets its slot and those next to it only, also across midnight. Repeated rows each keep theirs.
     """
     slots = -(-86_400 // most)
     slot = lambda c: F.floor(F.pmod(F.col(c), F.lit(86_400)) / most)
     three = F.array_distinct(F.array(*[F.pmod(slot(at) + i, F.lit(slots)) for i in (-2, -1, 0, 1, 2)]))
-    a = left.select("*", F.explode(three).alias("__slot"))
+    a = left.withColumn("__row", F.monotonically_increasing_id()).select("*", F.explode(three).alias("__slot"))
     b = right.select("*", slot(other).alias("__slot"))
     d = F.abs(F.pmod(F.col(at) - F.col(other) + 43_200, F.lit(86_400)) - 43_200)
     met = a.join(b, [key, "__slot"]).withColumn("gap", d).where(F.col("gap") <= most)
     rest = [c for c in right.columns if c != key]
-    best = met.groupBy(*left.columns).agg(F.min(F.struct("gap", *rest)).alias("x"))
+    best = met.groupBy("__row", *left.columns).agg(F.min(F.struct("gap", *rest)).alias("x"))
     return best.select(*left.columns, "x.gap", *[f"x.{c}" for c in rest])
 
 
 def peer_delays(waiting: DataFrame, samples: DataFrame, span: int = 2700, share: float = 0.8, least: int = 120, needed: int = 2) -> DataFrame:
-    """(trip, estimate, n): a trip's delay from others of its route within ``span`` seconds: ``share`` of their median, if that is at least ``least`` and there are ``needed``."""
-    a = waiting.select("trip", "route", "at", F.explode(F.sequence(F.floor(F.col("at") / span) - 1, F.floor(F.col("at") / span) + 1)).alias("slot"))
-    b = samples.select("route", F.col("at").alias("s_at"), "delay", F.floor(F.col("at") / span).alias("slot"))
-    met = a.join(b, ["route", "slot"]).where(F.abs(F.col("at") - F.col("s_at")) <= span)
-    out = met.groupBy("trip").agg(F.median("delay").alias("m"), F.count("*").alias("n")).where(F.col("n") >= needed)
-    return out.select("trip", F.floor(F.col("m") * share + 0.5).cast("long").alias("estimate"), "n").where(F.abs("estimate") >= least)
+    """(trip, estimate, n): a trip's delay from others of its route within ``span`` seconds: ``share`` of their median, if that is at least ``least`` and there are ``needed``.
+
+    Samples of one second and delay are counted first and trips that wait alike ask once, so the work is bounded by the seconds of a route, not by its samples.
+    """
+    slot = F.floor(F.col("at") / span)
+    asked = waiting.select("route", "at").distinct().select("route", "at", F.explode(F.sequence(slot - 1, slot + 1)).alias("slot"))
+    heard = samples.groupBy("route", F.col("at").alias("s_at"), "delay").agg(F.count("*").alias("k")).withColumn("slot", F.floor(F.col("s_at") / span))
+    met = asked.join(heard, ["route", "slot"]).where(F.abs(F.col("at") - F.col("s_at")) <= span)
+    out = met.groupBy("route", "at").agg(F.percentile("delay", F.lit(0.5), F.col("k")).alias("m"), F.sum("k").alias("n")).where(F.col("n") >= needed)
+    told = out.select("route", "at", F.floor(F.col("m") * share + 0.5).cast("long").alias("estimate"), "n").where(F.abs("estimate") >= least)
+    return waiting.select("trip", "route", "at").join(told, ["route", "at"]).select("trip", "estimate", "n")
 
 
-def smoothed(samples: DataFrame, key: str, at: str, value: str, span: float = 15.0) -> DataFrame:
-    """Adds ``smooth``: exponential smoothing in time, with weight 1 - exp(-gap / span) for each new sample. One ordered pass; a key's state is two numbers."""
+def smoothed(samples: DataFrame, key: str, at: str, value: str, span: float = 15.0, also: list[str] | None = None) -> DataFrame:
+    """Adds ``smooth``: exponential smoothing in time, with weight 1 - exp(-gap / span) for each new sample. One ordered pass; a key's state is two numbers. Samples of one time follow one another by ``also``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, last, s = None, 0.0, 0.0
@@ -78,7 +83,7 @@ def smoothed(samples: DataFrame, key: str, at: str, value: str, span: float = 15
             yield pdf.assign(smooth=np.array(out, float))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in samples.schema) + ", smooth double"
-    return samples.repartition(key).sortWithinPartitions(key, at).mapInPandas(run, schema)
+    return samples.repartition(key).sortWithinPartitions(key, at, *(also or [])).mapInPandas(run, schema)
 
 
 def fresh(samples: DataFrame, at: str, now: int, behind: int = 120, ahead: int = 15) -> DataFrame:

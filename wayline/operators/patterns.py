@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,21 +68,25 @@ def past_midnight(calls: DataFrame, key: str, order: str, sec: str) -> DataFrame
 def fifo_groups(trips: DataFrame) -> DataFrame:
     """(route, pattern, trip, chain): trips of a pattern in chains in which none overtakes another, each put to the first chain that it fits.
 
-    In order of first departure, then trip; greedy, so one group's rows are read in order by one task: a group is the trips of one pattern on one service.
+    In order of first departure, then trip; greedy, so the trips of one pattern on one service are read in order by one task, in batches; what is held is the
+    last departures of each chain only.
     """
+    group = ["route", "service", "pattern"]
 
-    def chains(pdf: pd.DataFrame) -> pd.DataFrame:
-        last: list[list[int]] = []
-        pdf = pdf.sort_values(["first", "trip"], kind="stable")
-        out = []
-        for deps in pdf["deps"]:
-            k = next((i for i, d in enumerate(last) if all(a <= b for a, b in zip(d, deps, strict=True))), len(last))
-            last[k : k + 1] = [list(deps)]
-            out.append(k)
-        return pdf[["route", "service", "pattern", "trip"]].assign(chain=out)
+    def chains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, last = None, []
+        for pdf in batches:
+            out = []
+            for key, deps in zip(pdf[group].itertuples(index=False, name=None), pdf["deps"], strict=True):
+                if key != now:
+                    now, last = key, []
+                k = next((i for i, d in enumerate(last) if (d <= deps).all()), len(last))
+                last[k : k + 1] = [np.asarray(deps)]
+                out.append(k)
+            yield pdf[[*group, "trip"]].assign(chain=out)
 
     rows = trips.select("route", "service", pattern_key(F.col("stops")).alias("pattern"), "trip", "deps", F.get("deps", F.lit(0)).alias("first"))
-    return rows.groupBy("route", "service", "pattern").applyInPandas(chains, "route long, service long, pattern string, trip long, chain long")
+    return rows.repartition(*group).sortWithinPartitions(*group, "first", "trip").mapInPandas(chains, "route long, service long, pattern string, trip long, chain long")
 
 
 def spaced(rows: DataFrame, key: list[str], order: list[str], at: str, most: int, apart: int) -> DataFrame:

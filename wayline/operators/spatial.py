@@ -2,33 +2,51 @@
 
 from __future__ import annotations
 
-from math import cos, radians
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wayline.functions.geometry import haversine
+from wayline.operators.tables import cut
+
+#: Metres of the globe's radius, as the distance takes it.
+EARTH = 6_371_000
+
 
+def cells(lat: Column, lon: Column, metres: float) -> tuple[Column, Column, Column]:
+    """Cell (y, x) of a point, and the cells around, as structs, that hold all points within ``metres``.
 
-def cells(lat: Column, lon: Column, metres: float, most_lat: float) -> tuple[Column, Column, Column]:
-    """Cell (y, x) at least ``metres`` wide up to the latitude ``most_lat``, and the nine cells around as structs."""
+    Bands of latitude are ``metres`` high. A band is cut into as many equal cells around the globe as are still wide enough for points of it and of the
+    bands beside it; next to a pole that is one. The cells wrap at 180 degrees.
+    """
     high = metres / 111_000
-    wide = high / max(0.01, cos(radians(most_lat)))
-    y, x = F.floor(lat / high), F.floor(lon / wide)
-    near = F.array(*[F.struct((y + i).alias("y"), (x + j).alias("x")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    return y, x, near
+    y, turn = F.floor(lat / high), F.lit(360.0)
+
+    def number(band: Column) -> Column:
+        far = F.greatest(F.abs(band - 1), F.abs(band + 2)) * high
+        part = F.sin(F.lit(metres / 2 / EARTH)) / F.cos(F.radians(F.least(far, F.lit(90.0))))
+        wide = F.when((far >= 89.9) | (part >= 0.7), turn).otherwise(F.degrees(2 * F.asin(F.least(part, F.lit(1.0)))) * 1.0001)
+        return F.greatest(F.floor(turn / wide), F.lit(1))
+
+    def place(band: Column) -> Column:
+        return F.floor(F.pmod(lon + 180, turn) / turn * number(band))
 
+    def row(band: Column) -> Column:
+        return F.transform(F.array(*[F.pmod(place(band) + j, number(band)) for j in (-1, 0, 1)]), lambda x: F.struct(band.alias("y"), x.alias("x")))
 
-def within_distance(left: DataFrame, right: DataFrame, metres: float, most_lat: float = 60.0) -> DataFrame:
+    around = [row(y + i) for i in (-1, 0, 1)]
+    return y, F.pmod(place(y), number(y)), F.array_distinct(F.concat(*around))
+
+
+def within_distance(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
     """Pairs (all columns of both, metres) of ``left`` (a, a_lat, a_lon, ...) and ``right`` (b, b_lat, b_lon, ...) at most ``metres`` apart.
 
-    One side goes to nine cells, the other to its own, so one equality join finds every pair once. A crowded cell is
+    At any latitude, and across 180 degrees. One side goes to nine cells at most, the other to its own, so one equality join finds every pair once. A crowded cell is
     split by the adaptive skew join, since both sides are plain shuffles.
     """
-    y, x, near = cells(F.col("a_lat"), F.col("a_lon"), metres, most_lat)
+    _, _, near = cells(F.col("a_lat"), F.col("a_lon"), metres)
     a = left.select("*", F.explode(near).alias("__c")).select("*", F.col("__c.y").alias("__y"), F.col("__c.x").alias("__x")).drop("__c")
-    y, x, _ = cells(F.col("b_lat"), F.col("b_lon"), metres, most_lat)
+    y, x, _ = cells(F.col("b_lat"), F.col("b_lon"), metres)
     b = right.select("*", y.alias("__y"), x.alias("__x"))
     far = haversine(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
     return a.join(b, ["__y", "__x"]).withColumn("metres", far).where(F.col("metres") <= metres).drop("__y", "__x")
@@ -60,20 +78,21 @@ def replaced(paths: DataFrame, better: DataFrame) -> DataFrame:
 def nearest(points: DataFrame, stops: DataFrame, k: int = 1, first_metres: float = 400.0, most_metres: float = 6400.0) -> DataFrame:
     """Of each point (p, p_lat, p_lon) its ``k`` nearest stops (stop, lat, lon) within ``most_metres``: p, stop, metres, rank.
 
-    Rings of doubled width: only points that have not found k stops within a ring ask in the next. Ties go to the smaller stop.
+    Rings of four times the width: only points that have not found k stops within a ring ask in the next. A ring's finds are a written table, as its answers and
+    the points left over both come from it. Ties go to the smaller stop.
     """
     a = points.select("p", F.col("p_lat").alias("a_lat"), F.col("p_lon").alias("a_lon"))
     b = stops.select("stop", F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"))
     place = Window.partitionBy("p").orderBy("metres", "stop")
     out, metres = None, first_metres
     while True:
-        met = within_distance(a, b, metres).withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("p", "stop", "metres", "rank")
+        met = cut(within_distance(a, b, metres).withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("p", "stop", "metres", "rank"))
         if metres >= most_metres:
             return met if out is None else out.unionByName(met)
         full = met.groupBy("p").agg(F.max("rank").alias("n")).where(F.col("n") == k).select("p")
         part = met.join(full, "p", "left_semi")
         out = part if out is None else out.unionByName(part)
-        a, metres = a.join(full, "p", "left_anti"), min(most_metres, metres * 4)
+        a, metres = cut(a.join(full, "p", "left_anti")), min(most_metres, metres * 4)
 
 
 def weight_around(points: DataFrame, stops: DataFrame, metres: float = 1200.0) -> DataFrame:
@@ -85,12 +104,16 @@ def weight_around(points: DataFrame, stops: DataFrame, metres: float = 1200.0) -
 
 
 def split_cells(points: DataFrame, metres: float, most: int, levels: int = 8) -> DataFrame:
-    """(y, x, level, n): cells halved until none holds more than ``most`` points, or ``levels`` deep. Counts only leave each level."""
-    high = metres / 111_000
-    at = [points.select((F.floor(F.col("lat") / (high / 2**i))).alias("y"), (F.floor(F.col("lon") / (high / 2**i))).alias("x")).groupBy("y", "x").agg(F.count("*").alias("n")).withColumn("level", F.lit(i)) for i in range(levels + 1)]
-    out = None
-    crowded = None
-    for i, level in enumerate(at):
+    """(y, x, level, n): cells halved until none holds more than ``most`` points, or ``levels`` deep.
+
+    The points are counted once, in cells of the finest level; the counts of coarser levels are sums of those.
+    """
+    high = metres / 111_000 / 2**levels
+    finest = cut(points.select(F.floor(F.col("lat") / high).alias("y"), F.floor(F.col("lon") / high).alias("x")).groupBy("y", "x").agg(F.count("*").alias("n")))
+    out = crowded = None
+    for i in range(levels + 1):
+        step = 2 ** (levels - i)
+        level = finest.groupBy(F.floor(F.col("y") / step).alias("y"), F.floor(F.col("x") / step).alias("x")).agg(F.sum("n").alias("n")).withColumn("level", F.lit(i))
         here = level if crowded is None else level.join(crowded, (F.floor(level["y"] / 2) == crowded["py"]) & (F.floor(level["x"] / 2) == crowded["px"]), "left_semi")
         done = here.where(F.col("n") <= most) if i < levels else here
         out = done if out is None else out.unionByName(done)

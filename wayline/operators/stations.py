@@ -45,11 +45,12 @@ def amenities_by_number(trips: DataFrame, table: DataFrame) -> DataFrame:
     return trips.join(best, "trip", "left").select(*trips.columns, F.col("x.bits").alias("bits"))
 
 
-def best_entrance(points: DataFrame, entrances: DataFrame, metres: float = 300.0, tie: float = 3.0) -> DataFrame:
-    """(p, entrance, metres): the nearest entrance (entrance, place, step_free, lat, lon) of each point; read in order of ``place``, one that is step-free also wins up to ``tie`` metres farther than the best so far, and a stepped one must be as much nearer than a step-free best."""
+def best_entrance(points: DataFrame, entrances: DataFrame, metres: float = 300.0, tie: float = 3.0, other_than_itself: bool = False) -> DataFrame:
+    """(p, entrance, metres): the nearest entrance (entrance, place, step_free, lat, lon) of each point; read in order of ``place``, one that is step-free also wins up to ``tie`` metres farther than the best so far, and a stepped one must be as much nearer than a step-free best. ``other_than_itself``: a point isn't its own entrance."""
     a = points.select("p", F.col("p_lat").alias("a_lat"), F.col("p_lon").alias("a_lon"))
     b = entrances.select("entrance", "place", "step_free", F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"))
     near = within_distance(a, b, metres)
+    near = near.where("p <> entrance") if other_than_itself else near
     rows = near.groupBy("p").agg(F.array_sort(F.collect_list(F.struct("place", "entrance", "step_free", "metres"))).alias("e"))
 
     def better(best: Column, x: Column) -> Column:

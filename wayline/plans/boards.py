@@ -24,13 +24,17 @@ def departure_board(spark, sf_dir):
 
 @query(t.sql("SELECT q.id, q.stop, q.at, min(s.dep) AS next_dep FROM (SELECT event_id AS id, user_id % (SELECT count(*) FROM supplier) AS stop, (event_id * 7) % 86400 AS at FROM events) q JOIN stop_times s ON s.stop = q.stop AND s.dep >= q.at - 30 GROUP BY 1, 2, 3"))
 def next_departures(spark, sf_dir):
-    """For each asked (stop, time) the next departure: both sides in one window by stop and time, not a join of all pairs."""
+    """For each asked (stop, time) the next departure: both sides in one window by stop and time, not a join of all pairs.
+
+    Each side has a stop and second once, so a window has at most two rows for each second of the timetable's day, however many ask there.
+    """
     n = t.read(spark, sf_dir, "supplier").agg(F.count("*").alias("n"))
-    asked = t.read(spark, sf_dir, "events").crossJoin(F.broadcast(n)).select((F.col("user_id") % F.col("n")).alias("stop"), (F.col("event_id") * 7 % 86400 - 30).alias("at"), F.col("event_id").alias("id"), F.lit(None).cast("long").alias("dep"))
-    deps = t.stop_times(spark, sf_dir).select("stop", F.col("dep").alias("at"), F.lit(None).cast("long").alias("id"), "dep").distinct()
-    w = Window.partitionBy("stop").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, 0)
-    met = asked.unionByName(deps).withColumn("next_dep", F.min("dep").over(w))
-    return met.where("id is not null and next_dep is not null").select("id", "stop", (F.col("at") + 30).alias("at"), "next_dep")
+    asked = t.read(spark, sf_dir, "events").crossJoin(F.broadcast(n)).select(F.col("event_id").alias("id"), (F.col("user_id") % F.col("n")).alias("stop"), (F.col("event_id") * 7 % 86400).alias("at"))
+    deps = t.stop_times(spark, sf_dir).select("stop", F.col("dep").alias("t"), "dep").distinct()
+    times = asked.select("stop", (F.col("at") - 30).alias("t"), F.lit(None).cast("long").alias("dep")).distinct()
+    w = Window.partitionBy("stop").orderBy(F.desc("t")).rangeBetween(Window.unboundedPreceding, 0)
+    met = times.unionByName(deps).withColumn("next_dep", F.min("dep").over(w)).where("dep is null and next_dep is not null")
+    return asked.join(met.select("stop", (F.col("t") + 30).alias("at"), "next_dep"), ["stop", "at"]).select("id", "stop", "at", "next_dep")
 
 
 @query(t.sql("SELECT a.route, a.stop AS board, b.stop AS alight, count(*) AS n, min(b.arr - a.dep) AS ride FROM stop_times a JOIN stop_times b ON a.trip = b.trip AND a.seq < b.seq GROUP BY 1, 2, 3"))
@@ -43,10 +47,10 @@ def connected_pairs(spark, sf_dir):
     return pairs.groupBy("route", "board", F.col("b.stop").alias("alight")).agg(F.count("*").alias("n"), F.min(F.col("b.arr") - F.col("dep")).alias("ride"))
 
 
-@query(t.sql("SELECT x.trip, x.seq, s.name, x.dep FROM stop_times x LEFT JOIN (SELECT * FROM stops WHERE stop % 10 <> 0) s ON x.stop = s.stop WHERE x.route = 7"))
+@query(t.sql("SELECT x.trip, x.seq, s.name, x.dep FROM stop_times x LEFT JOIN (SELECT * FROM stops WHERE stop % 10 <> 0) s ON x.stop = s.stop"))
 def calls_with_names(spark, sf_dir):
     s = t.stops(spark, sf_dir).where("stop % 10 <> 0").select("stop", "name")
-    return t.stop_times(spark, sf_dir).where("route = 7").join(s, "stop", "left").select("trip", "seq", "name", "dep")
+    return t.stop_times(spark, sf_dir).join(s, "stop", "left").select("trip", "seq", "name", "dep")
 
 
 @query(t.sql("SELECT trip, service FROM trips WHERE NOT EXISTS (SELECT 1 FROM calendar c WHERE c.service = trips.service AND c.mask % 2 = 1)"))

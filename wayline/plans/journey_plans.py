@@ -9,61 +9,92 @@ from wayline.operators import patterns as pat
 from wayline.plans import transit as t
 from wayline.registry import query
 
-QUERIES_SQL = ", asked AS (SELECT c_custkey AS q, c_custkey * 7 % (SELECT count(*) FROM supplier) AS stop, 21600 + c_custkey % 24 * 1800 AS dep FROM customer WHERE c_nationkey = 3)"
+ASKED_SQL = ", asked AS (SELECT s_suppkey AS q, s_suppkey AS stop, 21600 + s_suppkey * 11 % 24 * 1800 AS dep FROM supplier)"
 
 
 def asked(spark, sf_dir):
-    """Journeys asked for: by the customers of one nation."""
-    n = t.read(spark, sf_dir, "supplier").agg(F.count("*").alias("n"))
-    c = t.read(spark, sf_dir, "customer").where("c_nationkey = 3").crossJoin(F.broadcast(n))
-    return c.select(F.col("c_custkey").alias("q"), (F.col("c_custkey") * 7 % F.col("n")).alias("stop"), (21600 + F.col("c_custkey") % 24 * 1800).alias("dep"))
+    """A journey asked for at each stop, at a time of the morning or the day."""
+    s = F.col("s_suppkey")
+    return t.read(spark, sf_dir, "supplier").select(s.alias("q"), s.alias("stop"), (21600 + s * 11 % 24 * 1800).alias("dep"))
 
 
 def day(spark, sf_dir):
     return t.stop_times(spark, sf_dir).where("service = 2")
 
 
+ROUNDS = 4
 AB = t.METRES.format(a="a.lat", b="a.lon", c="b.lat", d="b.lon")
-ROUND = """, walks AS (SELECT a.stop AS a, b.stop AS b, greatest(45, floor({AB}*1.15/1.45 + 0.5))::BIGINT AS seconds FROM stops a, stops b WHERE a.stop <> b.stop AND {AB} <= 800),
+WALKS = f""", walks AS (SELECT a.stop AS a, b.stop AS b, greatest(45, floor({AB}*1.15/1.45 + 0.5))::BIGINT AS seconds FROM stops a, stops b WHERE a.stop <> b.stop AND {AB} <= 800),
   day AS (SELECT * FROM stop_times WHERE service = 2),
-  r1 AS (SELECT q.q, y.stop, min(y.arr) AS arr FROM asked q JOIN day x ON x.stop = q.stop AND x.dep BETWEEN q.dep AND q.dep + 7200 JOIN day y ON y.trip = x.trip AND y.seq > x.seq GROUP BY 1, 2),
-  w1 AS (SELECT q, stop, min(arr) AS arr FROM (SELECT * FROM r1 UNION ALL SELECT q, b, arr + seconds FROM r1 JOIN walks ON a = stop) GROUP BY 1, 2),
-  b1 AS (SELECT w.* FROM w1 w LEFT JOIN asked q ON q.q = w.q AND q.stop = w.stop WHERE q.dep IS NULL OR w.arr < q.dep),
-  r2 AS (SELECT q.q, y.stop, min(y.arr) AS arr FROM b1 q JOIN day x ON x.stop = q.stop AND x.dep BETWEEN q.arr + 120 AND q.arr + 7320 JOIN day y ON y.trip = x.trip AND y.seq > x.seq GROUP BY 1, 2),
-  w2 AS (SELECT q, stop, min(arr) AS arr FROM (SELECT * FROM r2 UNION ALL SELECT q, b, arr + seconds FROM r2 JOIN walks ON a = stop) GROUP BY 1, 2),
-  b2 AS (SELECT w.* FROM w2 w LEFT JOIN asked q ON q.q = w.q AND q.stop = w.stop LEFT JOIN b1 ON b1.q = w.q AND b1.stop = w.stop WHERE (q.dep IS NULL OR w.arr < q.dep) AND (b1.arr IS NULL OR w.arr < b1.arr))
-""".replace("{AB}", AB)
+  b0 AS (SELECT q, stop, min(arr) AS arr FROM (SELECT q, stop, dep AS arr FROM asked UNION ALL SELECT q, b, dep + seconds FROM asked JOIN walks ON a = stop) GROUP BY 1, 2), best0 AS (SELECT * FROM b0)"""
+ROUND = """, r{k} AS (SELECT q.q, y.stop, min(y.arr) AS arr FROM b{j} q JOIN day x ON x.stop = q.stop AND x.dep >= q.arr + {slack} JOIN day y ON y.trip = x.trip AND y.seq > x.seq GROUP BY 1, 2),
+  w{k} AS (SELECT q, stop, min(arr) AS arr FROM (SELECT * FROM r{k} UNION ALL SELECT q, b, arr + seconds FROM r{k} JOIN walks ON a = stop) GROUP BY 1, 2),
+  b{k} AS (SELECT w.* FROM w{k} w LEFT JOIN best{j} o ON o.q = w.q AND o.stop = w.stop WHERE o.arr IS NULL OR w.arr < o.arr),
+  best{k} AS (SELECT q, stop, min(arr) AS arr FROM (SELECT * FROM best{j} UNION ALL SELECT * FROM b{k}) GROUP BY 1, 2)"""
+ALL_ROUNDS = WALKS + "".join(ROUND.format(k=k, j=k - 1, slack=120 if k > 1 else 0) for k in range(1, ROUNDS + 1))
 
 
-@query(t.sql(f"{QUERIES_SQL}{ROUND} SELECT q, stop, 1 AS round, arr FROM b1 UNION ALL SELECT q, stop, 2, arr FROM b2"))
+@query(t.sql(f"{ASKED_SQL}{ALL_ROUNDS} " + " UNION ALL ".join(f"SELECT q, stop, {k} AS round, arr FROM b{k}" for k in range(1, ROUNDS + 1))))
 def earliest_arrivals(spark, sf_dir):
-    """Two rides, a walk after each. A boarding takes the next trip of each route at the stop, as the SQL's least over all trips of a first-in-first-out route."""
+    """Four rides, a walk before and after each. A boarding takes the next trip of each line at the stop, as the SQL's least over all trips of a first-in-first-out line."""
     walks = spatial.footpaths(t.stops(spark, sf_dir))
-    out = journeys.earliest_arrivals(_by_trip(day(spark, sf_dir)), walks, asked(spark, sf_dir), rounds=2)
+    out = journeys.earliest_arrivals(_by_trip(day(spark, sf_dir)), walks, asked(spark, sf_dir), rounds=ROUNDS)
     return out.select("q", "stop", "round", "arr")
 
 
+LEGS_SQL = f"""{ASKED_SQL}{WALKS}{ROUND.format(k=1, j=0, slack=0)},
+  got AS (SELECT b1.q, b1.stop, b1.arr AS reached, f.stop AS board_at, f.arr AS ready, x.trip, x.dep, y.stop AS off_at, y.arr AS off, w.b AS walked_to, w.seconds
+    FROM b1 JOIN b0 f ON f.q = b1.q JOIN day x ON x.stop = f.stop AND x.dep >= f.arr JOIN day y ON y.trip = x.trip AND y.seq > x.seq LEFT JOIN (SELECT * FROM walks UNION ALL SELECT stop, stop, 0 FROM stops) w ON w.a = y.stop
+    WHERE w.b = b1.stop AND y.arr + w.seconds = b1.arr)
+  SELECT q, stop, max(reached) AS arr, count(*) > 0 AS ridden FROM got GROUP BY 1, 2"""
+
+
+@query(t.sql(LEGS_SQL))
+def journey_legs(spark, sf_dir):
+    """Journeys of one ride, with their legs followed one by one: every leg begins where and not before the last one ends, walks take as long as the footpath says, the ride is that of a trip of the day, and the last leg ends at the stop at the time told."""
+    walks, st = spatial.footpaths(t.stops(spark, sf_dir)), day(spark, sf_dir)
+    ask = asked(spark, sf_dir)
+    found = journeys.earliest_arrivals(_by_trip(st), walks, ask, rounds=1)
+    legs = found.join(ask.select("q", F.col("stop").alias("start"), F.col("dep").alias("at")), "q").select("q", "stop", "arr", "start", "at", F.size("legs").alias("n"), "legs", F.posexplode("legs").alias("i", "leg"))
+    before = F.get("legs", F.col("i") - 1)
+    joined = (F.col("leg.board") == F.coalesce(before["alight"], F.col("start"))) & (F.col("leg.dep") >= F.coalesce(before["arr"], F.col("at")))
+    last = (F.col("i") < F.col("n") - 1) | ((F.col("leg.alight") == F.col("stop")) & (F.col("leg.arr") == F.col("arr")))
+    on, off = (st.select("trip", F.col("stop").alias(s), F.col(c).alias(f"{s}_at")) for s, c in (("board", "dep"), ("alight", "arr")))
+    rides = legs.where("leg.trip is not null").select("q", "stop", "i", "leg.*").join(on, ["trip", "board"]).join(off, ["trip", "alight"]).where("dep = board_at and arr = alight_at").select("q", "stop", "i").distinct()
+    feet = legs.where("leg.trip is null").select("q", "stop", "i", "leg.*").join(walks.select(F.col("a").alias("board"), F.col("b").alias("alight"), "seconds"), ["board", "alight"]).where("arr - dep = seconds").select("q", "stop", "i")
+    good = legs.where(joined & last).select("q", "stop", "arr", "n", "i", F.col("leg.trip").alias("trip")).join(rides.union(feet), ["q", "stop", "i"])
+    return good.groupBy("q", "stop", "arr", "n").agg(F.count("*").alias("held"), F.count("trip").alias("rides")).where("held = n").select("q", "stop", "arr", (F.col("rides") == 1).alias("ridden"))
+
+
 def _by_trip(st):
     """Calls whose ``route`` is the set of trips that never overtake one another: here route, number of calls and place in them."""
     n = st.groupBy("trip").agg(F.max("seq").alias("n"))
     return st.join(n, "trip").withColumn("route", F.col("route") * 100 + F.col("n")).drop("n")
 
 
-@query()
+LATE = """, l{k} AS (SELECT q.q, x.stop, max(x.dep) AS dep FROM c{j} q JOIN day y ON y.stop = q.stop AND y.arr <= q.dep - {slack} JOIN day x ON x.trip = y.trip AND x.seq < y.seq GROUP BY 1, 2),
+  v{k} AS (SELECT q, stop, max(dep) AS dep FROM (SELECT * FROM l{k} UNION ALL SELECT q, a, dep - seconds FROM l{k} JOIN walks ON b = stop) GROUP BY 1, 2),
+  c{k} AS (SELECT v.* FROM v{k} v LEFT JOIN last{j} o ON o.q = v.q AND o.stop = v.stop WHERE o.dep IS NULL OR v.dep > o.dep),
+  last{k} AS (SELECT q, stop, max(dep) AS dep FROM (SELECT * FROM last{j} UNION ALL SELECT * FROM c{k}) GROUP BY 1, 2)"""
+LATEST = WALKS.split(",\n  b0 AS")[0] + """, c0 AS (SELECT q, stop, max(dep) AS dep FROM (SELECT q, stop, dep + 3600 AS dep FROM asked UNION ALL SELECT q, a, dep + 3600 - seconds FROM asked JOIN walks ON b = stop) GROUP BY 1, 2), last0 AS (SELECT * FROM c0)"""
+LATEST += "".join(LATE.format(k=k, j=k - 1, slack=120 if k > 1 else 0) for k in range(1, ROUNDS + 1))
+
+
+@query(t.sql(f"{ASKED_SQL}{LATEST} " + " UNION ALL ".join(f"SELECT q, stop, {k} AS round, dep FROM c{k}" for k in range(1, ROUNDS + 1))))
 def latest_departures(spark, sf_dir):
-    """Arrive by a time: tested against the forward search turned about."""
+    """Arrive by a time: the latest departure from every stop."""
     walks = spatial.footpaths(t.stops(spark, sf_dir))
     by = asked(spark, sf_dir).select("q", "stop", (F.col("dep") + 3600).alias("arr"))
-    return journeys.latest_departures(_by_trip(day(spark, sf_dir)), walks, by, rounds=2)
+    return journeys.latest_departures(_by_trip(day(spark, sf_dir)), walks, by, rounds=ROUNDS)
 
 
-JOURNEYS_SQL = """j AS (SELECT o_custkey % 50 AS q, o_orderkey AS id, o_orderkey*97 % 7200 // 60 AS dep, o_orderkey*97 % 7200 // 60 + 20 + o_orderkey*31 % 90 AS arr, o_orderkey % 4 AS transfers FROM orders WHERE o_orderkey % 10 = o_custkey % 10)"""
+JOURNEYS_SQL = """j AS (SELECT o_custkey % 50 AS q, o_orderkey AS id, o_orderkey*97 % 7200 // 60 AS dep, o_orderkey*97 % 7200 // 60 + 20 + o_orderkey*31 % 90 AS arr, o_orderkey % 4 AS transfers FROM orders)"""
 
 
 def _journeys(spark, sf_dir):
     k = F.col("o_orderkey")
     dep = F.floor(k * 97 % 7200 / 60)
-    return t.read(spark, sf_dir, "orders").where("o_orderkey % 10 = o_custkey % 10").select((F.col("o_custkey") % 50).alias("q"), k.alias("id"), dep.alias("dep"), (dep + 20 + k * 31 % 90).alias("arr"), (k % 4).alias("transfers"))
+    return t.read(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("q"), k.alias("id"), dep.alias("dep"), (dep + 20 + k * 31 % 90).alias("arr"), (k % 4).alias("transfers"))
 
 
 @query(f"WITH {JOURNEYS_SQL} SELECT * FROM j WHERE NOT EXISTS (SELECT 1 FROM j o WHERE o.q = j.q AND o.dep >= j.dep AND o.arr <= j.arr AND o.transfers <= j.transfers AND (o.dep > j.dep OR o.arr < j.arr OR o.transfers < j.transfers))")

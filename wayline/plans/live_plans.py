@@ -76,8 +76,11 @@ def headings(spark, sf_dir):
     return v.select("vehicle", F.floor(bearing(F.col("plat"), F.col("plon"), F.col("lat"), F.col("lon")) * 10 + 0.5).alias("bearing10"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, floor(epoch(ts))::BIGINT AS sec, value, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS k FROM events),
+  r AS (SELECT user_id, event_id, sec, value::DOUBLE AS smooth, k FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.event_id, e.sec, r.smooth + (1 - exp(-(e.sec - r.sec)/3600.0::DOUBLE))*(e.value - r.smooth), e.k FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
+  SELECT user_id, event_id, floor(smooth*1e6 + 0.5)/1e6 AS smooth FROM r""")
 def smoothed_values(spark, sf_dir):
-    """Exponential smoothing in time: tested against a plain loop."""
+    """Exponential smoothing in time."""
     e = t.read(spark, sf_dir, "events").select("user_id", "event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), "value")
-    return live.smoothed(e, "user_id", "at", "value", 3600.0)
+    out = live.smoothed(e, "user_id", "at", "value", 3600.0, also=["event_id"])
+    return out.select("user_id", "event_id", micro(F.col("smooth")).alias("smooth"))

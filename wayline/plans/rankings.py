@@ -104,9 +104,13 @@ def stop_bonus(spark, sf_dir):
     return n.select("stop", micro(weight_bonus(F.col("n"))).alias("bonus"))
 
 
-@query()
+NEXT = ", k{b} AS (SELECT a.route, a.stop, min({{'dep': s.dep, 'trip': s.trip}}) AS x FROM k{a} a JOIN stop_times s ON s.route = a.route AND s.stop = a.stop AND s.dep >= a.x.dep + 180 GROUP BY 1, 2)"
+SPACED = ", k1 AS (SELECT route, stop, min({'dep': dep, 'trip': trip}) AS x FROM stop_times GROUP BY 1, 2)" + "".join(NEXT.format(a=k, b=k + 1) for k in (1, 2, 3))
+
+
+@query(t.sql(SPACED + " " + " UNION ALL ".join(f"SELECT route, stop, x.dep AS dep, x.trip AS trip FROM k{k}" for k in (1, 2, 3, 4))))
 def spaced_departures(spark, sf_dir):
-    """Of each line and stop at most four departures, three minutes apart; greedy, so tested against a plain loop."""
+    """Of each line and stop at most four departures, three minutes apart, taken greedily in order of time."""
     st = t.stop_times(spark, sf_dir).select("route", "stop", "dep", "trip")
     return pat.spaced(st, ["route", "stop"], ["dep", "trip"], "dep", 4, 180)
 

@@ -23,9 +23,9 @@ def name_prefilter(spark, sf_dir):
 
 @query("""SELECT p_partkey AS id, p_name AS name, p_size AS weight, greatest(92, 98 - (len(p_name) - 5))::DOUBLE AS score FROM part WHERE lower(p_name) LIKE 'red b%' ORDER BY score DESC, weight DESC, id LIMIT 15""")
 def name_search(spark, sf_dir):
-    """The best 15 names for what was typed (a top list by design)."""
+    """The best 15 of the names that hold all that was typed (a top list by design), as on a device; ``typo_search`` scores every name."""
     p = t.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_size").alias("weight"))
-    return search.search(p, "red b").select("id", "name", "weight", "score")
+    return search.search(search.prefiltered(p, "red b"), "red b").select("id", "name", "weight", "score")
 
 
 @query("""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '<(script|style)\\b.*?</(script|style)>|<!--.*?-->', ' ', 'gis'), '<[^>]*>', ' ', 'gs'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g')) AS text FROM pages""".replace("\\\\", "\\"))

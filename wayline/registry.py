@@ -23,4 +23,4 @@ def query(sql: str | None = None):
 
 
 def load() -> None:
-    from wayline.plans import boards, journey_plans, live_plans, places, progress, rankings, services, texts  # noqa: F401
+    from wayline.plans import boards, journey_plans, live_plans, places, progress, rankings, riders, services, texts  # noqa: F401
