@@ -60,3 +60,9 @@ def test_empty_and_single(spark):
 def test_all_the_same(spark):
     got = nearest(spark.createDataFrame([(i, [0.5, 0.25]) for i in range(300)], SCHEMA), F.col("vec_id") == 250).collect()
     assert sorted(r["vec_id"] for r in got) == [0, 1, 2, 3, 4]
+
+
+def test_doubles_are_scored_as_doubles(spark):
+    a, b, c = [1.0, 1e-9], [1.0, 2e-9], [1.0, 0.5]
+    got = nearest(spark.createDataFrame([(0, a), (1, b), (2, c), (3, a)], "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+    assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"])] in ([1, 3, 2], [3, 1, 2]) and {r["vec_id"]: r["score"] for r in got}[2] == (1 + 0.5e-9) / (1 + 1e-18) ** 0.5 / 1.25**0.5

@@ -110,3 +110,66 @@ def test_language_sample_is_bounded(spark):
     few = labelled_sample(df.where("doc_id % 3 = 0"), F.lit(True), per_lang=200, chars=50, most_rows=300, most_langs=5)
     assert sorted(few) == [("one hot text", "de"), ("one hot text", "en")]
     assert len({g[1] for g in labelled_sample(df, F.lit(True), 10, 50, 300, most_langs=1)}) == 1
+
+
+def plain_boosting(rows, features, trees=8, depth=3, bins=16, rate=0.4, least=5.0):
+    """The trees over rows of (features..., y), one node after the other, without histograms."""
+    import math
+
+    unit, n, ones = 1_000_000, len(rows), sum(r["y"] for r in rows)
+    cuts = {}
+    for f in features:
+        v = sorted(r[f] for r in rows)
+        cuts[f] = sorted({v[max(0, math.ceil(i / bins * n) - 1)] for i in range(1, bins)})
+    base = math.log((ones + 1) / (n - ones + 1))
+    margin, out = [round(base * unit)] * n, []
+
+    def half_up(x):
+        return math.floor(abs(x) + 0.5) * (1 if x >= 0 else -1)
+
+    def grown(at, level, g, h):
+        best = None
+        for f in features if level < depth else ():
+            for b in cuts[f]:
+                low = [i for i in at if rows[i][f] <= b]
+                gl, hl = sum(g[i] for i in low) / unit, sum(h[i] for i in low) / unit
+                ga, ha = sum(g[i] for i in at) / unit, sum(h[i] for i in at) / unit
+                if min(hl, ha - hl) * 4 < least:
+                    continue
+                gain = gl * gl / (hl + 1) + (ga - gl) ** 2 / (ha - hl + 1) - ga * ga / (ha + 1)
+                if gain > 1e-6 and (best is None or gain > best[0] + 1e-9):
+                    best = (gain, f, b, -gl / (hl + 1), -(ga - gl) / (ha - hl + 1))
+        if not best:
+            return None
+        _, f, b, low, high = best
+        sides = [[i for i in at if (rows[i][f] <= b) == side] for side in (True, False)]
+        return (f, b, *(grown(s, level + 1, g, h) or round(rate * v * unit) for s, v in zip(sides, (low, high), strict=True)))
+
+    for _ in range(trees):
+        p = [1 / (1 + math.exp(-m / unit)) for m in margin]
+        g, h = [half_up((x - r["y"]) * unit) for x, r in zip(p, rows, strict=True)], [half_up(x * (1 - x) * unit) for x in p]
+        tree = grown(range(n), 0, g, h)
+        if not tree:
+            break
+        out.append(tree)
+        for i, r in enumerate(rows):
+            t = tree
+            while not isinstance(t, int):
+                t = t[2] if r[t[0]] <= t[1] else t[3]
+            margin[i] += t
+    return base, out
+
+
+def test_trees_equal_plain_boosting(spark):
+    import numpy as np
+
+    from wayline.llm.url_filter import fit as boosted
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for _ in range(400):
+        a, b, c = int(rng.integers(0, 30)), float(rng.integers(0, 50)) / 7, int(rng.integers(0, 3))
+        rows.append({"a": float(a), "b": b, "c": float(c), "y": int(a + 3 * b + rng.normal(0, 6) > 25)})
+    got = boosted(spark.createDataFrame(rows, "a double, b double, c double, y int"), ["a", "b", "c"])
+    base, want = plain_boosting(rows, ["a", "b", "c"])
+    assert abs(got.base - base) < 1e-12 and got.trees == want

@@ -47,6 +47,8 @@ def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
     Batches keep only their smallest ids of each vector, so that a vector that a third of the rows share
     never meets whole in one task.
     """
+    kind = rows.schema["embedding"].dataType.simpleString()
+    values = pa.float64() if kind == "array<double>" else pa.float32()
 
     def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -55,9 +57,9 @@ def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
                 ids = held.setdefault(v, [])
                 if len(ids) < keep:
                     ids.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(list(map(list, held)), pa.list_(pa.float32())), pa.array(list(held.values()), pa.list_(pa.int64()))], names=["embedding", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(map(list, held)), pa.list_(values)), pa.array(list(held.values()), pa.list_(pa.int64()))], names=["embedding", "ids"])
 
-    part = rows.select("id", "embedding").mapInArrow(least, "embedding array<float>, ids array<long>")
+    part = rows.select("id", "embedding").mapInArrow(least, f"embedding {kind}, ids array<long>")
     return part.groupBy("embedding").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, keep).alias("ids"))
 
 
@@ -145,7 +147,8 @@ def greedy_search(graph: DataFrame, codes: DataFrame, queries: DataFrame, beam:
     """(q, w, s): for each query node the best nodes found by walking the graph from the node itself.
 
     A query holds the ``beam`` best nodes seen. Each hop opens the ``step`` best that aren't open yet, scores their neighbours and
-    keeps the best again, until all in the beam are open or after ``hops`` hops. Rows in flight grow with the queries only.
+    keeps the best again, until all in the beam are open; ``hops`` bounds the walk at twice the hops that open a whole beam, and a walk that ends there gives the
+    best seen so far. Rows in flight grow with the queries only.
     """
     links = graph.select(F.col("v"), F.transform("near", lambda e: e["w"]).alias("ws"))
     asked = queries.join(codes, queries["q"] == codes["node"]).select("q", F.col("code").alias("own"))
@@ -175,10 +178,11 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = 5, id_col: str = "v
 
     Vectors that are null, zero or hold null or non-finite components take no part, nor do rows with a null id, nor vectors of another
     length than most (the longest of equally frequent lengths). Equal vectors are one node of the graph with their
-    smallest ids, so copies cost no pairs; rows of a repeated id count once. The ``recheck`` best found are scored on the original vectors; ties go to
+    smallest ids, so copies cost no pairs; rows of a repeated id count once. The ``recheck`` best found are scored on the original vectors, floats or doubles; ties go to
     the smaller id. Fewer rows than ``top``: all that there are. Other columns are not read.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("embedding"), is_query.alias("asks")).where(F.col("id").isNotNull() & usable(F.col("embedding")))
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), (F.col(vector_col) if single else F.col(vector_col).cast("array<double>")).alias("embedding"), is_query.alias("asks")).where(F.col("id").isNotNull() & usable(F.col("embedding")))
     sizes = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
     rows = rows.where(F.size("embedding") == (sizes[0]["d"] if sizes else 0)).dropDuplicates(["id"])
     nodes, total = numbered(distinct_vectors(rows, top + 1).withColumn("first", F.col("ids")[0]), [F.col("first")], "nodes", "node")
@@ -191,7 +195,7 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = 5, id_col: str = "v
     short = short.unionByName(queries.select("q", F.col("q").alias("w")))
     own = nodes.select(F.col("node").alias("q"), F.col("embedding").alias("own"))
     told = short.join(nodes.withColumnRenamed("node", "w"), "w").join(own, "q")
-    told = told.select("q", F.explode("ids").alias("vec_id"), F.when(F.col("q") == F.col("w"), 1.0).otherwise(cosine(F.col("own"), F.col("embedding"))).alias("score"))
+    told = told.select("q", F.explode("ids").alias("vec_id"), cosine(F.col("own"), F.col("embedding")).alias("score"))
     by_node = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     listed = told.withColumn("turn", F.row_number().over(by_node)).where(F.col("turn") <= top + 1).groupBy("q").agg(F.array_sort(F.collect_list(F.struct("turn", "vec_id", "score"))).alias("x"))
     out = asks.join(listed, "q").select(F.col("id").alias("query_id"), F.posexplode(F.slice(F.filter("x", lambda e: e["vec_id"] != F.col("id")), 1, top)).alias("p", "e"))
