@@ -133,7 +133,9 @@ def test_journeys(spark):
         if r["stop"] not in best or r["arr"] < best[r["stop"]]["arr"]:
             best[r["stop"]] = r
     assert {k: v["arr"] for k, v in best.items()} == {2: 29080, 3: 29380, 4: 29480, 5: 30280, 6: 29980}
-    assert [leg["trip"] for leg in best[5]["legs"]] == [1, 3] and best[5]["round"] == 2
+    legs = best[5]["legs"]
+    assert [leg["trip"] for leg in legs if leg["trip"] is not None] == [1, 3] and best[5]["round"] == 2
+    assert [(leg["board"], leg["alight"], leg["arr"] - leg["dep"]) for leg in legs if leg["trip"] is None] == [(3, 4, 100)]
     back = journeys.latest_departures(st, walks, spark.createDataFrame([(1, 5, 30280)], "q long, stop long, arr long"), rounds=2).collect()
     latest = {}
     for r in back:
