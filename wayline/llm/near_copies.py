@@ -8,18 +8,19 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from wayline.llm.common import written
+from wayline.llm.common import free_name, segments, worker_cache, written
 from wayline.llm.components import components
 from wayline.llm.neardup import codewords
 
-#: Keys of a fingerprint: each of two segments of 23 bits that no other key reads. Words of 64 bits for them; one word more only checks.
+#: Keys of a fingerprint: each of two segments of 23 bits that no other key reads. Words of 64 bits for them; two words more only check.
 KEYS, WORDS = 11, 8
-#: Per Python worker: hashes of words seen; only a cache, emptied when full.
-_WORDS: dict[bytes, int] = {}
-PRINT = "n long, check long, f binary"
+#: Hashes of words that a Python worker keeps; only a cache, emptied when full.
+CACHED_WORDS = 150_000
+PRINT = "n long, c1 long, c2 long, f binary"
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -29,16 +30,32 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_WORDS) > 1_000_000:
-        _WORDS.clear()
-    for w in set(words).difference(_WORDS):
-        _WORDS[w] = xxhash.xxh64_intdigest(w)
-    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    known = worker_cache(("word hashes",), dict)
+    if len(known) > CACHED_WORDS:
+        known.clear()
+    for w in set(words).difference(known):
+        known[w] = xxhash.xxh64_intdigest(w)
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
-def shingle_set(words: list[bytes], k: int) -> np.ndarray:
-    """Hashes of the distinct runs of k words (all words, if fewer), sorted."""
-    h = word_hashes(words)
+def text_words(text: str | None, most: int = 1 << 20) -> tuple[np.ndarray, int]:
+    """Hashes of the text's words (A-Z in lower case, parted at ASCII white space), and a name of their sequence.
+
+    Texts of over ``most`` bytes are read in parts, so that their words don't stand in memory all at once.
+    """
+    data, name, hashes = (text or "").encode("utf-8", "surrogatepass"), hashlib.md5(), []
+    for part in segments(data, most):
+        w = part.lower().split()
+        if w:
+            name.update(b" " * bool(hashes) + b" ".join(w))
+            hashes.append(word_hashes(w))
+    return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), int.from_bytes(name.digest()[:8], "little", signed=True)
+
+
+def shingle_set(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the distinct runs of k word hashes (all, if fewer), sorted."""
+    if not len(h):
+        return h
     k = max(1, min(k, len(h)))
     x = np.zeros(len(h) - k + 1, np.uint64)
     for i in range(k):
@@ -46,35 +63,31 @@ def shingle_set(words: list[bytes], k: int) -> np.ndarray:
     return np.unique(mixed(x))
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
-
-
-def print_of(text: str | None, run: int = 255 * 32) -> tuple[int, int, bytes]:
-    """(name of the word sequence, check word, key words): a SimHash of 64 bits for each word, of the distinct two-word shingles."""
-    w = words_of(text)
-    name = int.from_bytes(hashlib.md5(b" ".join(w)).digest()[:8], "little", signed=True)
-    if not w:
-        return name, 0, bytes(8 * WORDS)
-    s = shingle_set(w, 2)
-    ones = np.zeros(64 * (WORDS + 1), np.int64)
+def print_of(text: str | None, run: int = 255 * 32) -> tuple[int, int, int, bytes]:
+    """(name of the word sequence, two check words, key words): a SimHash of 64 bits for each word, of the distinct two-word shingles."""
+    h, name = text_words(text)
+    if not len(h):
+        return name, 0, 0, bytes(8 * WORDS)
+    s = shingle_set(h, 2)
+    ones = np.zeros(64 * (WORDS + 2), np.int64)
     for i in range(0, len(s), run):
-        x = np.stack([mixed(s[i : i + run] ^ np.uint64(salt)) for salt in range(1, WORDS + 2)], axis=1)
+        x = np.stack([mixed(s[i : i + run] ^ np.uint64(salt)) for salt in range(1, WORDS + 3)], axis=1)
         bits = np.unpackbits(x.view(np.uint8).reshape(len(x), -1), axis=1, bitorder="little")
         for j in range(0, len(bits), 255):
             ones += bits[j : j + 255].sum(axis=0, dtype=np.uint8)
     made = np.packbits(ones * 2 > len(s), bitorder="little").tobytes()
-    return name, int.from_bytes(made[:8], "little", signed=True), made[8:]
+    return name, *(int.from_bytes(made[k : k + 8], "little", signed=True) for k in (0, 8)), made[16:]
 
 
 def prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, h, n, check, f): h is a plain hash of the text, by which rows are found again; n names its sequence of words."""
+    """(id, h, n, c1, c2, f): h is a plain hash of the text, by which rows are found again; n names its sequence of words."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, check, f = zip(*(print_of(t.as_py()) for t in b.column(2)), strict=True) if len(b) else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(check, pa.int64()), pa.array(f, pa.binary())], names=["id", "h", "n", "check", "f"])
+            n, c1, c2, f = zip(*(print_of(t.as_py()) for t in b.column(2)), strict=True) if len(b) else ((), (), (), ())
+            longs = [pa.array(x, pa.int64()) for x in (n, c1, c2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *longs, pa.array(f, pa.binary())], names=["id", "h", "n", "c1", "c2", "f"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"id {kind}, h long, {PRINT}")
@@ -100,88 +113,68 @@ def fuzzy_keys(f: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def key_rows(nodes: DataFrame) -> DataFrame:
+    """(key, c1, c2) of all keys of the nodes."""
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, check, f = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-            for i in range(0, len(check), 512):
+            c1, c2, f = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            for i in range(0, len(c1), 512):
                 key, at = fuzzy_keys(f[i : i + 512].tolist())
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(check[i : i + 512][at]), pa.array(n[i : i + 512][at])], names=["key", "check", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(c1[i : i + 512][at]), pa.array(c2[i : i + 512][at])], names=["key", "c1", "c2"])
 
-    return nodes.select("n", "check", "f").mapInArrow(emit, "key long, check long, n long")
+    return nodes.select("c1", "c2", "f").mapInArrow(emit, "key long, c1 long, c2 long")
 
 
-def nearest_tree(check: np.ndarray, radius: int, name: np.ndarray | None = None) -> np.ndarray:
-    """Edges, as names, of a least spanning forest of words by Hamming distance, up to ``radius`` (Prim's rule, one row at a time).
+def bits_apart(c1: np.ndarray, c2: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(c1[a] ^ c1[b]) + np.bitwise_count(c2[a] ^ c2[b])
 
-    Without names a word is its own, and equal ones are one.
-    """
-    x = (np.unique(check) if name is None else check).view(np.uint64)
-    name = x.view(np.int64) if name is None else name
-    if len(x) < 2:
-        return np.zeros((0, 2), np.int64)
-    away, link, left = np.bitwise_count(x ^ x[0]).astype(np.int16), np.zeros(len(x), np.int64), np.ones(len(x), bool)
-    left[0], away[0], out = False, 999, []
-    for _ in range(len(x) - 1):
-        k = int(away.argmin())
-        if away[k] <= radius:
-            out.append((name[k], name[link[k]]))
-        left[k], away[k] = False, 999
-        d = np.bitwise_count(x ^ x[k])
-        closer = left & (d < away)
-        away[closer], link[closer] = d[closer], k
-    return np.array(out, np.int64).reshape(-1, 2)
-
-
-def pairs_of_run(key: np.ndarray, check: np.ndarray, radius: int, small: int = 8, name: np.ndarray | None = None) -> np.ndarray:
-    """Of rows sorted by key: all near pairs of short runs, and the tree edges of long ones; distinct, larger name first."""
-    c, out = check.view(np.uint64), []
-    named = check if name is None else name
-    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    size = np.diff(np.append(begin, len(key)))
-    long_row = np.repeat(size > small, size)
-    for lag in range(1, small):
-        hit = np.flatnonzero((key[lag:] == key[:-lag]) & ~long_row[lag:])
-        hit = hit[(np.bitwise_count(c[hit] ^ c[hit + lag]) <= radius) & (named[hit] != named[hit + lag])]
-        out.append(np.stack([named[hit], named[hit + lag]], axis=1))
-    out += [nearest_tree(check[b : b + n], radius, None if name is None else name[b : b + n]) for b, n in zip(begin[size > small].tolist(), size[size > small].tolist(), strict=True)]
-    e = np.concatenate(out)
-    return np.unique(np.stack([e.max(axis=1), e.min(axis=1)], axis=1), axis=0)
 
+def forest(c1: np.ndarray, c2: np.ndarray, radius: int) -> np.ndarray:
+    """Pairs of places at most ``radius`` bits apart that connect all that such pairs connect.
 
-def spanned(key: np.ndarray, check: np.ndarray, name: np.ndarray, radius: int, small: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """``pairs_of_run``, and the positions of the rows of long runs that have near pairs besides: those in trees of three words or more."""
-    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    size = np.diff(np.append(begin, len(key)))
-    short = np.repeat(size <= small, size)
-    pairs, rest = [pairs_of_run(key[short], check[short], radius, small, name[short])] if short.any() else [], [np.zeros(0, np.int64)]
-    for b, n in zip(begin[size > small].tolist(), size[size > small].tolist(), strict=True):
-        e = nearest_tree(check[b : b + n], radius, np.arange(b, b + n))
-        degree = np.bincount(e.ravel() - b, minlength=n)
-        rest.append(np.unique(e[degree[e - b].sum(axis=1) > 2]))
-        pairs.append(np.stack([np.maximum(*name[e].T), np.minimum(*name[e].T)], axis=1))
-    return np.unique(np.concatenate(pairs), axis=0), np.concatenate(rest)
-
-
-def ranked_pairs(key: np.ndarray, check: np.ndarray, name: np.ndarray, root: np.ndarray, radius: int, begin: int, end: int) -> tuple[np.ndarray, bool]:
-    """Of rows sorted by key: near pairs of unlike roots in which one is among the other's ``begin``-th to ``end``-th nearest (ties by name),
-    distinct and larger name first; and whether such pairs stand further back.
+    Each place not yet reached is tied to the first that has it in reach, in order of ``c1``: so in the keys that a group shares its members are tied
+    to the same few.
     """
-    out, more, x = [np.zeros((0, 2), np.int64)], False, check.view(np.uint64)
-    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])).tolist()
-    for b, e in zip(at, [*at[1:], len(key)], strict=True):
-        if (root[b:e] == root[b]).all():
-            continue
-        for v in range(b, e):
-            d = np.bitwise_count(x[b:e] ^ x[v])
-            near = np.flatnonzero((d <= radius) & (name[b:e] != name[v]))
-            if len(near) <= begin or (root[b + near] == root[v]).all():
-                continue
-            near = b + near[np.lexsort((name[b + near], d[near]))]
-            more = more or bool((root[near[end:]] != root[v]).any())
-            near = near[begin:end]
-            near = near[root[near] != root[v]]
-            out.append(np.stack([np.maximum(name[near], name[v]), np.minimum(name[near], name[v])], axis=1))
-    return np.unique(np.concatenate(out), axis=0), more
+    order = np.argsort(c1, kind="stable")
+    left, out = order, []
+    while len(left):
+        queue, left = [left[:1]], left[1:]
+        while queue and len(left):
+            todo = queue.pop(0)
+            for u in todo.tolist():
+                near = bits_apart(c1, c2, left, np.array([u])) <= radius
+                if near.any():
+                    out.append(np.stack([left[near], np.full(int(near.sum()), u)], axis=1))
+                    queue.append(left[near])
+                    left = left[~near]
+                if not len(left):
+                    break
+    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+
+
+def pairs_of_run(key: np.ndarray, c1: np.ndarray, c2: np.ndarray, radius: int, small: int = 8, some: int = 64) -> np.ndarray:
+    """Of rows sorted by key: pairs of ``c1`` enough to connect what pairs of a key at most ``radius`` bits apart connect, distinct, larger first.
+
+    Runs of up to ``small`` rows, and those of up to ``some`` rows with no more than two near pairs a row, give all near pairs; others a forest.
+    """
+    x1, x2 = c1.view(np.uint64), c2.view(np.uint64)
+    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    end = np.append(begin[1:], len(key))
+    size = end - begin
+    of, i, j = np.repeat(np.arange(len(size)), size), [], []
+    brief = np.flatnonzero((size <= some)[of])
+    for lag in range(1, int(size[size <= some].max(initial=0))):
+        brief = brief[brief + lag < end[of[brief]]]
+        hit = brief[(bits_apart(x1, x2, brief, brief + lag) <= radius) & (c1[brief] != c1[brief + lag])]
+        i.append(hit)
+        j.append(hit + lag)
+    i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (i, j))
+    dense = (size > some) | (size > small) & (np.bincount(of[i], minlength=len(size)) > 2 * size)
+    keep = ~dense[of[i]]
+    pairs = [np.stack([i[keep], j[keep]], axis=1)] + [b + forest(x1[b:e], x2[b:e], radius) for b, e in zip(begin[dense].tolist(), end[dense].tolist(), strict=True)]
+    e = c1[np.concatenate(pairs)]
+    e = e[e[:, 0] != e[:, 1]]
+    return np.unique(np.stack([e.max(axis=1), e.min(axis=1)], axis=1), axis=0)
 
 
 def by_run(rows: DataFrame, told: Callable[..., pa.RecordBatch], schema: str) -> DataFrame:
@@ -206,53 +199,110 @@ def by_run(rows: DataFrame, told: Callable[..., pa.RecordBatch], schema: str) ->
     return dealt.mapInArrow(run, schema)
 
 
-def candidate_edges(nodes: DataFrame, radius: int, block: int) -> DataFrame:
-    """(a, b): names of nodes that share a key and differ in at most ``radius`` bits, enough to span each key's groups, with key and check
-    null; and (a, key, check), with b null: the rows of keys in which there are more such pairs.
+def crowded_keys(nodes: DataFrame, block: int) -> DataFrame | None:
+    """(key, g): keys with more rows than about ``block``, told by an even draw of one node in 64, and into how many blocks they part; None if there are none."""
+    drawn = key_rows(nodes.where(F.pmod(F.xxhash64("c1"), F.lit(64)) == 0)).groupBy("key").agg((F.count("*") * 64).alias("size")).where(F.col("size") > block)
+    crowd = written(drawn.select("key", F.ceil(F.col("size") / block).cast("long").alias("g")), "crowded-keys")
+    return crowd if crowd.limit(1).count() else None
+
 
-    A key with more rows than about ``block`` (told by an even draw of one node in 64) is dealt to a grid: each pair of its blocks is one
-    group. A least forest of the whole lies in the forests of the pairs, so none of its edges is lost; any two rows meet in a group.
+def in_block(key: Column, block: Column) -> Column:
+    """A key's block as a key of its own."""
+    return key + block * (1 << 32)
+
+
+def stars(pairs: np.ndarray) -> np.ndarray:
+    """Each name that the pairs connect with others, and the least of those, where it isn't that itself."""
+    name, of = np.unique(pairs, return_inverse=True)
+    i, j = of.reshape(-1, 2).T
+    least, before = np.arange(len(name)), None
+    while before is None or (least != before).any():
+        before = least.copy()
+        m = np.minimum(least[i], least[j])
+        np.minimum.at(least, i, m)
+        np.minimum.at(least, j, m)
+        least = least[least]
+    out = np.flatnonzero(least != np.arange(len(name)))
+    return np.stack([name[out], name[least[out]]], axis=1)
+
+
+def connections(rows: DataFrame, radius: int) -> DataFrame:
+    """(a, b): of rows (key, c1, c2) pairs of c1 enough to connect all that share a key and differ in at most ``radius`` bits of both words.
+
+    What the keys of one batch connect is told as a star, so the many keys that a group shares give nearly the same pairs.
     """
-    keys = key_rows(nodes)
-    crowd = key_rows(nodes.where(F.pmod(F.xxhash64("n"), F.lit(64)) == 0)).groupBy("key").agg((F.count("*") * 64).alias("size")).where(F.col("size") > block)
-    crowd = written(crowd.select("key", F.ceil(2 * F.col("size") / block).cast("long").alias("g")), "crowded-keys")
-    if crowd.limit(1).count():
-        i = F.pmod(F.xxhash64("n"), F.col("g"))
-        cells = F.when(F.col("g").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("g") - 1), lambda j: F.least(i, j) * F.col("g") + F.greatest(i, j)))
-        keys = keys.join(crowd, "key", "left").select("key", "check", "n", F.explode(cells).alias("cell")).select((F.col("key") + F.col("cell") * (1 << 32)).alias("key"), "check", "n")
 
-    def told(key: np.ndarray, check: np.ndarray, name: np.ndarray) -> pa.RecordBatch:
-        e, rest = spanned(key, check, name, radius)
-        pair = np.arange(len(e) + len(rest)) < len(e)
-        cols = [(np.concatenate([e[:, 0], name[rest]]), None), (np.concatenate([e[:, 1], name[rest]]), ~pair)]
-        cols += [(np.concatenate([e[:, 0], c[rest]]), pair) for c in (key, check)]
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64(), mask=m) for x, m in cols], names=["a", "b", "key", "check"])
+    def told(key: np.ndarray, c1: np.ndarray, c2: np.ndarray) -> pa.RecordBatch:
+        e = stars(pairs_of_run(key, c1, c2, radius))
+        return pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["a", "b"])
 
-    return by_run(keys, told, "a long, b long, key long, check long")
+    return by_run(rows.select("key", "c1", "c2"), told, "a long, b long").distinct()
 
 
-def further_edges(rows: DataFrame, radius: int, begin: int, end: int) -> DataFrame:
-    """(a, b) of ``ranked_pairs`` over rows (key, check, n, root); a row of nulls says that more stand further back."""
+def links_within(root: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Pairs of places, one for each union of groups, that tie together all groups which a pair of sets with a Jaccard similarity of at least ``least`` links.
 
-    def told(*cols: np.ndarray) -> pa.RecordBatch:
-        e, more = ranked_pairs(*cols, radius, begin, end)
-        return pa.RecordBatch.from_arrays([pa.array([*e[:, i].tolist(), *[None] * more], pa.int64()) for i in (0, 1)], names=["a", "b"])
+    Exact, by counting through a table of the places that hold each element; nothing is drawn or left out. A set of groups told by ``root`` stays together.
+    """
+    size = np.array(list(map(len, sets)), np.int64)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(flat, kind="stable")
+    begin = np.concatenate([[True], flat[order][1:] != flat[order][:-1]]) if len(flat) else np.zeros(0, bool)
+    number = np.empty(len(flat), np.int64)
+    number[order] = np.cumsum(begin) - 1
+    first, held, owner = np.flatnonzero(begin), np.zeros(int(begin.sum()), np.int64), owner[order]
+    top = {r: r for r in root.tolist()}
+
+    def find(r: int) -> int:
+        while top[r] != r:
+            top[r] = top[top[r]]
+            r = top[r]
+        return r
+
+    at, out = np.concatenate([[0], np.cumsum(size)]), []
+    for v, own in enumerate(root.tolist()):
+        elements = number[at[v] : at[v + 1]]
+        n = held[elements]
+        places = np.repeat(first[elements] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(owner[places], minlength=v)
+        for u in np.flatnonzero(both / np.maximum(1, size[v] + size[:v] - both) >= least).tolist() if v else ():
+            a, b = find(own), find(int(root[u]))
+            if a != b:
+                top[max(a, b)] = min(a, b)
+                out.append((v, u))
+        held[elements] += 1
+    return out
+
+
+def links_by_cell(rows: DataFrame, least: float) -> DataFrame:
+    """(a, b): links of ``links_within`` each cell of rows (cell, root, n, s)."""
 
-    return by_run(rows, told, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, root, name, sets, found = None, [], [], [], []
 
+        def told() -> None:
+            if len(set(root)) > 1:
+                found.extend((name[i], name[j]) for i, j in links_within(np.array(root, np.int64), sets, least))
 
-def overlap(a: pa.Array, b: pa.Array) -> pa.Array:
-    """Jaccard similarity of two columns of sorted sets."""
+        def links() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            found.clear()
+            return out
 
-    def sets(x: pa.Array) -> list[np.ndarray]:
-        flat, at = x.values.to_numpy(zero_copy_only=False), x.offsets.to_numpy()
-        return [flat[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+        for b in batches:
+            flat, at = b.column(3).values.to_numpy(zero_copy_only=False), b.column(3).offsets.to_numpy()
+            for i, (c, r, n) in enumerate(zip(*(x.to_pylist() for x in b.columns[:3]), strict=True)):
+                if c != now:
+                    told()
+                    now, root, name, sets = c, [], [], []
+                root.append(r)
+                name.append(n)
+                sets.append(flat[at[i] : at[i + 1]].copy())
+            yield links()
+        told()
+        yield links()
 
-    out = []
-    for x, y in zip(sets(a), sets(b), strict=True):
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        out.append(both / max(1, len(x) + len(y) - both))
-    return pa.array(out, pa.float64())
+    return rows.select("cell", "root", "n", "s").repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
 
 
 def shingle_sets(rows: DataFrame, words: int) -> DataFrame:
@@ -260,57 +310,87 @@ def shingle_sets(rows: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = [shingle_set(w, words).view(np.int64) if (w := words_of(t.as_py())) else np.zeros(0, np.int64) for t in b.column(1)]
+            s = [shingle_set(text_words(t.as_py())[0], words).view(np.int64) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.list_(pa.int64()))], names=["n", "s"])
 
     return rows.select("n", "text").mapInArrow(run, "n long, s array<long>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles have a Jaccard similarity of at least ``least``."""
-    both = pairs.join(sets.select(F.col("n").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("n").alias("b"), F.col("s").alias("sb")), "b")
-    return both.where(F.arrow_udf(overlap, "double")("sa", "sb") >= least).select("a", "b")
+def with_roots(rows: DataFrame, roots: DataFrame, name: str = "n") -> DataFrame:
+    """Rows with the ``root`` of the column ``name``, which is itself where ``roots`` (a, root) don't have it."""
+    return rows.join(roots.withColumnRenamed("a", name), name, "left").withColumn("root", F.coalesce("root", name))
+
+
+def to_blocks(rows: DataFrame, group: str, name: str = "n") -> DataFrame:
+    """Adds ``block`` to rows (group, g, name, root) of groups that hold several roots, so that any two rows of unlike roots meet in a block: rows of a group's
+    largest root go to one of g blocks, the others to all. So a group that one root nearly fills costs no more than its rows.
+    """
+    sizes = rows.groupBy(group, "root").agg(F.count("*").alias("k")).groupBy(group).agg(F.max(F.struct("k", "root")).alias("x"), F.count("*").alias("roots")).where("roots > 1").select(group, F.col("x.root").alias("largest"))
+    own = F.array(F.pmod(F.xxhash64(name), F.col("g")))
+    return rows.join(sizes, group).withColumn("block", F.explode(F.when(F.col("root") == F.col("largest"), own).otherwise(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))).drop("largest")
+
+
+def grown(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The roots after ``links`` (a, b) too."""
+    return components(roots.select("a", F.col("root").alias("b")).unionByName(links.select("a", "b")))
 
 
-def roots_of(seen: DataFrame, pairs: DataFrame, sets: DataFrame, least: float, radius: int) -> DataFrame:
-    """(n, root) of all verified links among candidates: the forests' edges first, then round by round what they have left apart.
+def family_roots(families: DataFrame, sets: DataFrame, least: float, block: int, elements: int = 1 << 22, few: int = 64, rounds: int = 3) -> DataFrame:
+    """(a, root): all links of at least ``least`` within families (n, family).
 
-    A round takes, of each node and key, the next nearest partners that are not yet in its group, eight times as many as the last. It ends when all
-    candidates are in one group or have been verified, so no link depends on the choice of edges.
+    A family's sets come to one task, in which every pair is verified. One of over ``block`` nodes, or ``elements`` shingles, parts into blocks,
+    each first by itself; then, up to ``rounds`` times, ``few`` nodes of each group that was found tie the blocks; then whatever
+    pairs of unlike groups are left meet (``to_blocks``). No pair of a family is left out.
     """
-    roots = components(written(verified(pairs, sets, least), "copy-links"))
-    rest, tried, begin, end = seen.where("key is not null").select("key", "check", F.col("a").alias("n")), pairs, 0, 8
-    if not rest.limit(1).count():
-        return roots.withColumnRenamed("a", "n")
-    while True:
-        rows = rest.join(roots.withColumnRenamed("a", "n"), "n", "left").select("key", "check", "n", F.coalesce("root", "n").alias("root"))
-        told = written(further_edges(rows, radius, begin, end), "copy-further")
-        fresh = written(told.where("b is not null").distinct().join(tried, ["a", "b"], "left_anti"), "copy-fresh")
-        if fresh.limit(1).count():
-            known = roots.select("a", F.col("root").alias("b")).unionByName(verified(fresh, sets, least))
-            roots, tried = components(written(known, "copy-links")), tried.unionByName(fresh)
-        if not told.where("b is null").limit(1).count():
-            return roots.withColumnRenamed("a", "n")
-        begin, end = end, end * 8
-
-
-def duplicate_groups(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int = 20, block: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    held = sets.join(families, "n").withColumn("root", F.col("n"))
+    sizes = held.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum(F.size("s")) / elements)).cast("long").alias("g"))
+    held = written(held.join(sizes, "family"), "copy-held")
+    links = written(links_by_cell(held.withColumn("cell", F.xxhash64("family", F.pmod(F.xxhash64("n"), F.col("g")))), least), "copy-links")
+    roots = components(links)
+    large = held.where("g > 1").drop("root")
+    if not large.limit(1).count():
+        return roots
+    for salt in range(1, rounds + 1):
+        if not links.limit(1).count():
+            break
+        order = Window.partitionBy("family", "root").orderBy(F.xxhash64("n", F.lit(salt)))
+        drawn = with_roots(large.select("family", "n"), roots).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= few)
+        parts = drawn.groupBy("family").agg(F.ceil(F.count("*") / block).cast("long").alias("parts"))
+        drawn = drawn.join(parts, "family").join(large.select("family", "n", "s"), ["family", "n"])
+        links = written(links_by_cell(drawn.withColumn("cell", F.xxhash64("family", F.pmod(F.xxhash64("n", F.lit(salt)), F.col("parts")))), least), "copy-links")
+        roots = grown(roots, links)
+    rest = to_blocks(with_roots(large.select("family", "g", "n"), roots), "family").select("family", "n", "root", "block")
+    last = links_by_cell(rest.join(large.select("family", "n", "s"), ["family", "n"]).withColumn("cell", F.xxhash64("family", "block")), least)
+    return grown(roots, written(last, "copy-links"))
+
+
+def duplicate_groups(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int = 34, block: int = 1024, crowd: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, h, root, first): a row per document row; ``first`` marks those of the group's kept text, of which the row of the least id stays.
 
-    Texts of equal words are one node. Nodes that share a Golay key of two segments and whose check words are within ``radius`` bits of 64 are
-    candidates; all of them that verified links do not tie together anyway are verified by the exact Jaccard similarity of shingles of
-    ``words`` words, at least ``least``. Links found this way are always true; of pairs at
-    similarity 0.8 with their edits in one stretch, at most 0.7 % share no key or lie outside the radius (simulated), of pairs with spread edits none of 1,000.
+    Texts of equal words are one node. Nodes that share a Golay key of two segments and whose check words are within ``radius`` bits of 128 are candidates.
+    What candidates connect is a family; all pairs of a family are verified by the exact Jaccard similarity of
+    shingles of ``words`` words, at least ``least``. Links found this way are always true; of pairs at similarity 0.8 with their edits in one
+    stretch, at most 0.7 % share no key or lie outside the radius (simulated), of pairs with spread edits none of 1,000. Keys of over ``crowd`` nodes are dealt to blocks, each row once;
+    when families are known, only nodes outside a key's largest family meet all others.
     """
     rows = written(prints(docs, id_col, text_col), "copy-prints")
-    nodes = written(rows.groupBy("n").agg(F.min("id").alias("rep"), F.first("check").alias("check"), F.first("f").alias("f")), "copy-nodes")
-    seen = written(candidate_edges(nodes, radius, block), "copy-edges")
-    pairs = written(seen.where("key is null").select("a", "b").distinct(), "copy-pairs")
-    ends = pairs.select(F.col("a").alias("n")).unionByName(pairs.select(F.col("b").alias("n"))).distinct()
-    wanted = written(nodes.join(ends, "n").select("n", "rep"), "copy-ends").join(rows.select("id", "h", "n"), "n").where(F.col("id").eqNullSafe(F.col("rep"))).groupBy("n").agg(F.min(F.struct("id", "h")).alias("x")).select("n", "x.*")
+    nodes = written(rows.groupBy("n").agg(F.min("id").alias("rep"), F.first("c1").alias("c1"), F.first("c2").alias("c2"), F.first("f").alias("f")), "copy-nodes")
+    keys, full = key_rows(nodes), crowded_keys(nodes, crowd)
+    if full is not None:
+        keys = keys.join(full, "key", "left")
+        crowded = written(keys.where("g is not null"), "copy-crowded")
+        keys = keys.where("g is null").unionByName(crowded).withColumn("key", in_block(F.col("key"), F.coalesce(F.pmod(F.xxhash64("c1", "key"), F.col("g")), F.lit(0))))
+    near = components(written(connections(keys, radius), "copy-pairs"))
+    if full is not None:
+        cells = to_blocks(with_roots(crowded, near, "c1"), "key", "c1").withColumn("key", in_block(F.col("key"), F.col("block")))
+        near = grown(near, written(connections(cells, radius), "copy-pairs"))
+    named = with_roots(nodes.select("n", "rep", "c1"), near, "c1").select("n", "rep", F.col("root").alias("family"))
+    several = named.groupBy("family").count().where("count > 1").select("family")
+    families = written(named.join(several, "family"), "copy-families")
+    wanted = families.select("n", "rep").join(rows.select("id", "h", "n"), "n").where(F.col("id").eqNullSafe(F.col("rep"))).groupBy("n").agg(F.min(F.struct("id", "h")).alias("x")).select("n", "x.*")
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).join(wanted, ["id", "h"])
     sets = written(shingle_sets(texts, words).dropDuplicates(["n"]), "copy-sets")
-    roots = roots_of(seen, pairs, sets, least, radius)
+    roots = family_roots(families.select("n", "family"), sets, least, block).withColumnRenamed("a", "n")
     rooted = written(nodes.select("n", "rep").join(roots, "n", "left").withColumn("root", F.coalesce("root", "n")), "copy-roots")
     kept = rooted.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "n")).alias("k")).select(F.col("k.n").alias("n"), F.col("k.rep").alias("kept_id"), F.lit(True).alias("kept"))
     decided = written(rooted.select("n", "root").join(kept, "n", "left"), "copy-decided")
@@ -324,9 +404,10 @@ def without_copies(docs: DataFrame, words: int = 5, least: float = 0.8, id_col:
     Null, empty and word-less texts are copies of one another. Of rows that repeat whole one stays. All columns are kept as they are.
     """
     told = written(duplicate_groups(docs, words, least, id_col=id_col, text_col=text_col), "copy-groups")
-    gone = told.where("not first").select(F.col("id").alias("__id"), F.col("h").alias("__h")).distinct()
-    out = docs.withColumn("__of", F.xxhash64(text_col)).join(gone, (F.col("__of") == F.col("__h")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
+    of, i, h = (free_name(docs, n) for n in ("text_hash", "gone_id", "gone_hash"))
+    gone = told.where("not first").select(F.col("id").alias(i), F.col("h").alias(h)).distinct()
+    out = docs.withColumn(of, F.xxhash64(text_col)).join(gone, (F.col(of) == F.col(h)) & F.col(id_col).eqNullSafe(F.col(i)), "left_anti")
     stay = told.where("first")
     if stay.groupBy("id", "h").count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates([id_col, "__of"])
+        out = out.dropDuplicates([id_col, of])
     return out.select(*docs.columns)
