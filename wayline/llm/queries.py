@@ -14,6 +14,8 @@ from wayline.llm.decontaminate import leaked_documents
 from wayline.llm.language import language_of_documents
 from wayline.llm.neardup import near_duplicates
 from wayline.llm.packing import pack_documents
+from wayline.llm.phrases import ORACLE_SQL as PHRASES_SQL
+from wayline.llm.phrases import collocations
 from wayline.llm.pii import personal_data
 from wayline.llm.prefix_trie import ORACLE_SQL as TRIE_SQL
 from wayline.llm.prefix_trie import conversation_trie
@@ -66,14 +68,19 @@ def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3)
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of each language; SQL beside it."""
+    return collocations(table(spark, sf_dir, "documents"), least=100, top=2000)
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trie of all rebuilt conversations, a row per node; SQL beside it."""
     return conversation_trie(table(spark, sf_dir, "conversations"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_nn_descent, op4_quotation_linking, op5_personal_data, op6_url_filter, op7_language_id, op8_feistel_shards, op9_best_fit_packing, op10_simhash_near_duplicates, op13_prefix_trie)}
+    return {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_nn_descent, op4_quotation_linking, op5_personal_data, op6_url_filter, op7_language_id, op8_feistel_shards, op9_best_fit_packing, op10_simhash_near_duplicates, op11_phrase_collocations, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quotation_linking": QUOTES_SQL, "op13_prefix_trie": TRIE_SQL}
+    return {"op4_quotation_linking": QUOTES_SQL, "op11_phrase_collocations": PHRASES_SQL, "op13_prefix_trie": TRIE_SQL}
