@@ -24,6 +24,7 @@ from wayline.llm.quotes import without_quotes
 from wayline.llm.sharding import shard_documents
 from wayline.llm.token_counts import count_tokens
 from wayline.llm.url_filter import Rule, judge_urls
+from wayline.llm.vector_copies import near_copies
 
 RULES = [Rule("net/", "block"), Rule("example.net/en/", "allow"), Rule("example.com/de/", "block"), Rule("org/fr/", "allow")]
 
@@ -73,13 +74,18 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"), least=100, top=2000)
 
 
+def op12_embedding_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at cosine 0.9; tests hold it against all pairs."""
+    return near_copies(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trie of all rebuilt conversations, a row per node; SQL beside it."""
     return conversation_trie(table(spark, sf_dir, "conversations"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_nn_descent, op4_quotation_linking, op5_personal_data, op6_url_filter, op7_language_id, op8_feistel_shards, op9_best_fit_packing, op10_simhash_near_duplicates, op11_phrase_collocations, op13_prefix_trie)}
+    return {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_nn_descent, op4_quotation_linking, op5_personal_data, op6_url_filter, op7_language_id, op8_feistel_shards, op9_best_fit_packing, op10_simhash_near_duplicates, op11_phrase_collocations, op12_embedding_near_copies, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
