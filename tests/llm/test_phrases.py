@@ -51,14 +51,14 @@ def test_same_as_plain(spark, seed):
     rows += [(None, "en"), ("", None), (" \t\n.", "empty")] + [rows[0]] * 5
     want = plain(rows, 6, 40)
     assert len(want) > 60
-    assert ours(spark, rows, least=6, top=40, shard_chars=700, most_patterns=9, most_bits=13) == want
+    assert ours(spark, rows, least=6, top=40, shard_chars=700, most_patterns=9, most_bits=14) == want
 
 
 def test_every_passing_cell_and_still_exact(spark):
     """A sketch far too small lets nearly all phrases pass; results stay exact."""
     rng = random.Random(5)
     rows = [(" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randrange(40)) for _ in range(300)), "en") for _ in range(40)] + [("one two three four five six", "en")] * 9
-    assert ours(spark, rows, least=7, most_bits=12) == plain(rows, 7, 2000)
+    assert ours(spark, rows, least=7, most_bits=14) == plain(rows, 7, 2000)
 
 
 def test_subsumed_and_tied(spark):

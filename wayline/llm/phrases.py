@@ -19,28 +19,30 @@ from wayline.llm.common import shuffle_partitions, written
 
 #: The longest phrase, in words.
 LONGEST = 5
-#: A-Z go to a-z, marks at which pieces end go to a line feed, a tab to a space.
-_FOLD = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\x0b\x0c\r\t", bytes(range(97, 123)) + b"\n" * 9 + b" ")
+#: Stands between pieces; no UTF-8 text has this byte.
+_GAP = b"\xff"
+#: A-Z go to a-z, marks and line ends at which pieces end to the gap.
+_FOLD = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\n\x0b\x0c\r", bytes(range(97, 123)) + _GAP * 10)
 #: Odd multipliers of the hashes.
 _MIX, _TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: Cells of one row of a sketch group: the unit in which counts are shuffled and summed.
-_GROUP_BITS = 12
+_GROUP_BITS = 14
 
 
 class _WordHashes(dict):
-    """The hash of a word, 0 for the sign between pieces; words already met are kept, up to a bound."""
+    """The hash of a word, 0 for the gap between pieces; words already met are kept, up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= 400_000:
             self.clear()
-        self[word] = h = (xxhash.xxh64_intdigest(word, 7) | 1) if word != b"\n" else 0
+        self[word] = h = (xxhash.xxh64_intdigest(word, 7) | 1) if word != _GAP else 0
         return h
 
 
 class Shard:
     """Words of whole texts, piece by piece, with the hashes of their phrases.
 
-    ``texts`` are pairs (lang, text). Words stand in one list; a line feed ends each piece.
+    ``texts`` are pairs (lang, text). Words stand in one list; a gap ends each piece.
     """
 
     def __init__(self, texts: list[tuple[str, str]], hashes: _WordHashes):
@@ -48,10 +50,8 @@ class Shard:
         spans: list[tuple[str, int]] = []
         for lang, text in texts:
             start = len(self.words)
-            for piece in text.encode("utf-8", "surrogatepass").translate(_FOLD).split(b"\n"):
-                words = piece.split(b" ")
-                self.words += filter(None, words) if b"" in words else words
-                self.words.append(b"\n")
+            self.words += text.encode("utf-8", "surrogatepass").translate(_FOLD).replace(_GAP, b" \xff ").split()
+            self.words.append(_GAP)
             spans.append((lang, len(self.words) - start))
         self.spans = spans
         n = len(self.words)
@@ -60,14 +60,26 @@ class Shard:
         langs = np.array([xxhash.xxh64_intdigest(lang.encode(), 11) for lang, _ in spans], np.uint64)
         self.lang = np.repeat(langs, [k for _, k in spans]) if spans else np.zeros(0, np.uint64)
 
-    def counts(self) -> Counter:
-        """Words of each language."""
-        out: Counter = Counter()
-        at = 0
-        for lang, k in self.spans:
-            out[lang] += int(self.real[at : at + k].sum())
-            at += k
-        return out
+    def by_language(self, values: np.ndarray) -> Iterator[tuple[str, np.ndarray]]:
+        """Of positions ``values``, ascending, those in texts of each language."""
+        names = {lang: i for i, (lang, _) in enumerate(self.spans)}
+        of = np.repeat(np.array([names[lang] for lang, _ in self.spans], np.int64), [k for _, k in self.spans])[values]
+        for lang, i in names.items():
+            yield lang, values[of == i]
+
+    def runs(self, pairs: np.ndarray) -> Iterator[tuple[str, str]]:
+        """(lang, text): all stretches of words of which each two in a row are a pair that passes, parted by gaps; a letter stands for a byte.
+
+        ``pairs``: positions of passing pairs. A phrase of passing pairs lies within one stretch. One space parts words, and one stands at both ends.
+        """
+        first = np.zeros(len(self.words) + 1, bool)
+        first[pairs] = True
+        inside = first.copy()
+        inside[1:] |= first[:-1]
+        for lang, at in self.by_language(np.nonzero(inside[:-1])[0]):
+            begins = np.nonzero(~first[at - 1])[0]  # position -1 is the spare last one
+            told = np.insert(at, begins, len(self.words) - 1)  # the last word of all is a gap
+            yield lang, (b" " + b" ".join(map(self.words.__getitem__, told.tolist())) + b" ").decode("latin-1")
 
     def phrases(self, passes: dict[int, Passing], longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(k, starts, hashes) of the phrases of k words, for each k up to ``longest``, whose parts pass.
@@ -177,7 +189,7 @@ def sketch(docs: DataFrame, bits: int, least: int, lengths: range, passes: Broad
 
     parts = docs.mapInArrow(counted, "g long, data binary").repartition(shuffle_partitions(docs.sparkSession), "g").sortWithinPartitions("g")
     rows = [np.zeros((1 << bits) // 8, np.uint8) for _ in range(2)]
-    for g, data in parts.mapInArrow(summed, "g long, bits binary").toLocalIterator():
+    for g, data in parts.mapInArrow(summed, "g long, bits binary").collect():
         r, at = divmod(g, 1 << (bits - _GROUP_BITS))
         rows[r][at * group // 8 : (at + 1) * group // 8] = np.frombuffer(data, np.uint8)
     return Passing(bits, rows)
@@ -190,42 +202,46 @@ def _bitmaps(out: list[tuple[int, bytes]]) -> pa.RecordBatch:
 def exact_counts(docs: DataFrame, passes: Broadcast, shard_chars: int, most_patterns: int) -> DataFrame:
     """(lang, phrase, words, f): exact counts of all phrases of 1 to 5 words that pass the sketches, overlaps included; words 0 counts a language's words.
 
-    Each shard's phrases that pass, in any language, go to automata of at most ``most_patterns`` patterns, guarded by a space on both sides; the shard's texts, words parted by one space and pieces by
-    a line feed, run through them. A phrase that passes is in the automata of each shard that has it, so sums over shards are exact.
+    Each shard's phrases of two words and more that pass, in any language, go to automata of at most ``most_patterns`` patterns, guarded by a space on both sides; the shard's stretches of passing pairs
+    run through them. A phrase that passes is in the automata of each shard that has it, so sums over shards are exact. Single words, which the cuts need, are counted beside.
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
         for run in _shards(batches, shard_chars):
             shard = Shard(run, hashes)
-            patterns: list[tuple[str, int]] = []
+            patterns: dict[str, int] = {}
+            rows: list[tuple[str, str, int, int]] = []
+            pairs = np.zeros(0, np.int64)
             for k, at, h in shard.phrases(passes.value, LONGEST):
-                _, first = np.unique(h, return_index=True)
-                patterns += [(b" ".join(shard.words[i : i + k]).decode("latin-1"), k) for i in at[first].tolist()]
-            texts: dict[str, list[bytes]] = {}
-            at = 0
-            for lang, k in shard.spans:
-                texts.setdefault(lang, []).extend(shard.words[at : at + k])
-                at += k
-            # one letter a byte; a word never holds a space or line feed
-            joined = {lang: (b" " + b" ".join(words) + b" ").decode("latin-1") for lang, words in texts.items()}
-            rows = [(lang, "", 0, n) for lang, n in shard.counts().items() if n]
-            patterns = list(dict(patterns).items())
-            for i in range(0, len(patterns), most_patterns):
-                part = patterns[i : i + most_patterns]
+                if k == 1:
+                    for lang, own in shard.by_language(at):
+                        rows += [(lang, _text(w), 1, n) for w, n in Counter(map(shard.words.__getitem__, own.tolist())).items()]
+                    continue
+                pairs = at if k == 2 else pairs
+                first = at[np.unique(h, return_index=True)[1]]
+                patterns |= {b" ".join(shard.words[i : i + k]).decode("latin-1"): k for i in first.tolist()}
+            rows += [(lang, "", 0, len(own)) for lang, own in shard.by_language(np.nonzero(shard.real)[0]) if len(own)]
+            listed = list(patterns.items())
+            texts = list(shard.runs(pairs))
+            for i in range(0, len(listed), most_patterns):
+                part = listed[i : i + most_patterns]
                 machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
                 for j, (p, _) in enumerate(part):
                     machine.add_word(f" {p} ", j)
                 machine.make_automaton()
-                for lang, text in joined.items():
-                    for j, n in Counter(map(itemgetter(1), machine.iter(text))).items():
-                        rows.append((lang, part[j][0].encode("latin-1").decode("utf-8", "surrogatepass"), part[j][1], n))
+                for lang, text in texts:
+                    rows += [(lang, _text(part[j][0].encode("latin-1")), part[j][1], n) for j, n in Counter(map(itemgetter(1), machine.iter(text))).items()]
             lang, phrase, words, n = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(phrase, pa.string()), pa.array(words, pa.int32()), pa.array(n, pa.int64())], names=["lang", "phrase", "words", "n"])
 
     return docs.mapInArrow(counted, "lang string, phrase string, words int, n long").groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f"))
 
 
+def _text(word: bytes) -> str:
+    return word.decode("utf-8", "surrogatepass")
+
+
 def _words(phrase: Column, first: Column | int, count: Column) -> Column:
     return F.array_join(F.slice(F.split(phrase, " "), F.lit(first) if isinstance(first, int) else first, count), " ")
 
@@ -237,7 +253,7 @@ def collocations(docs: DataFrame, least: int = 100, top: int = 2000, shard_chars
     A candidate of 2 to 5 words occurs a >= ``least`` times; of its cuts into two parts with counts l and r the one with the least score floor(1000 * a * n / (l * r)) counts (ties: the shortest first
     part), n the words of the language. Candidates inside a longer one that is as frequent are dropped. Order: score and a descending, phrase ascending (bytes).
 
-    Four passes: sketches of words, of pairs of passing words, of phrases of three to five whose pairs pass, then exact counts. ``least`` is at most 255. Each sketch has two rows of 2^b cells, b from 16 to ``most_bits``, about
+    Three passes: a sketch of words and pairs, one of phrases of three to five whose pairs pass, then exact counts. ``least`` is at most 255. Each sketch has two rows of 2^b cells, b from 16 to ``most_bits``, about
     a cell for four words of the corpus; 2^28 cells are 64 MB of bits. Where the corpus outgrows that, more phrases pass than must and are counted, and the results stay exact.
     """
     if not 1 <= least <= 255:
@@ -247,7 +263,7 @@ def collocations(docs: DataFrame, least: int = 100, top: int = 2000, shard_chars
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(max(16, (size // 24).bit_length()), most_bits)
     passes: dict[int, Passing] = {}
-    for lengths in (range(1, 2), range(2, 3), range(3, LONGEST + 1)):
+    for lengths in (range(1, 3), range(3, LONGEST + 1)):
         held = spark.sparkContext.broadcast(passes)
         found = sketch(docs, bits, least, lengths, held, shard_chars)
         passes = {**passes, **dict.fromkeys(lengths, found)}
