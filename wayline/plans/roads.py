@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wayline.functions.clock import micro
 from wayline.operators import segments
 from wayline.plans import transit as t
 from wayline.registry import query
@@ -48,9 +47,11 @@ _D = {1: CROSS.format(px="a.lon1", py="a.lat1", qx="a.lon2", qy="a.lat2", rx="b.
 
 
 @query(t.sql(f"""{HOPS}, d AS (SELECT a.seg AS a, b.seg AS b, a.lat1, a.lon1, a.lat2, a.lon2, {_D[1]} AS d1, {_D[2]} AS d2, {_D[3]} AS d3, {_D[4]} AS d4 FROM hops a, hops b WHERE a.route < b.route)
-  SELECT a, b, floor((lat1 + d3/(d3 - d4)*(lat2 - lat1))*1e6 + 0.5)/1e6 AS lat, floor((lon1 + d3/(d3 - d4)*(lon2 - lon1))*1e6 + 0.5)/1e6 AS lon FROM d WHERE sign(d1)*sign(d2) < 0 AND sign(d3)*sign(d4) < 0"""))
+  SELECT a, b, floor((lat1 + d3/(d3 - d4)*(lat2 - lat1))*1e6 + 0.53)/1e6 AS lat, floor((lon1 + d3/(d3 - d4)*(lon2 - lon1))*1e6 + 0.53)/1e6 AS lon FROM d WHERE sign(d1)*sign(d2) < 0 AND sign(d3)*sign(d4) < 0"""))
 def line_crossings(spark, sf_dir):
     """Where hops of two routes cross."""
     h = hops(spark, sf_dir)
     found = segments.crossings(h.withColumnRenamed("seg", "a"), h.withColumnRenamed("seg", "b"))
-    return found.where(F.floor(F.col("a") / 100) < F.floor(F.col("b") / 100)).select("a", "b", micro(F.col("lat")).alias("lat"), micro(F.col("lon")).alias("lon"))
+    # stops lie on a lattice, so crossings fall on halves of a micro-degree: those round up for certain
+    told = lambda c: (F.floor(F.col(c) * 1e6 + 0.53) / 1e6).alias(c)
+    return found.where(F.floor(F.col("a") / 100) < F.floor(F.col("b") / 100)).select("a", "b", told("lat"), told("lon"))
