@@ -25,15 +25,15 @@ _GAP = b"\xff"
 _FOLD = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\n\x0b\x0c\r", bytes(range(97, 123)) + _GAP * 10)
 #: Odd multipliers of the hashes.
 _MIX, _TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-#: Cells of one row of a sketch group: the unit in which counts are shuffled and summed.
-_GROUP_BITS = 14
+#: Groups of cells of a row of a sketch, in which counts are shuffled and summed: as many for a sketch of any size, so that their rows grow with the shards only.
+_GROUPS_BITS = 10
 
 
 class _WordHashes(dict):
     """The hash of a word, 0 for the gap between pieces; words already met are kept, up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = h = (xxhash.xxh64_intdigest(word, 7) | 1) if word != _GAP else 0
         return h
@@ -147,10 +147,11 @@ def _shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple
 def sketch(docs: DataFrame, bits: int, least: int, lengths: range, passes: Broadcast, shard_chars: int) -> Passing:
     """The cells of a count-min sketch of the phrases of these lengths that reach ``least``, over all of ``docs`` (lang, text).
 
-    Two rows of 2^bits cells. A task passes on its counts, each at most ``least`` (a cell that reaches it in one task passes anyway), by groups of cells: positions of two bytes and counts of one.
+    Two rows of 2^bits cells. A task passes on its counts, each at most ``least`` (a cell that reaches it in one task passes anyway), by groups of cells: positions of three bytes and counts of one.
     Groups are summed where the shuffle brings them, one in memory at a time; what comes to the driver, and is broadcast from there, is one bit a cell.
     """
-    group, known = 1 << _GROUP_BITS, set(passes.value)
+    low_bits, known = bits - _GROUPS_BITS, set(passes.value)
+    group = 1 << low_bits
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
@@ -160,11 +161,12 @@ def sketch(docs: DataFrame, bits: int, least: int, lengths: range, passes: Broad
             for r in range(2):
                 c, n = np.unique(cells(merged, r, bits), return_counts=True)
                 n = np.minimum(n, least).astype(np.uint8)
-                groups, first = np.unique(c >> _GROUP_BITS, return_index=True)
+                groups, first = np.unique(c >> low_bits, return_index=True)
                 ends = [*first[1:], len(c)][: len(first)]
-                low = (c & (group - 1)).astype(np.uint16)
-                data = [low[a:b].tobytes() + n[a:b].tobytes() for a, b in zip(first, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(groups + (r << (bits - _GROUP_BITS)), pa.int64()), pa.array(data, pa.binary())], names=["g", "data"])
+                place = c & (group - 1)
+                low, high = (place & 0xFFFF).astype(np.uint16), (place >> 16).astype(np.uint8)
+                data = [low[a:b].tobytes() + high[a:b].tobytes() + n[a:b].tobytes() for a, b in zip(first, ends, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(groups + (r << _GROUPS_BITS), pa.int64()), pa.array(data, pa.binary())], names=["g", "data"])
 
     def passing(held: int, sums: np.ndarray, out: list) -> None:
         if (full := sums >= least).any():
@@ -179,8 +181,9 @@ def sketch(docs: DataFrame, bits: int, least: int, lengths: range, passes: Broad
                     if held is not None:
                         passing(held, sums, out)
                     held, sums[:] = g, 0
-                n = len(data) // 3
-                sums[np.frombuffer(data, np.uint16, n)] += np.frombuffer(data, np.uint8, n, 2 * n)
+                n = len(data) // 4
+                place = np.frombuffer(data, np.uint16, n).astype(np.int64) | np.frombuffer(data, np.uint8, n, 2 * n).astype(np.int64) << 16
+                sums[place] += np.frombuffer(data, np.uint8, n, 3 * n)
             yield _bitmaps(out)
         out = []
         if held is not None:
@@ -190,7 +193,7 @@ def sketch(docs: DataFrame, bits: int, least: int, lengths: range, passes: Broad
     parts = docs.mapInArrow(counted, "g long, data binary").repartition(shuffle_partitions(docs.sparkSession), "g").sortWithinPartitions("g")
     rows = [np.zeros((1 << bits) // 8, np.uint8) for _ in range(2)]
     for g, data in parts.mapInArrow(summed, "g long, bits binary").collect():
-        r, at = divmod(g, 1 << (bits - _GROUP_BITS))
+        r, at = divmod(g, 1 << _GROUPS_BITS)
         rows[r][at * group // 8 : (at + 1) * group // 8] = np.frombuffer(data, np.uint8)
     return Passing(bits, rows)
 
@@ -246,7 +249,7 @@ def _words(phrase: Column, first: Column | int, count: Column) -> Column:
     return F.array_join(F.slice(F.split(phrase, " "), F.lit(first) if isinstance(first, int) else first, count), " ")
 
 
-def collocations(docs: DataFrame, least: int = 100, top: int = 2000, shard_chars: int = 6_000_000, most_patterns: int = 100_000, most_bits: int = 28) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 100, top: int = 2000, shard_chars: int = 4_000_000, most_patterns: int = 100_000, most_bits: int = 28) -> DataFrame:
     """The ``top`` best phrases of each language: lang, rank (from 1), phrase, a, l, r, n, score.
 
     ``docs`` has text and lang; other columns are not read. A-Z are lower-cased, pieces end at ``.,;:!?`` and line ends, words at spaces and tabs. Null text is empty, null lang is ``und``; repeated rows count each.
