@@ -202,11 +202,17 @@ def _bitmaps(out: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([g for g, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], names=["g", "bits"])
 
 
-def exact_counts(docs: DataFrame, passes: Broadcast, shard_chars: int, most_patterns: int) -> DataFrame:
-    """(lang, phrase, words, f): exact counts of all phrases of 1 to 5 words that pass the sketches, overlaps included; words 0 counts a language's words.
+#: Buckets of phrases in which their counts are shuffled and summed.
+_BUCKETS = 1024
+_COUNTS = pa.struct([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("n", pa.int64())])
+
+
+def exact_counts(docs: DataFrame, passes: Broadcast, least: int, shard_chars: int, most_patterns: int) -> DataFrame:
+    """(lang, phrase, words, f): exact counts, from ``least`` on, of all phrases of 1 to 5 words, overlaps included; words 0 counts a language's words.
 
     Each shard's phrases of two words and more that pass, in any language, go to automata of at most ``most_patterns`` patterns, guarded by a space on both sides; the shard's stretches of passing pairs
-    run through them. A phrase that passes is in the automata of each shard that has it, so sums over shards are exact. Single words, which the cuts need, are counted beside.
+    run through them. A phrase that passes is in the automata of each shard that has it, so sums over shards are exact. Single words, which the cuts need, are counted beside. A shard tells its
+    counts by buckets of phrases, a row each; where the shuffle brings them, one bucket at a time is summed.
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,10 +241,36 @@ def exact_counts(docs: DataFrame, passes: Broadcast, shard_chars: int, most_patt
                 machine.make_automaton()
                 for lang, text in texts:
                     rows += [(lang, _text(part[j][0].encode("latin-1")), part[j][1], n) for j, n in Counter(map(itemgetter(1), machine.iter(text))).items()]
-            lang, phrase, words, n = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(phrase, pa.string()), pa.array(words, pa.int32()), pa.array(n, pa.int64())], names=["lang", "phrase", "words", "n"])
+            buckets: dict[int, list[tuple]] = {}
+            for row in rows:
+                buckets.setdefault(xxhash.xxh32_intdigest(row[1].encode("utf-8", "surrogatepass")) % _BUCKETS, []).append(row)
+            told = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(b) for b in buckets.values()])]).astype(np.int32), _table([r for b in buckets.values() for r in b]))
+            yield pa.RecordBatch.from_arrays([pa.array(list(buckets), pa.int32()), told], names=["bucket", "counts"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, sums = None, Counter()
+        for b in batches:
+            for bucket, counts in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if bucket != held:
+                    yield _sums(sums, least)
+                    held, sums = bucket, Counter()
+                lang, phrase, words, n = (counts.values.field(i).to_pylist() for i in range(4))
+                for key, k in zip(zip(lang, phrase, words, strict=True), n, strict=True):
+                    sums[key] += k
+        yield _sums(sums, least)
+
+    parts = docs.mapInArrow(counted, "bucket int, counts array<struct<lang:string,phrase:string,words:int,n:bigint>>")
+    return parts.repartition(shuffle_partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(summed, "lang string, phrase string, words int, f long")
+
+
+def _table(rows: list[tuple]) -> pa.StructArray:
+    lang, phrase, words, n = zip(*rows, strict=True) if rows else ((), (), (), ())
+    return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(phrase, pa.string()), pa.array(words, pa.int32()), pa.array(n, pa.int64())], fields=list(_COUNTS))
+
 
-    return docs.mapInArrow(counted, "lang string, phrase string, words int, n long").groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f"))
+def _sums(sums: Counter, least: int) -> pa.RecordBatch:
+    kept = _table([(*key, n) for key, n in sums.items() if n >= least or key[2] == 0])
+    return pa.RecordBatch.from_arrays(kept.flatten(), names=["lang", "phrase", "words", "f"])
 
 
 def _text(word: bytes) -> str:
@@ -272,8 +304,7 @@ def collocations(docs: DataFrame, least: int = 100, top: int = 2000, shard_chars
         passes = {**passes, **dict.fromkeys(lengths, found)}
         held.unpersist()
     held = spark.sparkContext.broadcast(passes)
-    counts = exact_counts(docs, held, shard_chars, most_patterns)
-    counts = written(counts.where((F.col("words") == 0) | (F.col("f") >= least)), "phrases")
+    counts = written(exact_counts(docs, held, least, shard_chars, most_patterns), "phrases")
     return best_phrases(counts, top)
 
 
