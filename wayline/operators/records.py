@@ -75,3 +75,13 @@ def needs_work(rows: DataFrame, done: DataFrame, key: str, content: list[str]) -
     """Rows whose content differs from what was done under the same key (key, hash), with the new ``hash``."""
     now = rows.withColumn("hash", F.sha2(F.to_json(F.struct(*content)), 256))
     return now.join(done.select(key, "hash"), [key, "hash"], "left_anti")
+
+
+def monitored(rides: DataFrame, now: Column, before: int = 7_200, after: int = 7_200, ahead: int = 3_600, least_delay: int = 3_600) -> DataFrame:
+    """Rides (added, scheduled, boarding, arrival, delay; seconds) with ``watched`` (from ``before`` seconds before boarding to ``after`` after the arrival, which is never before boarding) and ``candidate``.
+
+    A candidate was added at least ``ahead`` seconds before its scheduled departure, with a known delay below ``least_delay``, and is watched. A null time or delay is no candidate's, and a null time isn't watched.
+    """
+    watched = (now >= F.col("boarding") - before) & (now <= F.greatest("arrival", "boarding") + after) & F.col("arrival").isNotNull()
+    early = (F.col("added") <= F.col("scheduled") - ahead) & (F.col("delay") < least_delay)
+    return rides.withColumn("watched", F.coalesce(watched, F.lit(False))).withColumn("candidate", F.coalesce(watched & early, F.lit(False)))
