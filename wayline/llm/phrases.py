@@ -202,8 +202,8 @@ def _bitmaps(out: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([g for g, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], names=["g", "bits"])
 
 
-#: Buckets of phrases in which their counts are shuffled and summed.
-_BUCKETS = 1024
+#: Buckets of phrases in which their counts are shuffled and summed; counts that a task holds before it passes them on.
+_BUCKETS, _HELD = 1024, 250_000
 _COUNTS = pa.struct([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("n", pa.int64())])
 
 
@@ -211,12 +211,12 @@ def exact_counts(docs: DataFrame, passes: Broadcast, least: int, shard_chars: in
     """(lang, phrase, words, f): exact counts, from ``least`` on, of all phrases of 1 to 5 words, overlaps included; words 0 counts a language's words.
 
     Each shard's phrases of two words and more that pass, in any language, go to automata of at most ``most_patterns`` patterns, guarded by a space on both sides; the shard's stretches of passing pairs
-    run through them. A phrase that passes is in the automata of each shard that has it, so sums over shards are exact. Single words, which the cuts need, are counted beside. A shard tells its
+    run through them. A phrase that passes is in the automata of each shard that has it, so sums over shards are exact. Single words, which the cuts need, are counted beside. A task adds up its shards and tells its
     counts by buckets of phrases, a row each; where the shuffle brings them, one bucket at a time is summed.
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _WordHashes()
+        hashes, held = _WordHashes(), Counter()
         for run in _shards(batches, shard_chars):
             shard = Shard(run, hashes)
             patterns: dict[str, int] = {}
@@ -241,11 +241,12 @@ def exact_counts(docs: DataFrame, passes: Broadcast, least: int, shard_chars: in
                 machine.make_automaton()
                 for lang, text in texts:
                     rows += [(lang, _text(part[j][0].encode("latin-1")), part[j][1], n) for j, n in Counter(map(itemgetter(1), machine.iter(text))).items()]
-            buckets: dict[int, list[tuple]] = {}
-            for row in rows:
-                buckets.setdefault(xxhash.xxh32_intdigest(row[1].encode("utf-8", "surrogatepass")) % _BUCKETS, []).append(row)
-            told = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(b) for b in buckets.values()])]).astype(np.int32), _table([r for b in buckets.values() for r in b]))
-            yield pa.RecordBatch.from_arrays([pa.array(list(buckets), pa.int32()), told], names=["bucket", "counts"])
+            for *key, n in rows:
+                held[tuple(key)] += n
+            if len(held) >= _HELD:
+                yield _told(held)
+                held.clear()
+        yield _told(held)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, sums = None, Counter()
@@ -263,6 +264,15 @@ def exact_counts(docs: DataFrame, passes: Broadcast, least: int, shard_chars: in
     return parts.repartition(shuffle_partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(summed, "lang string, phrase string, words int, f long")
 
 
+def _told(held: Counter) -> pa.RecordBatch:
+    buckets: dict[int, list[tuple]] = {}
+    for key, n in held.items():
+        buckets.setdefault(xxhash.xxh32_intdigest(key[1].encode("utf-8", "surrogatepass")) % _BUCKETS, []).append((*key, n))
+    ends = np.cumsum([0, *map(len, buckets.values())]).astype(np.int32)
+    told = pa.ListArray.from_arrays(ends, _table([r for b in buckets.values() for r in b]))
+    return pa.RecordBatch.from_arrays([pa.array(list(buckets), pa.int32()), told], names=["bucket", "counts"])
+
+
 def _table(rows: list[tuple]) -> pa.StructArray:
     lang, phrase, words, n = zip(*rows, strict=True) if rows else ((), (), (), ())
     return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(phrase, pa.string()), pa.array(words, pa.int32()), pa.array(n, pa.int64())], fields=list(_COUNTS))
