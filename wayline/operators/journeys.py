@@ -24,6 +24,7 @@ def boardings(stop_times: DataFrame, first_hour: int) -> tuple[DataFrame, DataFr
 def earliest_arrivals(stop_times: DataFrame, walks: DataFrame, queries: DataFrame, rounds: int = 4, change: int = 120, wait: int | None = None) -> DataFrame:
     """(q, stop, round, arr, legs): the earliest arrival of each query at each stop with 1 .. ``rounds`` rides.
 
+    ``stop_times``: (trip, route, seq, stop, arr, dep), trips of a route in the order in which they leave a stop and arrive at it, as ``patterns.chained`` makes them.
     ``queries``: (q, stop, dep) start stops with the time there; ``walks``: (a, b, seconds). A journey may begin with a walk; each round boards, from each
     stop reached, every line's next departure (within ``wait`` seconds, if that is given), rides on, then walks once. Legs with a null trip are walks.
     The next departure is found by two equality joins on (stop, hour): with the departures of the hour itself, and with each line's first one
@@ -73,6 +74,49 @@ def latest_departures(stop_times: DataFrame, walks: DataFrame, queries: DataFram
     return turned.select("q", "stop", "round", (-F.col("arr")).alias("dep"))
 
 
+def range_arrivals(stop_times: DataFrame, walks: DataFrame, queries: DataFrame, rounds: int = 4, change: int = 120) -> DataFrame:
+    """(q, stop, round, dep, arr): all journeys worth taking of each query (q, stop, first, last) that leave its stop from ``first`` to ``last``, both included, to every stop.
+
+    One run of rounds answers all departures: a label is a pair (dep, arr), and of a query and stop those stay that no other beats, leaving no earlier and arriving no later, with no more rides. A label is told in the
+    round (rides) that finds it. A journey leaves for its first ride, or for a walk to it, as late as it can. ``stop_times`` are of chains, as for ``earliest_arrivals``. Labels of a query and stop are at most one for
+    each second of the span, and combine before they are ordered. Rounds are written tables.
+    """
+    calls = stop_times.select("trip", "route", "seq", "stop", "arr", "dep")
+    ride = calls.select("trip", F.col("seq").alias("to_seq"), F.col("stop").alias("to_stop"), F.col("arr").cast("long").alias("to_arr"))
+    first = queries.agg(F.floor(F.min("first") / 3600)).first()[0]
+    here, later = map(cut, boardings(calls, 0 if first is None else int(first)))
+    paths = walks.select(F.col("a").alias("stop"), "b", F.col("seconds").cast("long").alias("seconds"))
+    access = queries.withColumn("walk", F.lit(0).cast("long"))
+    access = access.select("q", "stop", "first", "last", "walk").unionByName(queries.join(paths, "stop").select("q", F.col("b").alias("stop"), "first", "last", F.col("seconds").alias("walk")))
+    hours = F.sequence(F.floor((F.col("first") + F.col("walk")) / 3600), F.floor((F.col("last") + F.col("walk")) / 3600))
+    asked = access.where("first <= last").withColumn("hour", F.explode(hours)).join(here, ["stop", "hour"]).where("dep - walk between first and last")
+    caught = asked.select("q", "seq", "trip", (F.col("dep") - F.col("walk")).cast("long").alias("leaves"))
+    best, results = None, []
+    for r in range(1, rounds + 1):
+        got = caught.groupBy("q", "trip", "seq").agg(F.max("leaves").alias("leaves")).join(ride, "trip").where("to_seq > seq").groupBy("q", F.col("to_stop").alias("stop"), "leaves").agg(F.min("to_arr").alias("arr"))
+        got = got.unionByName(got.join(paths, "stop").select("q", F.col("b").alias("stop"), "leaves", (F.col("arr") + F.col("seconds")).alias("arr")))
+        new = got.withColumn("round", F.lit(r))
+        best = cut(undominated(new if best is None else best.unionByName(new)))
+        frontier = best.where(F.col("round") == r)
+        results.append(frontier)
+        if r == rounds:
+            break
+        ready = frontier.withColumn("at", F.col("arr") + change).withColumn("hour", F.floor((F.col("arr") + change) / 3600))
+        met = ready.join(here, ["stop", "hour"]).where("dep >= at").unionByName(ready.withColumn("hour", F.col("hour") + 1).join(later, ["stop", "hour"]))
+        caught = met.groupBy("q", "stop", "leaves", "route", "seq").agg(F.min(F.struct("dep", "trip")).alias("c")).select("q", "seq", "c.trip", "leaves")
+    out = results[0]
+    for x in results[1:]:
+        out = out.unionByName(x)
+    return out.select("q", "stop", "round", F.col("leaves").alias("dep"), "arr")
+
+
+def undominated(labels: DataFrame) -> DataFrame:
+    """Of the labels (q, stop, leaves, arr, round) of a query and stop those that none beats: leaving no earlier and arriving no later (ties: fewer rides). One of equal ones stays."""
+    one = labels.groupBy("q", "stop", "leaves").agg(F.min(F.struct("arr", "round")).alias("x")).select("q", "stop", "leaves", "x.arr", "x.round")
+    ahead = F.min("arr").over(Window.partitionBy("q", "stop").orderBy(F.desc("leaves")).rowsBetween(Window.unboundedPreceding, -1))
+    return one.withColumn("__ahead", ahead).where("__ahead is null or arr < __ahead").drop("__ahead")
+
+
 def skyline(journeys: DataFrame, key: str = "q") -> DataFrame:
     """Journeys that no other of the same query beats: leaving no earlier, arriving no later, with no more transfers, and better in one.
 

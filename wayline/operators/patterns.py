@@ -65,14 +65,19 @@ def past_midnight(calls: DataFrame, key: str, order: str, sec: str) -> DataFrame
     return calls.withColumn("__back", back).withColumn("day_sec", F.col(sec) + F.sum("__back").over(w.rowsBetween(Window.unboundedPreceding, 0)) * 86_400).drop("__back")
 
 
-def fifo_groups(trips: DataFrame) -> DataFrame:
+def fifo_groups(trips: DataFrame, boarding: bool = False) -> DataFrame:
     """(route, pattern, trip, chain): trips of a pattern in chains in which none overtakes another, each put to the first chain that it fits.
 
     In order of first departure, then trip; greedy, so the trips of one pattern on one service are read in order by one task, in batches; what is held is the
-    last departures of each chain only.
+    last departures of each chain only. ``boarding``: trips of a chain also arrive (``arrs``) in its order, and leave no stop at the same time unless all their times are equal, so that the
+    least departure names the one to board.
     """
     group = ["route", "service", "pattern"]
 
+    def fits(one: np.ndarray, two: np.ndarray) -> bool:
+        n = len(one) // 2
+        return bool((one <= two).all() and (not boarding or (one[:n] < two[:n]).all() or (one == two).all()))
+
     def chains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, last = None, []
         for pdf in batches:
@@ -80,15 +85,26 @@ def fifo_groups(trips: DataFrame) -> DataFrame:
             for key, deps in zip(pdf[group].itertuples(index=False, name=None), pdf["deps"], strict=True):
                 if key != now:
                     now, last = key, []
-                k = next((i for i, d in enumerate(last) if (d <= deps).all()), len(last))
-                last[k : k + 1] = [np.asarray(deps)]
+                deps = np.asarray(deps)
+                k = next((i for i, d in enumerate(last) if fits(d, deps)), len(last))
+                last[k : k + 1] = [deps]
                 out.append(k)
             yield pdf[[*group, "trip"]].assign(chain=out)
 
-    rows = trips.select("route", "service", pattern_key(F.col("stops")).alias("pattern"), "trip", "deps", F.get("deps", F.lit(0)).alias("first"))
+    rows = trips.select("route", "service", pattern_key(F.col("stops")).alias("pattern"), "trip", (F.concat("deps", "arrs") if boarding else F.col("deps")).alias("deps"), F.get("deps", F.lit(0)).alias("first"))
     return rows.repartition(*group).sortWithinPartitions(*group, "first", "trip").mapInPandas(chains, "route long, service long, pattern string, trip long, chain long")
 
 
+def chained(stop_times: DataFrame) -> DataFrame:
+    """Calls whose ``route`` names a chain: trips of one route, service and stop sequence of which none overtakes another, neither in leaving nor in arriving.
+
+    In a chain the next departure is the best one to board, whatever overtakes on the line as a whole; so searches ask each chain, of which a line has as many as trips pass one another at once.
+    """
+    rows = trip_rows(stop_times)
+    chain = fifo_groups(rows, boarding=True).select("trip", F.concat_ws(":", "route", "service", "pattern", "chain").alias("__line"))
+    return stop_times.join(chain, "trip").withColumn("route", F.col("__line")).drop("__line")
+
+
 def spaced(rows: DataFrame, key: list[str], order: list[str], at: str, most: int, apart: int) -> DataFrame:
     """Of each key's rows in the given order those kept greedily: at most ``most``, any two ``apart`` seconds apart.
 

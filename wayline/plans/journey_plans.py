@@ -67,9 +67,48 @@ def journey_legs(spark, sf_dir):
 
 
 def _by_trip(st):
-    """Calls whose ``route`` is the set of trips that never overtake one another: here route, number of calls and place in them."""
-    n = st.groupBy("trip").agg(F.max("seq").alias("n"))
-    return st.join(n, "trip").withColumn("route", F.col("route") * 100 + F.col("n")).drop("n")
+    """Calls by chains of trips that never overtake one another."""
+    return pat.chained(st)
+
+
+FAST = """, fast AS (SELECT trip, route, service, seq, stop, dep - d - 20 AS arr, dep - d AS dep FROM (SELECT *, CASE WHEN trip % 3 = 0 THEN seq * 80 WHEN trip % 7 = 0 THEN seq * -300 ELSE 0 END AS d FROM stop_times))"""
+
+
+def fast(spark, sf_dir):
+    """The timetable with trips that overtake others of their line, and some that crawl."""
+    k = F.when(F.col("trip") % 3 == 0, F.col("seq") * 80).when(F.col("trip") % 7 == 0, F.col("seq") * -300).otherwise(0)
+    return t.stop_times(spark, sf_dir).select("trip", "route", "service", "seq", "stop", (F.col("dep") - k - 20).alias("arr"), (F.col("dep") - k).alias("dep"))
+
+
+@query(t.sql(f"{FAST}{ASKED_SQL}{ALL_ROUNDS.replace('FROM stop_times WHERE', 'FROM fast WHERE')} " + " UNION ALL ".join(f"SELECT q, stop, {k} AS round, arr FROM b{k}" for k in range(1, ROUNDS + 1))))
+def overtaking_arrivals(spark, sf_dir):
+    """Earliest arrivals where trips overtake: the SQL takes the least over all trips."""
+    walks = spatial.footpaths(t.stops(spark, sf_dir))
+    out = journeys.earliest_arrivals(pat.chained(fast(spark, sf_dir).where("service = 2")), walks, asked(spark, sf_dir), rounds=ROUNDS)
+    return out.select("q", "stop", "round", "arr")
+
+
+SPAN = 3600
+RANGE = f"""{FAST}, walks AS (SELECT a.stop AS a, b.stop AS b, greatest(45, floor({AB}*1.15/1.45 + 0.5))::BIGINT AS seconds FROM stops a, stops b WHERE a.stop <> b.stop AND {AB} <= 800),
+  day AS (SELECT * FROM fast WHERE service = 2), asked AS (SELECT s_suppkey AS q, s_suppkey AS stop, 21600 + s_suppkey * 11 % 24 * 1800 AS first FROM supplier),
+  a0 AS (SELECT q, stop, first, 0 AS walk FROM asked UNION ALL SELECT q, b, first, seconds FROM asked JOIN walks ON a = stop),
+  c1 AS (SELECT q, x.trip, x.seq, x.dep - walk AS leaves FROM a0 JOIN day x ON x.stop = a0.stop AND x.dep - walk BETWEEN first AND first + {SPAN})"""
+RANGE_ROUND = """, r{k} AS (SELECT c.q, y.stop, leaves, min(y.arr) AS arr FROM c{k} c JOIN day y ON y.trip = c.trip AND y.seq > c.seq GROUP BY 1, 2, 3),
+  t{k} AS (SELECT q, stop, leaves, min(arr) AS arr FROM (SELECT * FROM r{k} UNION ALL SELECT q, b, leaves, arr + seconds FROM r{k} JOIN walks ON a = stop) GROUP BY 1, 2, 3),
+  c{n} AS (SELECT DISTINCT q, x.trip, x.seq, leaves FROM t{k} JOIN day x ON x.stop = t{k}.stop AND x.dep >= t{k}.arr + 120)"""
+RANGE_ROUNDS = 3
+RANGE += "".join(RANGE_ROUND.format(k=k, n=k + 1) for k in range(1, RANGE_ROUNDS + 1))
+RANGE += ", every AS (" + " UNION ALL ".join(f"SELECT q, stop, {k} AS round, leaves, arr FROM t{k}" for k in range(1, RANGE_ROUNDS + 1)) + ")"
+
+
+@query(t.sql(RANGE + """ SELECT q, stop, round, leaves AS dep, arr FROM every e WHERE NOT EXISTS (SELECT 1 FROM every o WHERE o.q = e.q AND o.stop = e.stop AND o.round <= e.round AND o.leaves >= e.leaves AND o.arr <= e.arr AND (o.round < e.round OR o.leaves > e.leaves OR o.arr < e.arr))"""))
+def range_journeys(spark, sf_dir):
+    """All journeys worth taking within an hour from each stop, on the timetable with overtaking. The SQL takes every trip at every change and compares all pairs at the end."""
+    s = F.col("s_suppkey")
+    first = 21600 + s * 11 % 24 * 1800
+    queries = t.read(spark, sf_dir, "supplier").select(s.alias("q"), s.alias("stop"), first.alias("first"), (first + SPAN).alias("last"))
+    walks = spatial.footpaths(t.stops(spark, sf_dir))
+    return journeys.range_arrivals(pat.chained(fast(spark, sf_dir).where("service = 2")), walks, queries, rounds=RANGE_ROUNDS)
 
 
 LATE = """, l{k} AS (SELECT q.q, x.stop, max(x.dep) AS dep FROM c{j} q JOIN day y ON y.stop = q.stop AND y.arr <= q.dep - {slack} JOIN day x ON x.trip = y.trip AND x.seq < y.seq GROUP BY 1, 2),

@@ -30,7 +30,7 @@ def live_table(spark, sf_dir):
 DAY = 86_400
 
 
-@query(f"""WITH u AS (SELECT user_id AS key, epoch(ts)::BIGINT % {DAY} AS fetched, event_id FROM events), l AS (SELECT key, fetched, event_id FROM u WHERE 43200 - fetched <= 7200 QUALIFY row_number() OVER (PARTITION BY key ORDER BY fetched DESC, event_id DESC) = 1)
+@query(f"""WITH u AS (SELECT user_id AS key, floor(epoch(ts))::BIGINT % {DAY} AS fetched, event_id FROM events), l AS (SELECT key, fetched, event_id FROM u WHERE 43200 - fetched <= 7200 QUALIFY row_number() OVER (PARTITION BY key ORDER BY fetched DESC, event_id DESC) = 1)
   SELECT key, fetched, event_id, 43200 - fetched BETWEEN 0 AND 300 AS live FROM l""")
 def usable_updates(spark, sf_dir):
     """Updates that may be shown at noon, by the time of day they were fetched."""
