@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,3 +106,86 @@ def slice_between(stops: Column, board: Column, alight: Column) -> Column:
 def without_repeats(points: Column) -> Column:
     """Points without those equal to the one before."""
     return F.filter(points, lambda p, i: (i == 0) | ~F.coalesce(F.get(points, i - 1).eqNullSafe(p), F.lit(False)))
+
+
+def _front_of(points: np.ndarray) -> np.ndarray:
+    """Positions of the rows that no other beats (at most as large in all, smaller in one); of equal ones the first."""
+    order = np.lexsort(points.T[::-1])
+    kept: list[int] = []
+    held = np.empty((0, points.shape[1]))
+    for i in order:
+        if not (held <= points[i]).all(axis=1).any():
+            kept.append(int(i))
+            held = np.vstack([held, points[i]])
+    return np.array(kept, np.int64)
+
+
+def front(rows: DataFrame, key: str, small: list[str], deals: tuple[int, ...] = (64, 8, 1)) -> DataFrame:
+    """(key, small...): of each key the distinct combinations of values, all wanted small, that no other beats. Nulls take no part.
+
+    A tree of partial fronts: rows of a key are dealt to 64 tasks, each passes on its front, then to 8, then one. What a task holds is a front, so a key with a third of all rows is no hot key; a value that is
+    in no partial front is in none.
+    """
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(key, *small).schema)
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for b in batches:
+            keys = np.array(b.column(0).to_pylist(), object)
+            values = np.stack([b.column(i + 1).to_numpy(zero_copy_only=False).astype(np.float64) for i in range(len(small))], axis=1) if len(b) else np.empty((0, len(small)))
+            table = pa.Table.from_batches([b]).select(range(len(small) + 1))
+            for k in dict.fromkeys(keys.tolist()):
+                at = np.nonzero(keys == k)[0]
+                before = held.get(k)
+                points = values[at] if before is None else np.vstack([before[0], values[at]])
+                own = table.take(pa.array(at))
+                own = own if before is None else pa.concat_tables([before[1], own])
+                keep = _front_of(points)
+                held[k] = (points[keep], own.take(pa.array(keep)))
+        for _, own in held.values():
+            yield from own.combine_chunks().to_batches()
+
+    out = rows.select(key, *small).dropna()
+    for n in deals:
+        out = out.withColumn("__deal", F.pmod(F.xxhash64(*small), F.lit(n))).repartition(key, "__deal").mapInArrow(part, kind)
+    return out
+
+
+def weighed_skyline(journeys: DataFrame, key: str = "q", plain: tuple[str, ...] = ("arr", "transfers", "cost"), walk: str = "walk", slack: int = 30) -> DataFrame:
+    """Journeys that no other of their key beats: at most as large in the ``plain`` criteria, walking at most ``slack`` seconds more, and better in one of them or walking over ``slack`` seconds less.
+
+    Walks within the slack count as equal, which isn't transitive, so a beaten journey can beat others. It is enough to hold all against the front of plain comparisons: whatever beats one is beaten by, or is,
+    a row of that front which beats it too. The front is small and comes from partial fronts; a hot key's rows meet it where the skew join deals them.
+    """
+    best = front(journeys, key, [*plain, walk])
+    best = best.select(F.col(key).alias("__k"), *[F.col(c).alias(f"__{c}") for c in (*plain, walk)])
+    least = [F.col(f"__{c}") <= F.col(c) for c in plain]
+    better = [F.col(f"__{c}") < F.col(c) for c in plain]
+    beaten = F.col(f"__{walk}") <= F.col(walk) + slack
+    less = F.col(f"__{walk}") < F.col(walk) - slack
+    for c in least:
+        beaten &= c
+    for c in better:
+        less |= c
+    return journeys.join(best, (journeys[key] == best["__k"]) & beaten & less, "left_anti")
+
+
+def boarded_choice(journeys: DataFrame, per_line: int = 3, most: int = 12) -> DataFrame:
+    """What a rider inside a vehicle is offered of (q, chain, combo, arr, transfers, walk, cost): one journey a chain of rides, the cheapest, of which none beats another whatever its departure, ``per_line`` of a combination of
+    lines, the ``most`` cheapest, with place from 1. The earliest arrival (then the cheapest) of all that stand is always among them, last if it isn't so by cost. Lists by design.
+    """
+    from pyspark.sql.window import Window
+
+    order = ["cost", "transfers", "arr", "chain"]
+    rest = [c for c in journeys.columns if c not in ("q", "chain", *order)]
+    one = journeys.groupBy("q", "chain").agg(F.min(F.struct("cost", "transfers", "arr", *rest)).alias("x")).select("q", "chain", "x.*")
+    stands = weighed_skyline(one)
+    line = F.row_number().over(Window.partitionBy("q", "combo").orderBy(*order))
+    early = F.row_number().over(Window.partitionBy("q").orderBy("arr", *order))
+    ranked = stands.withColumns({"__line": line, "__early": early}).where((F.col("__line") <= per_line) | (F.col("__early") == 1))
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.col("__line") > per_line, *order))
+    ranked = ranked.withColumn("place", place).withColumn("__n", F.count("*").over(Window.partitionBy("q")))
+    fastest = (F.col("__early") == 1) & (F.col("place") > most)
+    ranked = ranked.withColumn("__late", F.max(fastest.cast("int")).over(Window.partitionBy("q")))
+    kept = ranked.where((F.col("place") <= most - F.col("__late")) | fastest)
+    return kept.withColumn("place", F.least(F.col("place"), F.lit(most))).drop("__line", "__early", "__n", "__late")

@@ -179,6 +179,42 @@ def transfer_points(changes: DataFrame, stop_times: DataFrame, walks: DataFrame,
     return met.groupBy("c").agg(F.min(F.struct("walk", (-F.col("wait")).alias("less"), "off", "on")).alias("x")).select("c", "x.off", "x.on", (-F.col("x.less")).alias("wait"))
 
 
+def refined_chains(chains: DataFrame, stop_times: DataFrame, walks: DataFrame, access: DataFrame, egress: DataFrame, most_legs: int = 5, change: int = 120, slack: int = 60, reluctance: float = 2.0) -> DataFrame:
+    """(c, cost, legs): for each chain of fixed trips the best places to board, change and alight, where there are any.
+
+    ``chains``: (c, start, cap, trips), trips in order, up to ``most_legs``; ``access`` and ``egress``: (c, stop, seconds) on foot from the origin, not before ``start``, and to the destination, by ``cap``. A change takes ``change``
+    seconds at a stop, or a walk (a, b, seconds) and ``slack`` after it, whichever is longer. The cost is the time from leaving to the end, walks counted ``reluctance`` times; ties go to the earlier places. legs: (trip, board, alight, walk), places by
+    seq, walk the seconds before boarding.
+
+    Dynamic programming along the chain: a state is the least cost to have boarded a trip at a place, then to be able to alight at each place, the running least of those before it. So a leg is a join of two trips' places, and
+    the work of a chain is the sum of its legs', not the product.
+    """
+    leg = "struct<trip:bigint,board:bigint,alight:bigint,walk:bigint>"
+    calls = stop_times.select("trip", "seq", "stop", F.col("arr").cast("long").alias("arr"), F.col("dep").cast("long").alias("dep"))
+    foot = walks.select(F.col("a").alias("stop"), F.col("b").alias("to"), F.col("seconds").cast("long").alias("walk"))
+    done = None
+    board = None
+    for i in range(most_legs):
+        here = cut(chains.where(F.size("trips") > i).select("c", "start", "cap", F.size("trips").alias("n"), F.col("trips")[i].cast("long").alias("trip")).join(calls, "trip"))
+        if i == 0:
+            met = here.join(access.select("c", "stop", F.col("seconds").cast("long").alias("walk")), ["c", "stop"]).where("dep - walk >= start")
+            boarded = met.select("c", "seq", (reluctance * F.col("walk") - F.col("dep")).alias("cost"), F.array().cast(f"array<{leg}>").alias("legs"), "walk")
+        else:
+            same = board.select("c", "stop", "cost", "legs", F.lit(0).cast("long").alias("walk"), (F.col("arr") + change).alias("ready"))
+            afoot = board.join(foot, "stop").select("c", F.col("to").alias("stop"), (F.col("cost") + (reluctance - 1) * F.col("walk")).alias("cost"), "legs", "walk", (F.col("arr") + F.greatest(F.lit(change), F.col("walk") + slack)).alias("ready"))
+            boarded = here.join(same.unionByName(afoot), ["c", "stop"]).where("dep >= ready").select("c", "seq", "cost", "legs", "walk")
+        boarded = boarded.groupBy("c", "seq").agg(F.min(F.struct("cost", "legs", "walk")).alias("x"))
+        before = Window.partitionBy("c").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+        state = here.join(boarded, ["c", "seq"], "left").withColumn("y", F.when(F.col("x").isNotNull(), F.struct(F.col("x.cost").alias("cost"), F.col("x.legs").alias("legs"), F.col("seq").alias("board"), F.col("x.walk").alias("walk"))))
+        state = state.withColumn("y", F.min("y").over(before)).where("y is not null")
+        told = F.struct("trip", F.col("y.board").alias("board"), F.col("seq").alias("alight"), F.col("y.walk").alias("walk")).cast(leg)
+        board = cut(state.select("c", "cap", "n", "stop", "arr", F.col("y.cost").alias("cost"), F.concat("y.legs", F.array(told)).alias("legs")))
+        last = board.where(F.col("n") == i + 1).join(egress.select("c", "stop", F.col("seconds").cast("long").alias("out")), ["c", "stop"]).where("arr + out <= cap")
+        last = last.groupBy("c").agg(F.min(F.struct((F.col("cost") + F.col("arr") + reluctance * F.col("out")).alias("cost"), "legs")).alias("x")).select("c", "x.cost", "x.legs")
+        done = last if done is None else done.unionByName(last)
+    return done
+
+
 def tracked(kept: DataFrame, proposals: DataFrame) -> DataFrame:
     """(q, decision, key): for a journey that is followed (q, key, combo, dep) and new proposals of the same columns: keep it if it is still there, else switch to the one of the same lines that leaves nearest in time, else none."""
     p = proposals.select("q", F.col("key").alias("__k"), F.col("combo").alias("__c"), F.col("dep").alias("__d"))

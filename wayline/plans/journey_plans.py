@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wayline.operators import alerts, journeys, spatial
+from wayline.operators import alerts, itineraries, journeys, spatial
 from wayline.operators import patterns as pat
 from wayline.plans import transit as t
 from wayline.registry import query
@@ -181,3 +181,53 @@ def leg_slices(spark, sf_dir):
     part = F.slice("c", 2, 3)
     text = lambda c: F.array_join(c.cast("array<string>"), ",")
     return rows.select("trip", text(part["stop"]).alias("part"), text(part["live_dep"]).alias("deps"), "delay")
+
+
+WEIGHED = """w AS (SELECT q, id, (id*31 % 90)*60 AS arr, transfers, id*17 % 1200 AS walk, (id*31 % 90)*60 + transfers*300 + (id*17 % 1200) // 2 + id*13 % 200 AS cost, (id % 211)::VARCHAR AS chain, (id % 9)::VARCHAR AS combo FROM j)"""
+BEATS = "o.q = x.q AND o.arr <= x.arr AND o.transfers <= x.transfers AND o.walk <= x.walk + 30 AND o.cost <= x.cost AND (o.arr < x.arr OR o.transfers < x.transfers OR o.cost < x.cost OR o.walk < x.walk - 30)"
+
+
+def weighed(spark, sf_dir):
+    """Journeys with a walk and a cost."""
+    k, j = F.col("id"), _journeys(spark, sf_dir)
+    arr, walk = k * 31 % 90 * 60, k * 17 % 1200
+    return j.select("q", "id", arr.alias("arr"), "transfers", walk.alias("walk"), (arr + F.col("transfers") * 300 + F.floor(walk / 2) + k * 13 % 200).alias("cost"), (k % 211).cast("string").alias("chain"), (k % 9).cast("string").alias("combo"))
+
+
+@query(f"WITH {JOURNEYS_SQL}, {WEIGHED} SELECT q, id, arr, transfers, walk, cost FROM w x WHERE NOT EXISTS (SELECT 1 FROM w o WHERE {BEATS})")
+def weighed_skyline(spark, sf_dir):
+    """Four criteria, walks within half a minute alike."""
+    return itineraries.weighed_skyline(weighed(spark, sf_dir)).select("q", "id", "arr", "transfers", "walk", "cost")
+
+
+@query(f"""WITH {JOURNEYS_SQL}, {WEIGHED}, one AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY q, chain ORDER BY cost, transfers, arr, id) = 1), s AS (SELECT * FROM one x WHERE NOT EXISTS (SELECT 1 FROM one o WHERE {BEATS})),
+  r AS (SELECT *, row_number() OVER (PARTITION BY q, combo ORDER BY cost, transfers, arr, chain) AS line, row_number() OVER (PARTITION BY q ORDER BY arr, cost, transfers, chain) AS early FROM s),
+  p AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY cost, transfers, arr, chain) AS place FROM r WHERE line <= 3),
+  t AS (SELECT q, id, arr, cost, place FROM p WHERE place <= 12), m AS (SELECT r.* FROM r WHERE early = 1 AND NOT EXISTS (SELECT 1 FROM t WHERE t.q = r.q AND t.id = r.id))
+  SELECT q, id, arr, cost, place::INT AS place FROM t WHERE place < 12 OR q NOT IN (SELECT q FROM m) UNION ALL SELECT q, id, arr, cost, least(12, 1 + (SELECT count(*) FROM t WHERE t.q = m.q))::INT FROM m""")
+def boarded_choices(spark, sf_dir):
+    """What riders inside a vehicle are offered."""
+    return itineraries.boarded_choice(weighed(spark, sf_dir)).select("q", "id", "arr", "cost", "place")
+
+
+CHAINS = f""", walks AS (SELECT a.stop AS a, b.stop AS b, greatest(45, floor({AB}*1.15/1.45 + 0.5))::BIGINT AS seconds FROM stops a, stops b WHERE a.stop <> b.stop AND {AB} <= 800),
+  day AS (SELECT * FROM stop_times WHERE service = 2), lasts AS (SELECT trip, max(seq) AS seq FROM day GROUP BY 1),
+  onto AS (SELECT x.trip, min({{'dep': y.dep, 'trip': y.trip}}).trip AS nxt FROM day x JOIN day y ON y.stop = x.stop AND y.dep >= x.arr + 120 JOIN lasts l ON l.trip = y.trip AND l.seq > y.seq WHERE x.seq > 1 GROUP BY 1),
+  ch AS (SELECT a.trip AS c, a.trip AS t1, a.nxt AS t2, b.nxt AS t3 FROM onto a JOIN onto b ON b.trip = a.nxt),
+  x AS (SELECT stop AS s, stop AS t, 0 AS w, 120 AS need FROM stops UNION ALL SELECT a, b, seconds, greatest(120, seconds + 60) FROM walks)"""
+
+
+@query(t.sql(CHAINS + """ SELECT c, min((2*(b1.stop*37 % 400) - b1.dep + x1.w + x2.w + a3.arr + 2*(a3.stop*53 % 400))::DOUBLE) AS cost FROM ch JOIN day b1 ON b1.trip = t1 AND b1.dep - b1.stop*37 % 400 >= c*97 % 86400 - 300 JOIN day a1 ON a1.trip = t1 AND a1.seq > b1.seq
+  JOIN x x1 ON x1.s = a1.stop JOIN day b2 ON b2.trip = t2 AND b2.stop = x1.t AND b2.dep >= a1.arr + x1.need JOIN day a2 ON a2.trip = t2 AND a2.seq > b2.seq
+  JOIN x x2 ON x2.s = a2.stop JOIN day b3 ON b3.trip = t3 AND b3.stop = x2.t AND b3.dep >= a2.arr + x2.need JOIN day a3 ON a3.trip = t3 AND a3.seq > b3.seq AND a3.arr + a3.stop*53 % 400 <= 100000 GROUP BY 1"""))
+def refined_chains(spark, sf_dir):
+    """Journeys of three fixed trips, each the next one to leave from a stop of the one before: the best places to change. The SQL tries all places of all three."""
+    st = day(spark, sf_dir)
+    last = st.groupBy("trip").agg(F.max("seq").alias("last"))
+    onward = st.join(last, "trip").where("seq < last").select("stop", F.col("dep").alias("at"), F.col("trip").alias("nxt"))
+    onto = st.where("seq > 1").join(onward, "stop").where("at >= arr + 120").groupBy("trip").agg(F.min_by("nxt", F.struct("at", "nxt")).alias("nxt"))
+    two = onto.select(F.col("trip").alias("nxt"), F.col("nxt").alias("third"))
+    c = F.col("trip")
+    chains = onto.join(two, "nxt").select(c.alias("c"), (c * 97 % 86_400 - 300).alias("start"), F.lit(100_000).alias("cap"), F.array("trip", "nxt", "third").alias("trips"))
+    at = lambda i, k: chains.select("c", F.col("trips")[i].alias("trip")).join(st, "trip").select("c", "stop", (F.col("stop") * k % 400).alias("seconds")).distinct()
+    return journeys.refined_chains(chains, st, spatial.footpaths(t.stops(spark, sf_dir)), at(0, 37), at(2, 53)).select("c", "cost")
