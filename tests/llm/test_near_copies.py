@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wayline.llm import near_copies
 from wayline.llm.near_copies import forest, pairs_of_run, without_copies
@@ -235,3 +236,27 @@ def test_stretch_at_least_similarity(kind):
         apart = sum(((a[k] ^ b[k]) & (1 << 64) - 1).bit_count() for k in (1, 2))
         missed += not np.intersect1d(keys[of == 0], keys[of == 1]).size or apart > 34
     assert missed <= 3
+
+
+def test_cells_of_a_group_without_a_large_root_are_bounded(spark):
+    """4,096 nodes of as many roots: every pair meets, and no cell holds more than two blocks."""
+    rows = spark.range(4096).select(F.lit(1).cast("long").alias("family"), F.lit(16).cast("long").alias("g"), F.col("id").alias("n"), F.col("id").alias("root"))
+    out = near_copies.to_blocks(rows, "family")
+    assert out.count() == 4096 * 16
+    assert out.groupBy("block").count().agg(F.max("count")).first()[0] < 2.5 * 4096 / 16
+    small = near_copies.to_blocks(rows.where("n < 60").withColumn("g", F.lit(5).cast("long")).withColumn("root", F.when(F.col("n") < 30, 0).otherwise(F.col("n"))), "family").collect()
+    cells, root = {}, {}
+    for r in small:
+        cells.setdefault(r["block"], set()).add(r["n"])
+        root[r["n"]] = r["root"]
+    assert all(any(a in c and b in c for c in cells.values()) for a in range(60) for b in range(a) if root[a] != root[b])
+
+
+def test_near_copies_without_ids(spark):
+    """Near, not equal, texts with null ids: one stays."""
+    words = [f"w{i * 7919 % 1000}x{i}" for i in range(300)]
+    one, two = " ".join(words), " ".join([*words[:150], "other", *words[151:]])
+    df = spark.createDataFrame([(None, one), (None, two), (None, "something else altogether"), (5, "five")], "doc_id long, text string")
+    assert near_copies.without_copies(df).count() == 3
+    df = spark.createDataFrame([(None, one), (7, two)], "doc_id long, text string")
+    assert [r["doc_id"] for r in near_copies.without_copies(df).collect()] == [7]

@@ -322,12 +322,22 @@ def with_roots(rows: DataFrame, roots: DataFrame, name: str = "n") -> DataFrame:
 
 
 def to_blocks(rows: DataFrame, group: str, name: str = "n") -> DataFrame:
-    """Adds ``block`` to rows (group, g, name, root) of groups that hold several roots, so that any two rows of unlike roots meet in a block: rows of a group's
-    largest root go to one of g blocks, the others to all. So a group that one root nearly fills costs no more than its rows.
+    """Adds ``block``, the number of a cell, to rows (group, g, name, root) of groups that hold several roots, so that any two rows of unlike roots meet in a cell.
+
+    A group's rows are dealt to about g blocks: those of its largest root to blocks of their own, the others to the rest. A cell is two blocks of which one is of the others, so no cell holds more than two blocks, whatever the
+    roots. A group that one root nearly fills costs no more than its rows; one of n rows without a large root costs g of each row, as all its pairs are to meet.
     """
-    sizes = rows.groupBy(group, "root").agg(F.count("*").alias("k")).groupBy(group).agg(F.max(F.struct("k", "root")).alias("x"), F.count("*").alias("roots")).where("roots > 1").select(group, F.col("x.root").alias("largest"))
-    own = F.array(F.pmod(F.xxhash64(name), F.col("g")))
-    return rows.join(sizes, group).withColumn("block", F.explode(F.when(F.col("root") == F.col("largest"), own).otherwise(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))).drop("largest")
+    sizes = rows.groupBy(group, "root").agg(F.count("*").alias("k")).groupBy(group).agg(F.max(F.struct("k", "root")).alias("x"), F.count("*").alias("roots"), F.sum("k").alias("all")).where("roots > 1")
+    sizes = sizes.select(group, F.col("x.root").alias("largest"), (F.col("x.k") / F.col("all")).alias("share"))
+    met = rows.join(sizes, group).withColumns({"of_rest": F.greatest(F.ceil(F.col("g") * (1 - F.col("share"))), F.lit(1)).cast("long"), "of_largest": F.greatest(F.ceil(F.col("g") * F.col("share")), F.lit(1)).cast("long")})
+    inside = F.col("root") == F.col("largest")
+    met = met.withColumn("own", F.pmod(F.xxhash64(name), F.when(inside, F.col("of_largest")).otherwise(F.col("of_rest"))))
+    cell = lambda i, j: i * (F.col("of_rest") + F.col("of_largest")) + j
+    every = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    largest = F.transform(every(F.col("of_rest")), lambda i: cell(i, F.col("of_rest") + F.col("own")))
+    others = F.filter(every(F.col("of_rest")), lambda i: i != F.col("own"))
+    rest = F.concat(F.transform(others, lambda i: cell(F.least(i, F.col("own")), F.greatest(i, F.col("own")))), F.transform(every(F.col("of_largest")), lambda j: cell(F.col("own"), F.col("of_rest") + j)))
+    return met.withColumn("block", F.explode(F.when(inside, largest).otherwise(rest))).drop("largest", "share", "of_rest", "of_largest", "own")
 
 
 def grown(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -388,7 +398,9 @@ def duplicate_groups(docs: DataFrame, words: int = 5, least: float = 0.8, radius
     several = named.groupBy("family").count().where("count > 1").select("family")
     families = written(named.join(several, "family"), "copy-families")
     wanted = families.select("n", "rep").join(rows.select("id", "h", "n"), "n").where(F.col("id").eqNullSafe(F.col("rep"))).groupBy("n").agg(F.min(F.struct("id", "h")).alias("x")).select("n", "x.*")
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).join(wanted, ["id", "h"])
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    wanted = wanted.select("n", F.col("id").alias("wanted_id"), F.col("h").alias("wanted_h"))
+    texts = texts.join(wanted, (F.col("h") == F.col("wanted_h")) & F.col("id").eqNullSafe(F.col("wanted_id")))
     sets = written(shingle_sets(texts, words).dropDuplicates(["n"]), "copy-sets")
     roots = family_roots(families.select("n", "family"), sets, least, block).withColumnRenamed("a", "n")
     rooted = written(nodes.select("n", "rep").join(roots, "n", "left").withColumn("root", F.coalesce("root", "n")), "copy-roots")
