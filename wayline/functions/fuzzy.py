@@ -9,15 +9,15 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from wayline.functions.words import MARKED, PLAIN, SYNONYMS
+from wayline.functions.words import BLANKS, SYNONYMS, bare
 
-_FOLD = str.maketrans(MARKED, PLAIN)
 _CUT = re.compile(r"[\s,./()\\-]+")
 _ALSO = {w: {x for g in SYNONYMS if w in g for x in g} for g in SYNONYMS for w in g}
 
 
 def fold(text: str | None) -> str:
-    return (text or "").strip().lower().translate(_FOLD)
+    """As ``words.normalized``."""
+    return bare((text or "").lower()).strip(BLANKS)
 
 
 def osa(a: str, b: str) -> int:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters with marks, and what they become.
-MARKED = "ąćęłńóśźżáàâäãåčďéèêëěíìîïňòôöõřšťúùûüůýÿçñ"
-PLAIN = "acelnoszzaaaaaacdeeeeeiiiinoooorstuuuuuyycn"
+#: The marks that go (U+0300 to U+036F), the letter with a stroke that counts as marked, and what is white space at the ends of names.
+FIRST_MARK, LAST_MARK = 0x0300, 0x036F
+STROKED = {"ł": "l", "Ł": "l"}
+BLANKS = "\t\n\x0b\x0c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 #: Words that stand for one another in names.
 SYNONYMS = [
     ["pl", "plac"],
@@ -23,9 +28,57 @@ SYNONYMS = [
 ]
 
 
+def bare(text: str) -> str:
+    """Canonical decomposition without marks, and l for its form with a stroke: the rule by which ``unmarked`` is made."""
+    if text.isascii():
+        return text
+    return "".join(STROKED.get(x, x) for x in unicodedata.normalize("NFD", text) if not FIRST_MARK <= ord(x) <= LAST_MARK)
+
+
+@lru_cache(1)
+def _decomposed() -> tuple[str, str, dict[str, str]]:
+    """What canonical decomposition makes of letters once marks are gone, by rule: characters that become one other or, at the end, none; and those (but Hangul) that become several."""
+    ones, others, none, several = [], [], [], {}
+    for c in map(chr, range(0x80, sys.maxunicode + 1)):
+        if "\uac00" <= c <= "\ud7a3" or "\ud800" <= c <= "\udfff":
+            continue
+        told = bare(c)
+        if told == c:
+            continue
+        if len(told) == 1:
+            ones.append(c)
+            others.append(told)
+        elif told:
+            several[c] = told
+        else:
+            none.append(c)
+    return "".join(ones + none), "".join(others), several
+
+
+def _hangul(c: Column) -> Column:
+    """A syllable as its two or three letters."""
+    i = F.ascii(c) - 0xAC00
+    letter = lambda first, n, at: F.element_at(F.array(*[F.lit(chr(first + k)) for k in range(n)]), at.cast("int") + 1)
+    tail = F.element_at(F.array(F.lit(""), *[F.lit(chr(0x11A8 + k)) for k in range(27)]), (i % 28).cast("int") + 1)
+    return F.concat(letter(0x1100, 19, F.floor(i / 588)), letter(0x1161, 21, F.floor(i % 588 / 28)), tail)
+
+
+def unmarked(text: Column) -> Column:
+    """Canonical decomposition without the marks U+0300 to U+036F, and l for its form with a stroke.
+
+    One pass by a table of single characters; only texts with characters that decompose to several (Hangul, kana with marks, some Indic letters) go character by character.
+    """
+    ones, others, several = _decomposed()
+    plain = F.translate(text, ones, others)
+    table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    one = lambda c: F.when((c >= "\uac00") & (c <= "\ud7a3"), _hangul(c)).otherwise(F.coalesce(F.try_element_at(table, c), c))
+    rare = "[\uac00-\ud7a3" + "".join(f"\\x{{{ord(c):x}}}" for c in several) + "]"
+    return F.when(plain.rlike(rare), F.array_join(F.transform(F.split(plain, ""), one), "")).otherwise(plain)
+
+
 def normalized(name: Column) -> Column:
     """Lower case, without marks on letters, trimmed; null is empty."""
-    return F.translate(F.lower(F.trim(F.coalesce(name, F.lit("")))), MARKED, PLAIN)
+    return F.btrim(unmarked(F.lower(F.coalesce(name, F.lit("")))), F.lit(BLANKS))
 
 
 def squeezed(name: Column) -> Column:

@@ -16,6 +16,17 @@ def normalized_names(spark, sf_dir):
     return t.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), words.normalized(n).alias("norm"), words.slug(n).alias("slug"))
 
 
+#: Letters with marks, as one character or two, and one with a stroke and one that isn't a mark.
+LETTERS = ["\u017e", "\u011f", "\u0150", "\u0101", "e\u0301", "\u0141", "\u00f8", "\u1ec7", "\u0439", "\u03ac", "a\u0323\u0302", "\u00c5"]
+
+
+@query(f"""SELECT p_partkey AS id, trim(replace(strip_accents(lower(p_name || ' ' || (['{"', '".join(LETTERS)}'])[1 + p_partkey % {len(LETTERS)}] || 'x')), 'ł', 'l')) AS norm FROM part""")
+def unmarked_names(spark, sf_dir):
+    """Names with a letter of other alphabets and marks of their own."""
+    letter = F.element_at(F.array(*map(F.lit, LETTERS)), (F.col("p_partkey") % len(LETTERS) + 1).cast("int"))
+    return t.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), words.normalized(F.concat("p_name", F.lit(" "), letter, F.lit("x"))).alias("norm"))
+
+
 @query("""SELECT p_partkey AS id, p_name AS name FROM part WHERE (lower(p_name) LIKE '%red%' AND lower(p_name) LIKE '%bo%') OR replace(lower(p_name), ' ', '') LIKE '%redbo%'""")
 def name_prefilter(spark, sf_dir):
     return search.prefiltered(t.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), "red bo")
