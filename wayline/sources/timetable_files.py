@@ -16,9 +16,10 @@ DAYS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sun
 
 
 def read_file(spark: SparkSession, path: str, name: str, required: bool = True) -> DataFrame | None:
-    """All columns as text, found by name; a byte-order mark, blanks around values and blank lines go. Missing and not required: None. A row's place is kept in ``__row``.
+    """All columns as text, found by name; a byte-order mark, blanks around values and blank lines go. Missing and not required: None.
 
-    Spark splits large files among tasks. A required column that isn't there raises.
+    Spark splits large files among tasks. A row's place is kept in ``__row``: its file (of several, by name), where its block begins there, and its number within the block, so it doesn't matter how Spark packs files and
+    blocks into tasks. A required column that isn't there raises.
     """
     try:
         df = spark.read.csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, mode="PERMISSIVE")
@@ -26,11 +27,13 @@ def read_file(spark: SparkSession, path: str, name: str, required: bool = True)
         if required:
             raise
         return None
-    df = df.toDF(*[c.replace("﻿", "").strip() for c in df.columns])
+    names = [c.replace("﻿", "").strip() for c in df.columns]
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("number"))
+    df = df.select("*", place.alias("__row")).toDF(*names, "__row")
     missing = [c for c in REQUIRED[name] if c not in df.columns]
     if missing:
         raise ValueError(f"{name}: no column {', '.join(missing)}")
-    return df.withColumn("__row", F.monotonically_increasing_id())
+    return df
 
 
 def _text(df: DataFrame, name: str) -> Column:
