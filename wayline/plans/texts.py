@@ -8,6 +8,7 @@ from wayline.functions import codec, words
 from wayline.operators import alerts, search
 from wayline.plans import transit as t
 from wayline.registry import query
+from wayline.sources import news_lists
 
 
 @query("""SELECT p_partkey AS id, translate(lower(trim(p_name)), 'ąćęłńóśźżáàâäãåčďéèêëěíìîïňòôöõřšťúùûüůýÿçñ', 'acelnoszzaaaaaacdeeeeeiiiinoooorstuuuuuyycn') AS norm, regexp_replace(regexp_replace(translate(lower(trim(p_name)), 'ąćęłńóśźż', 'acelnoszz'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM part""")
@@ -103,3 +104,18 @@ def short_labels(spark, sf_dir):
 def shard_counts(spark, sf_dir):
     """Rows by shard of their key, as a partitioned write deals them."""
     return t.read(spark, sf_dir, "pages").groupBy("url", F.pmod("page_id", F.lit(256)).alias("shard")).agg(F.count("*").alias("n")).select("url", "n", "shard")
+
+
+SHOWN = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace({x}, '<[^>]*>', ' ', 'gs'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))"""
+
+
+@query(f"""WITH l AS (SELECT page_id AS page, regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1, 's'), '<li>(.*?)</li>', 1) AS x FROM pages WHERE page_id % 2 = 0),
+  m AS (SELECT page, 'menu' AS source, unnest(x) AS x, generate_subscripts(x, 1) - 1 AS n FROM l),
+  a AS (SELECT page_id AS page, 'article' AS source, 0 AS n, regexp_extract(html, '<article>.*?<h1>(.*?)</h1>', 1, 's') AS title, regexp_extract(html, '<article>.*?<p>(.*?)(<p>|</p>|</article>)', 1, 's') AS lead FROM pages WHERE page_id % 2 = 1)
+  SELECT page, source, n::INT AS n, {SHOWN.format(x="x")} AS title, regexp_extract(x, 'href="([^"]*)"', 1) AS link, NULL::VARCHAR AS lead FROM m WHERE {SHOWN.format(x="x")} <> ''
+  UNION ALL SELECT page, source, n::INT, {SHOWN.format(x="title")}, NULL::VARCHAR, {SHOWN.format(x="lead")} FROM a WHERE {SHOWN.format(x="title")} <> ''""")
+def news_in_pages(spark, sf_dir):
+    """Items of two kinds of list pages by their rules: menus with links, and articles with a lead."""
+    rules = spark.createDataFrame([("menu", "nav ul li", "a", None, "a@href", None), ("article", "article", "h1", None, None, "p")], "source string, item string, title string, date string, link string, lead string")
+    pages = t.read(spark, sf_dir, "pages").select(F.col("page_id").alias("page"), F.when(F.col("page_id") % 2 == 0, "menu").otherwise("article").alias("source"), "html")
+    return news_lists.list_items(pages, rules).drop("date")
