@@ -20,7 +20,7 @@ def schedule_matches(vehicles: DataFrame, stop_times: DataFrame, stops: DataFram
     """
     a = vehicles.select("vehicle", "route", "sec", F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"))
     b = stops.select("stop", F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"))
-    near = within_distance(a, b, metres).select("vehicle", "route", "sec", "stop", F.floor(F.col("metres") + 0.5).alias("metres"))
+    near = within_distance(a, b, metres, "right").select("vehicle", "route", "sec", "stop", F.floor(F.col("metres") + 0.5).alias("metres"))
     asked = near.select("*", F.explode(F.sequence(F.floor((F.col("sec") - late) / 900), F.floor((F.col("sec") + early) / 900))).alias("slot"))
     calls = stop_times.select("route", "stop", "trip", "dep", F.floor(F.col("dep") / 900).alias("slot"))
     met = asked.join(calls, ["route", "stop", "slot"]).withColumn("delay", F.col("sec") - F.col("dep")).where(F.col("delay").between(-early, late))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,41 +15,45 @@ from wayline.operators.tables import cut
 EARTH = 6_371_000
 
 
-def cells(lat: Column, lon: Column, metres: float) -> tuple[Column, Column, Column]:
-    """Cell (y, x) of a point, and the cells around, as structs, that hold all points within ``metres``.
+def _bands(metres: float) -> tuple[float, float]:
+    """Degrees of latitude that a band of cells is high, and what its number of cells is to the cosine of its latitude.
 
-    Bands of latitude are ``metres`` high. A band is cut into as many equal cells around the globe as are still wide enough for points of it and of the
-    bands beside it; next to a pole that is one. The cells wrap at 180 degrees.
+    Points within ``metres`` differ in longitude by 2 asin(p) at most, p = sin(metres / 2R) / cos(latitude). Up to p = 0.5 that is below 2.0944 p; nearer to a pole a band is one cell.
     """
-    high = metres / 111_000
-    y, turn = F.floor(lat / high), F.lit(360.0)
-
-    def number(band: Column) -> Column:
-        far = F.greatest(F.abs(band - 1), F.abs(band + 2)) * high
-        part = F.sin(F.lit(metres / 2 / EARTH)) / F.cos(F.radians(F.least(far, F.lit(90.0))))
-        wide = F.when((far >= 89.9) | (part >= 0.7), turn).otherwise(F.degrees(2 * F.asin(F.least(part, F.lit(1.0)))) * 1.0001)
-        return F.greatest(F.floor(turn / wide), F.lit(1))
+    return metres / 111_000, 2 * math.pi / 2.0944 / math.sin(metres / 2 / EARTH)
 
-    def place(band: Column) -> Column:
-        return F.floor(F.pmod(lon + 180, turn) / turn * number(band))
 
-    def row(band: Column) -> Column:
-        return F.transform(F.array(*[F.pmod(place(band) + j, number(band)) for j in (-1, 0, 1)]), lambda x: F.struct(band.alias("y"), x.alias("x")))
+def _number(band: Column, high: float, share: float) -> Column:
+    """How many equal cells around the globe a band has that are still wide enough for points of it and of the bands beside it."""
+    far = F.least(F.greatest(F.abs(band - 1), F.abs(band + 2)) * high, F.lit(90.0))
+    n = F.floor(F.cos(F.radians(far)) * share)
+    return F.when(n >= 2 * 3, n).otherwise(1)
 
-    around = [row(y + i) for i in (-1, 0, 1)]
-    return y, F.pmod(place(y), number(y)), F.array_distinct(F.concat(*around))
 
+def cells(rows: DataFrame, lat: str, lon: str, metres: float, around: bool) -> DataFrame:
+    """Rows with their cell (__y, __x) in a grid of bands ``metres`` high; ``around``: once for each cell that may hold points within ``metres`` of theirs.
 
-def within_distance(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
+    The number of a band's cells is worked out once a row and band. Cells wrap at 180 degrees.
+    """
+    high, share = _bands(metres)
+    y = F.floor(F.col(lat) / high)
+    out = rows.withColumn("__y", F.explode(F.array(y - 1, y, y + 1)) if around else y)
+    out = out.withColumn("__n", _number(F.col("__y"), high, share)).withColumn("__x", F.floor(F.pmod(F.col(lon) + 180, F.lit(360.0)) / 360.0 * F.col("__n")))
+    if around:
+        out = out.withColumn("__x", F.explode(F.array_distinct(F.transform(F.array(*[F.lit(j) for j in (-1, 0, 1)]), lambda j: F.pmod(F.col("__x") + j, F.col("__n"))))))
+    else:
+        out = out.withColumn("__x", F.pmod(F.col("__x"), F.col("__n")))
+    return out.drop("__n")
+
+
+def within_distance(left: DataFrame, right: DataFrame, metres: float, spread: str = "left") -> DataFrame:
     """Pairs (all columns of both, metres) of ``left`` (a, a_lat, a_lon, ...) and ``right`` (b, b_lat, b_lon, ...) at most ``metres`` apart.
 
-    At any latitude, and across 180 degrees. One side goes to nine cells at most, the other to its own, so one equality join finds every pair once. A crowded cell is
+    At any latitude, and across 180 degrees. The side named by ``spread``, best the one with fewer rows, goes to nine cells at most, the other to its own, so one equality join finds every pair once. A crowded cell is
     split by the adaptive skew join, since both sides are plain shuffles.
     """
-    _, _, near = cells(F.col("a_lat"), F.col("a_lon"), metres)
-    a = left.select("*", F.explode(near).alias("__c")).select("*", F.col("__c.y").alias("__y"), F.col("__c.x").alias("__x")).drop("__c")
-    y, x, _ = cells(F.col("b_lat"), F.col("b_lon"), metres)
-    b = right.select("*", y.alias("__y"), x.alias("__x"))
+    a = cells(left, "a_lat", "a_lon", metres, spread == "left")
+    b = cells(right, "b_lat", "b_lon", metres, spread != "left")
     far = haversine(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
     return a.join(b, ["__y", "__x"]).withColumn("metres", far).where(F.col("metres") <= metres).drop("__y", "__x")
 
@@ -86,7 +92,7 @@ def nearest(points: DataFrame, stops: DataFrame, k: int = 1, first_metres: float
     place = Window.partitionBy("p").orderBy("metres", "stop")
     out, metres = None, first_metres
     while True:
-        met = cut(within_distance(a, b, metres).withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("p", "stop", "metres", "rank"))
+        met = cut(within_distance(a, b, metres, "right").withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("p", "stop", "metres", "rank"))
         if metres >= most_metres:
             return met if out is None else out.unionByName(met)
         full = met.groupBy("p").agg(F.max("rank").alias("n")).where(F.col("n") == k).select("p")
@@ -99,7 +105,7 @@ def weight_around(points: DataFrame, stops: DataFrame, metres: float = 1200.0) -
     """(p, weight): the sum of the weights of the stops (stop, lat, lon, weight) within ``metres``; 0 for none."""
     a = points.select("p", F.col("p_lat").alias("a_lat"), F.col("p_lon").alias("a_lon"))
     b = stops.select("weight", F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"))
-    met = within_distance(a, b, metres).groupBy("p").agg(F.sum("weight").alias("weight"))
+    met = within_distance(a, b, metres, "right").groupBy("p").agg(F.sum("weight").alias("weight"))
     return points.select("p").join(met, "p", "left").select("p", F.coalesce("weight", F.lit(0)).cast("long").alias("weight"))
 
 
