@@ -66,3 +66,25 @@ def test_doubles_are_scored_as_doubles(spark):
     a, b, c = [1.0, 1e-9], [1.0, 2e-9], [1.0, 0.5]
     got = nearest(spark.createDataFrame([(0, a), (1, b), (2, c), (3, a)], "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
     assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"])] in ([1, 3, 2], [3, 1, 2]) and {r["vec_id"]: r["score"] for r in got}[2] == (1 + 0.5e-9) / (1 + 1e-18) ** 0.5 / 1.25**0.5
+
+
+def test_repeated_ids_in_any_order(spark):
+    """An id with unlike vectors: the same lists whatever the order of rows, each vector a candidate and a query of its own."""
+    rng = np.random.default_rng(8)
+    rows = [(i % 40, [float(np.float32(x)) for x in rng.standard_normal(6)]) for i in range(120)]
+    rows += [rows[0], rows[7]]
+
+    def lists(order):
+        df = spark.createDataFrame([rows[i] for i in order], "vec_id long, embedding array<float>")
+        return sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in nearest(df, F.col("vec_id") % 20 == 0, top=3).collect())
+
+    got = lists(range(len(rows)))
+    assert got == lists(rng.permutation(len(rows)))
+    x = {(i, tuple(v)) for i, v in rows}
+    cos = lambda a, b: float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b))
+    want = []
+    for q, v in x:
+        if q % 20 == 0:
+            best = sorted(((-cos(np.array(v), np.array(w)), i) for i, w in x if i != q))[:3]
+            want += [(q, k + 1, i, round(-s, 9)) for k, (s, i) in enumerate(best)]
+    assert got == sorted(want)

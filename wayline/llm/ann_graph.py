@@ -178,13 +178,14 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = 5, id_col: str = "v
 
     Vectors that are null, zero or hold null or non-finite components take no part, nor do rows with a null id, nor vectors of another
     length than most (the longest of equally frequent lengths). Equal vectors are one node of the graph with their
-    smallest ids, so copies cost no pairs; rows of a repeated id count once. The ``recheck`` best found are scored on the original vectors, floats or doubles; ties go to
+    smallest ids, so copies cost no pairs; of rows equal in id and vector one counts. An id with several vectors is a candidate with each, and a query with each: it then has as many lists, each ranked from 1, and no
+    row of its own id in them. The ``recheck`` best found are scored on the original vectors, floats or doubles; ties go to
     the smaller id. Fewer rows than ``top``: all that there are. Other columns are not read.
     """
     single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), (F.col(vector_col) if single else F.col(vector_col).cast("array<double>")).alias("embedding"), is_query.alias("asks")).where(F.col("id").isNotNull() & usable(F.col("embedding")))
     sizes = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    rows = rows.where(F.size("embedding") == (sizes[0]["d"] if sizes else 0)).dropDuplicates(["id"])
+    rows = rows.where(F.size("embedding") == (sizes[0]["d"] if sizes else 0)).dropDuplicates(["id", "embedding"])
     nodes, total = numbered(distinct_vectors(rows, top + 1).withColumn("first", F.col("ids")[0]), [F.col("first")], "nodes", "node")
     nodes = written(nodes.select("node", "embedding", "ids"), "vectors")
     codes = written(nodes.select("node", coded(F.col("embedding")).alias("code")), "codes")
