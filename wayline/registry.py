@@ -23,4 +23,4 @@ def query(sql: str | None = None):
 
 
 def load() -> None:
-    from wayline.plans import boards, journey_plans, live_plans, live_tables, places, progress, rankings, riders, roads, services, texts  # noqa: F401
+    from wayline.plans import boards, details, journey_plans, live_plans, live_tables, places, progress, rankings, riders, roads, services, texts  # noqa: F401
