@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step over pairs (a > b): each node ties its larger (or its own and smaller) neighbours to the least."""
+def _stars(edges: DataFrame, large: bool, parts: int) -> DataFrame:
+    """One star step over pairs (a > b): each node ties its larger (or its own and smaller) neighbours to the least. What a shuffle brings is written on by ``parts`` tasks."""
     if large:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
@@ -18,7 +18,7 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
         out = tied.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = tied.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return out.where("a > b").distinct()
+    return out.where("a > b").coalesce(parts).distinct().coalesce(parts)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -26,7 +26,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     ``edges`` has the columns a and b, longs, in any order; null ends, loops and repeats are dropped. Work in
     a round is a few shuffles of the links; the number of rounds grows with the logarithm of the longest path.
-    Each round ends in a checkpoint, and only a count and a sum come to the driver.
+    Each round ends in a checkpoint, and only a count and a sum come to the driver. As many tasks write as the count of links asks for, so that the
+    many rounds of few links leave few files, whatever the number of shuffle partitions.
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
     before = None
@@ -35,5 +36,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if seen[0] == 0 or seen == before:
             return edges.select("a", F.col("b").alias("root"))
         before = seen
-        edges = _stars(_stars(edges, True), False).checkpoint()
+        parts = max(8, -(-seen[0] // 100_000))
+        edges = _stars(_stars(edges, True, parts), False, parts).checkpoint()
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

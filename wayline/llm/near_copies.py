@@ -349,7 +349,7 @@ def family_roots(families: DataFrame, sets: DataFrame, least: float, block: int,
     """(a, root): all links of at least ``least`` within families (n, family).
 
     A family's sets come to one task, in which every pair is verified. One of over ``block`` nodes, or ``elements`` shingles, parts into blocks,
-    each first by itself; then, up to ``rounds`` times, ``few`` nodes of each group that was found tie the blocks; then whatever
+    each first by itself; then, up to ``rounds`` times and while the cells of what is left hold more than twice the nodes, ``few`` nodes of each group that was found tie the blocks; then whatever
     pairs of unlike groups are left meet (``to_blocks``). No pair of a family is left out.
     """
     held = sets.join(families, "n").withColumn("root", F.col("n"))
@@ -360,16 +360,19 @@ def family_roots(families: DataFrame, sets: DataFrame, least: float, block: int,
     large = held.where("g > 1").drop("root")
     if not large.limit(1).count():
         return roots
+    nodes, rest = large.count(), None
     for salt in range(1, rounds + 1):
-        if not links.limit(1).count():
+        rest = to_blocks(with_roots(large.select("family", "g", "n"), roots), "family").select("family", "n", "root", "block")
+        if rest.count() <= 2 * nodes or not links.limit(1).count():
             break
         order = Window.partitionBy("family", "root").orderBy(F.xxhash64("n", F.lit(salt)))
         drawn = with_roots(large.select("family", "n"), roots).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= few)
         parts = drawn.groupBy("family").agg(F.ceil(F.count("*") / block).cast("long").alias("parts"))
         drawn = drawn.join(parts, "family").join(large.select("family", "n", "s"), ["family", "n"])
         links = written(links_by_cell(drawn.withColumn("cell", F.xxhash64("family", F.pmod(F.xxhash64("n", F.lit(salt)), F.col("parts")))), least), "copy-links")
-        roots = grown(roots, links)
-    rest = to_blocks(with_roots(large.select("family", "g", "n"), roots), "family").select("family", "n", "root", "block")
+        roots, rest = grown(roots, links), None
+    if rest is None:
+        rest = to_blocks(with_roots(large.select("family", "g", "n"), roots), "family").select("family", "n", "root", "block")
     last = links_by_cell(rest.join(large.select("family", "n", "s"), ["family", "n"]).withColumn("cell", F.xxhash64("family", "block")), least)
     return grown(roots, written(last, "copy-links"))
 
