@@ -65,12 +65,12 @@ def route_counts(spark, sf_dir):
     return t.trips(spark, sf_dir).groupBy("route").agg(F.count("*").alias("trips"), F.count_if(F.col("service").isin(0, 6)).alias("weekend"), F.count_if(F.col("day") >= F.lit("1998-01-01").cast("date")).alias("recent"))
 
 
-@query(t.sql("""SELECT 'd' || trip AS key, dep FROM stop_times WHERE service = 2 AND stop = 5 UNION ALL SELECT 'y' || trip, dep - 86400 FROM stop_times WHERE service = 1 AND stop = 5 AND dep >= 86400
-  UNION ALL SELECT 't' || trip, dep + 86400 FROM stop_times WHERE service = 3 AND stop = 5 AND dep < 7200"""))
+@query(t.sql("""SELECT 'd' || trip AS key, stop, dep FROM stop_times WHERE service = 2 UNION ALL SELECT 'y' || trip, stop, dep - 86400 FROM stop_times WHERE service = 1 AND dep >= 86400
+  UNION ALL SELECT 't' || trip, stop, dep + 86400 FROM stop_times WHERE service = 3 AND dep < 7200"""))
 def around_midnight(spark, sf_dir):
     """A day with the late trips of the day before and the early ones of the next, on one scale of seconds."""
-    st = t.stop_times(spark, sf_dir).where("stop = 5")
-    part = lambda mark, rows, by: rows.select(F.concat(F.lit(mark), F.col("trip")).alias("key"), (F.col("dep") + by).alias("dep"))
+    st = t.stop_times(spark, sf_dir)
+    part = lambda mark, rows, by: rows.select(F.concat(F.lit(mark), F.col("trip")).alias("key"), "stop", (F.col("dep") + by).alias("dep"))
     return part("d", st.where("service = 2"), 0).union(part("y", st.where("service = 1 and dep >= 86400"), -86400)).union(part("t", st.where("service = 3 and dep < 7200"), 86400))
 
 

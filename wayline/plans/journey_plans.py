@@ -141,13 +141,13 @@ def skyline(spark, sf_dir):
     return journeys.skyline(_journeys(spark, sf_dir))
 
 
-@query(f"""WITH {JOURNEYS_SQL}, a AS (SELECT q, id % 5 AS hub, dep*60 AS dep, arr*60 AS arr, transfers FROM j WHERE id % 2 = 0), b AS (SELECT id % 5 AS hub, dep*60 AS dep2, arr*60 AS arr2, transfers AS transfers2 FROM j WHERE id % 2 = 1)
+@query(f"""WITH {JOURNEYS_SQL}, a AS (SELECT q, id % 5 AS hub, dep*60 AS dep, arr*60 AS arr, transfers FROM j WHERE id % 2 = 0), once AS (SELECT id % 5 AS hub, dep*60 AS dep2, arr*60 AS arr2, transfers AS transfers2 FROM j WHERE id % 2 = 1), b AS (SELECT * FROM once UNION ALL SELECT hub, dep2 + 86400, arr2 + 86400, transfers2 FROM once)
   SELECT DISTINCT q, hub, dep, m.arr2 AS arr, transfers + 1 + m.transfers2 AS transfers FROM (SELECT a.q, a.hub, a.dep, a.arr, a.transfers, min({{'arr2': arr2, 'dep2': dep2, 'transfers2': transfers2}}) AS m FROM a JOIN b ON a.hub = b.hub AND b.dep2 >= a.arr + 300 GROUP BY ALL)""")
 def joined_itineraries(spark, sf_dir):
     j = _journeys(spark, sf_dir)
     a = j.where("id % 2 = 0").select("q", (F.col("id") % 5).alias("hub"), (F.col("dep") * 60).alias("dep"), (F.col("arr") * 60).alias("arr"), "transfers")
     b = j.where("id % 2 = 1").select((F.col("id") % 5).alias("hub"), (F.col("dep") * 60).alias("dep2"), (F.col("arr") * 60).alias("arr2"), F.col("transfers").alias("transfers2"))
-    return journeys.joined_itineraries(a, b, wrap=None).distinct()
+    return journeys.joined_itineraries(a, b).distinct()
 
 
 @query(t.sql("""SELECT a.trip, a.route, a.dep, b.arr, b.arr - a.dep AS ride FROM stop_times a JOIN stop_times b ON a.trip = b.trip AND a.seq < b.seq WHERE a.service = 2 AND a.stop IN (5, 12, 40) AND b.stop IN (19, 26, 54) AND a.dep >= 28800

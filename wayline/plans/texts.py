@@ -82,12 +82,12 @@ def feature_bits(spark, sf_dir):
     return t.read(spark, sf_dir, "orders").select(k.alias("id"), bits.alias("bits"), F.array_join(codec.names_of(bits, order), ",").alias("names"))
 
 
-@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey >= 10 AND o_orderkey % 2 = 0 THEN o_orderkey::VARCHAR || ',' || substr(o_orderkey::VARCHAR, 1, len(o_orderkey::VARCHAR) - 1) || (o_orderkey % 9)::VARCHAR ELSE o_orderkey::VARCHAR END AS numbers FROM orders WHERE o_orderkey >= 10 AND o_orderkey % 10 <> o_orderkey % 9""")
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 <> o_orderkey % 9 AND o_orderkey % 2 = 0 THEN o_orderkey::VARCHAR || ',' || substr(o_orderkey::VARCHAR, 1, len(o_orderkey::VARCHAR) - 1) || (o_orderkey % 9)::VARCHAR ELSE o_orderkey::VARCHAR END AS numbers FROM orders""")
 def train_numbers(spark, sf_dir):
     """What a number like 8308/9 stands for."""
     k = F.col("o_orderkey")
     text = F.when(k % 2 == 0, F.concat_ws("/", k.cast("string"), (k % 9).cast("string"))).otherwise(k.cast("string"))
-    return t.read(spark, sf_dir, "orders").where((k >= 10) & (k % 10 != k % 9)).select(k.alias("id"), F.array_join(words.number_variants(text), ",").alias("numbers"))
+    return t.read(spark, sf_dir, "orders").select(k.alias("id"), F.array_join(words.number_variants(text), ",").alias("numbers"))
 
 
 @query("""SELECT page_id, len(html) < 2500 AND regexp_matches(html, '(?i)(facebook|twitter|href)') AS junk FROM pages""")
