@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wayline.functions import codec, words
 from wayline.functions.clock import is_holiday, micro
-from wayline.operators import alerts, news, stations, tracking
+from wayline.operators import alerts, fixes, news, stations, tracking
 from wayline.operators import itineraries as it
 from wayline.operators import patterns as pat
 from wayline.plans import transit as t
@@ -159,3 +159,15 @@ def alert_checks(spark, sf_dir):
     table = F.create_map(F.lit("plac red"), F.lit("Plac Red"))
     text = F.concat(F.lit("detour by Plac Red and Long Road"), F.when(size % 3 == 0, ", then Nowhere Street").otherwise(""))
     return t.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array_join(news.canonical(names, table), ",").alias("names"), F.array_join(news.unknown_names(text, F.lit("works at Plac Red"), F.array(F.lit("Long Road"))), ",").alias("unknown"))
+
+
+@query()
+def steady_fixes(spark, sf_dir):
+    """Positions of users through the filter; what a fix does depends on all before it, so tests hold it against hand-made ways."""
+    e = t.read(spark, sf_dir, "events")
+    k = F.col("event_id")
+    sec = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    # seconds of a walk: a day counts as a minute, so that fixes follow one another
+    rows = e.select(F.col("user_id").alias("device"), (sec / 1440).alias("ts"), (F.lit(51.0) + sec % 86_400 / 1e8 + k % 17 / 1e5).alias("lat"), (F.lit(17.0) + k % 13 / 1e5).alias("lon"), (5 + k % 40).cast("double").alias("accuracy"), F.when(k % 3 == 0, 1.4).alias("speed"), F.lit(None).cast("double").alias("heading"))
+    out = fixes.steadied(rows)
+    return out.select("device", "ts", micro(F.col("f_lat")).alias("lat"), micro(F.col("f_lon")).alias("lon"), "f_accuracy")
