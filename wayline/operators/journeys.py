@@ -31,7 +31,7 @@ def earliest_arrivals(stop_times: DataFrame, walks: DataFrame, queries: DataFram
     after it. A state keeps the least (arr, legs). Row counts per round grow with the reached (query, stop) pairs. Rounds are written tables,
     so the plan stays flat and lost executors repeat one round at most.
     """
-    calls = stop_times.select("trip", "route", "seq", "stop", "arr", "dep")
+    calls = cut(stop_times.select("trip", "route", "seq", "stop", "arr", "dep"))
     ride = calls.select("trip", F.col("seq").alias("to_seq"), F.col("stop").alias("to_stop"), F.col("arr").alias("to_arr"))
     first = queries.agg(F.floor(F.min("dep") / 3600)).first()[0]
     here, later = map(cut, boardings(calls, 0 if first is None else int(first)))
@@ -81,7 +81,7 @@ def range_arrivals(stop_times: DataFrame, walks: DataFrame, queries: DataFrame,
     round (rides) that finds it. A journey leaves for its first ride, or for a walk to it, as late as it can. ``stop_times`` are of chains, as for ``earliest_arrivals``. Labels of a query and stop are at most one for
     each second of the span, and combine before they are ordered. Rounds are written tables.
     """
-    calls = stop_times.select("trip", "route", "seq", "stop", "arr", "dep")
+    calls = cut(stop_times.select("trip", "route", "seq", "stop", "arr", "dep"))
     ride = calls.select("trip", F.col("seq").alias("to_seq"), F.col("stop").alias("to_stop"), F.col("arr").cast("long").alias("to_arr"))
     first = queries.agg(F.floor(F.min("first") / 3600)).first()[0]
     here, later = map(cut, boardings(calls, 0 if first is None else int(first)))
