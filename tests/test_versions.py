@@ -74,3 +74,12 @@ def test_restore_only_what_is_fresh(spark, tmp_path):
     assert v.restored(spark, path, 1000.0) is None
     v.commit(rows(spark, "a").limit(0), path, at=1000.0)
     assert v.restored(spark, path, 1900.0).count() == 0 and v.restored(spark, path, 1900.5) is None and v.restored(spark, path, 999.0) is None
+
+
+def test_forget_what_a_job_has_written(spark, tmp_path, monkeypatch):
+    from wayline.operators import tables
+
+    monkeypatch.setattr(tables, "shared_folder", lambda _: str(tmp_path))
+    one = tables.cut(rows(spark, "a"))
+    (tmp_path / "another-job").mkdir()
+    assert names(one) == ["a"] and tables.forget(spark) == 1 and [x.name for x in tmp_path.iterdir()] == ["another-job"]

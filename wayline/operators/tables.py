@@ -26,3 +26,14 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession) -> int:
+    """Deletes all tables that this application has written to the shared folder, the training-data operators' too; returns how many. For the end of a job: frames that read them can't be used after it."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    own = [x.getPath() for x in (fs.listStatus(at) if fs.exists(at) else []) if x.getPath().getName().startswith(f"{spark.sparkContext.applicationId}-")]
+    for x in own:
+        fs.delete(x, True)
+    return len(own)
