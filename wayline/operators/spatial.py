@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wayline.functions.geometry import haversine
-from wayline.operators.tables import cut
+from wayline.operators.tables import cut, tasks
 
 #: Metres of the globe's radius, as the distance takes it.
 EARTH = 6_371_000
@@ -46,16 +46,27 @@ def cells(rows: DataFrame, lat: str, lon: str, metres: float, around: bool) -> D
     return out.drop("__n")
 
 
+def near_places(left: DataFrame, right: DataFrame, metres: float, spread: str = "left") -> DataFrame:
+    """(a_lat, a_lon, b_lat, b_lon, metres): pairs of different places of ``left`` (a_lat, a_lon, ...) and ``right`` (b_lat, b_lon, ...) at most ``metres`` apart, however many rows lie at each.
+
+    At any latitude, and across 180 degrees. The side named by ``spread``, best the one with fewer places, goes to nine cells at most, the other to its own, so one equality join finds every pair once.
+    """
+    a = cells(left.select("a_lat", "a_lon").distinct(), "a_lat", "a_lon", metres, spread == "left")
+    b = cells(right.select("b_lat", "b_lon").distinct(), "b_lat", "b_lon", metres, spread != "left")
+    n = tasks(left.sparkSession)
+    far = haversine(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
+    met = a.repartition(n, "__y", "__x").join(b, ["__y", "__x"])
+    return met.withColumn("metres", far).where(F.col("metres") <= metres).drop("__y", "__x")
+
+
 def within_distance(left: DataFrame, right: DataFrame, metres: float, spread: str = "left") -> DataFrame:
     """Pairs (all columns of both, metres) of ``left`` (a, a_lat, a_lon, ...) and ``right`` (b, b_lat, b_lon, ...) at most ``metres`` apart.
 
-    At any latitude, and across 180 degrees. The side named by ``spread``, best the one with fewer rows, goes to nine cells at most, the other to its own, so one equality join finds every pair once. A crowded cell is
-    split by the adaptive skew join, since both sides are plain shuffles.
+    Places meet first (``near_places``), once however many rows lie at them; then each side's rows are put to their places, so the pairs are made by equality joins in as many tasks as the session has
+    room for, and no distance is worked out twice. Callers that need no pairs combine the rows of a place before.
     """
-    a = cells(left, "a_lat", "a_lon", metres, spread == "left")
-    b = cells(right, "b_lat", "b_lon", metres, spread != "left")
-    far = haversine(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
-    return a.join(b, ["__y", "__x"]).withColumn("metres", far).where(F.col("metres") <= metres).drop("__y", "__x")
+    met = left.join(near_places(left, right, metres, spread), ["a_lat", "a_lon"]).repartition(tasks(left.sparkSession), "b_lat", "b_lon").join(right, ["b_lat", "b_lon"])
+    return met.select(*left.columns, *right.columns, "metres")
 
 
 def footpaths(stops: DataFrame, metres: float = 800.0, speed: float = 1.45, detour: float = 1.15, least: int = 45) -> DataFrame:
@@ -67,11 +78,12 @@ def footpaths(stops: DataFrame, metres: float = 800.0, speed: float = 1.45, deto
 
 
 def interchanges(first: DataFrame, second: DataFrame, hubs: DataFrame, metres: float = 600.0, hub_metres: float = 1500.0, hub_seconds: int = 600, speed: float = 1.45, detour: float = 1.15, least: int = 45) -> DataFrame:
-    """(a, b, seconds) with a < b: walks between stops of two networks; from a hub also farther ones, of at least ``hub_seconds``; the longest of a pair counts."""
-    pairs = within_distance(first, second, hub_metres).join(hubs.select(F.col("stop").alias("a"), F.lit(True).alias("hub")), "a", "left")
+    """(a, b, seconds) with a < b: walks between stops of two networks; from a hub also farther ones, of at least ``hub_seconds``; the longest of a pair counts. Only hubs look beyond ``metres``."""
+    far = within_distance(first.join(hubs.select(F.col("stop").alias("a")).distinct(), "a", "left_semi"), second, hub_metres).where(F.col("metres") > metres)
+    pairs = within_distance(first, second, metres).select("a", "b", "metres").unionByName(far.select("a", "b", "metres"))
     plain = F.floor(F.col("metres") * detour / speed + 0.5)
-    seconds = F.when(F.col("metres") <= metres, F.greatest(F.lit(least), plain)).when(F.col("hub"), F.greatest(F.lit(hub_seconds), plain))
-    rows = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), seconds.cast("long").alias("seconds")).where("seconds is not null")
+    seconds = F.greatest(F.when(F.col("metres") <= metres, F.lit(least)).otherwise(F.lit(hub_seconds)), plain)
+    rows = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), seconds.cast("long").alias("seconds"))
     return rows.groupBy("a", "b").agg(F.max("seconds").alias("seconds"))
 
 
@@ -84,29 +96,35 @@ def replaced(paths: DataFrame, better: DataFrame) -> DataFrame:
 def nearest(points: DataFrame, stops: DataFrame, k: int = 1, first_metres: float = 400.0, most_metres: float = 6400.0) -> DataFrame:
     """Of each point (p, p_lat, p_lon) its ``k`` nearest stops (stop, lat, lon) within ``most_metres``: p, stop, metres, rank.
 
-    Rings of four times the width: only points that have not found k stops within a ring ask in the next. A ring's finds are a written table, as its answers and
-    the points left over both come from it. Ties go to the smaller stop.
+    Places ask, not points, and of a place's stops the ``k`` smallest are asked. Rings of four times the width: only places that have not found k stops within a ring ask in the next. A ring's finds are a written table, as its answers and
+    the places left over both come from it. Ties go to the smaller stop.
     """
-    a = points.select("p", F.col("p_lat").alias("a_lat"), F.col("p_lon").alias("a_lon"))
-    b = stops.select("stop", F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"))
-    place = Window.partitionBy("p").orderBy("metres", "stop")
+    spot = ["a_lat", "a_lon"]
+    a = cut(points.select(F.col("p_lat").alias("a_lat"), F.col("p_lon").alias("a_lon")).distinct())
+    own = Window.partitionBy("b_lat", "b_lon").orderBy("stop")
+    b = stops.select("stop", F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon")).withColumn("__k", F.row_number().over(own)).where(F.col("__k") <= k).drop("__k")
+    b = cut(b)
+    place = Window.partitionBy(*spot).orderBy("metres", "stop")
     out, metres = None, first_metres
     while True:
-        met = cut(within_distance(a, b, metres, "right").withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("p", "stop", "metres", "rank"))
+        met = cut(within_distance(a, b, metres, "right").withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select(*spot, "stop", "metres", "rank"))
         if metres >= most_metres:
-            return met if out is None else out.unionByName(met)
-        full = met.groupBy("p").agg(F.max("rank").alias("n")).where(F.col("n") == k).select("p")
-        part = met.join(full, "p", "left_semi")
+            out = met if out is None else out.unionByName(met)
+            break
+        full = met.groupBy(*spot).agg(F.max("rank").alias("n")).where(F.col("n") == k).select(*spot)
+        part = met.join(full, spot, "left_semi")
         out = part if out is None else out.unionByName(part)
-        a, metres = cut(a.join(full, "p", "left_anti")), min(most_metres, metres * 4)
+        a, metres = cut(a.join(full, spot, "left_anti")), min(most_metres, metres * 4)
+    asked = points.select("p", F.col("p_lat").alias("a_lat"), F.col("p_lon").alias("a_lon"))
+    return asked.join(out, spot).select("p", "stop", "metres", "rank")
 
 
 def weight_around(points: DataFrame, stops: DataFrame, metres: float = 1200.0) -> DataFrame:
-    """(p, weight): the sum of the weights of the stops (stop, lat, lon, weight) within ``metres``; 0 for none."""
+    """(p, weight): the sum of the weights of the stops (stop, lat, lon, weight) within ``metres``; 0 for none. Weights are summed by place before places meet."""
     a = points.select("p", F.col("p_lat").alias("a_lat"), F.col("p_lon").alias("a_lon"))
-    b = stops.select("weight", F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"))
-    met = within_distance(a, b, metres, "right").groupBy("p").agg(F.sum("weight").alias("weight"))
-    return points.select("p").join(met, "p", "left").select("p", F.coalesce("weight", F.lit(0)).cast("long").alias("weight"))
+    b = stops.groupBy(F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon")).agg(F.sum("weight").alias("weight"))
+    met = near_places(a, b, metres, "right").join(b, ["b_lat", "b_lon"]).groupBy("a_lat", "a_lon").agg(F.sum("weight").alias("weight"))
+    return a.join(met, ["a_lat", "a_lon"], "left").select("p", F.coalesce("weight", F.lit(0)).cast("long").alias("weight"))
 
 
 def split_cells(points: DataFrame, metres: float, most: int, levels: int = 8) -> DataFrame:

@@ -28,6 +28,11 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tasks(spark: SparkSession) -> int:
+    """Tasks for a step that makes many rows of few: Spark would size it by the few that it reads and leave it to one or two."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
 def forget(spark: SparkSession) -> int:
     """Deletes all tables that this application has written to the shared folder, the training-data operators' too; returns how many. For the end of a job: frames that read them can't be used after it."""
     jvm = spark.sparkContext._jvm
