@@ -8,22 +8,27 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from wayline.operators.spatial import within_distance
+from wayline.operators.spatial import near_places
+from wayline.operators.tables import tasks
 
 
 def schedule_matches(vehicles: DataFrame, stop_times: DataFrame, stops: DataFrame, metres: float = 350.0, early: int = 300, late: int = 5400) -> DataFrame:
     """(vehicle, trip, score, delay, metres): every trip of the vehicle's route that calls within ``metres`` of it, from ``early`` seconds before to ``late`` after its time.
 
-    First the stops near each vehicle, by a grid; then their calls, by route, stop and quarter hour: a vehicle meets only calls that may fit.
+    First the stops near each place of vehicles, by a grid, and of these only those at which the route calls; then their calls, by route, stop and quarter hour: a vehicle meets only calls that may fit.
     The score is |delay| + 2 metres, small is good; of a trip's calls the best counts.
     """
     a = vehicles.select("vehicle", "route", "sec", F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"))
     b = stops.select("stop", F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"))
-    near = within_distance(a, b, metres, "right").select("vehicle", "route", "sec", "stop", F.floor(F.col("metres") + 0.5).alias("metres"))
+    lines = stop_times.select("route", "stop").distinct()
+    b = b.join(lines.select("stop").distinct(), "stop", "left_semi")
+    spots = near_places(a, b, metres, "right").join(b, ["b_lat", "b_lon"]).join(lines, "stop").select("route", "a_lat", "a_lon", "stop", F.floor(F.col("metres") + 0.5).alias("metres"))
+    near = a.join(spots, ["route", "a_lat", "a_lon"]).select("vehicle", "route", "sec", "stop", "metres")
     asked = near.select("*", F.explode(F.sequence(F.floor((F.col("sec") - late) / 900), F.floor((F.col("sec") + early) / 900))).alias("slot"))
     calls = stop_times.select("route", "stop", "trip", "dep", F.floor(F.col("dep") / 900).alias("slot"))
-    met = asked.join(calls, ["route", "stop", "slot"]).withColumn("delay", F.col("sec") - F.col("dep")).where(F.col("delay").between(-early, late))
+    met = asked.repartition(tasks(vehicles.sparkSession), "route", "stop", "slot").join(calls, ["route", "stop", "slot"]).withColumn("delay", F.col("sec") - F.col("dep")).where(F.col("delay").between(-early, late))
     met = met.withColumn("score", F.abs("delay") + 2 * F.col("metres"))
     return met.groupBy("vehicle", "trip").agg(F.min(F.struct("score", "delay", "metres")).alias("x")).select("vehicle", "trip", "x.score", "x.delay", "x.metres")
 
