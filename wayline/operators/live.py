@@ -44,20 +44,31 @@ def one_to_one(matches: DataFrame, vehicles: DataFrame) -> DataFrame:
 
 
 def nearest_in_time(left: DataFrame, right: DataFrame, key: str, at: str, other: str, most: int) -> DataFrame:
-    """``left`` rows with the ``right`` row of the same key nearest in circular time of day, at most ``most`` seconds off; ties: the earlier.
+    """``left`` rows with the ``right`` row of the same key nearest in circular time of day, at most ``most`` seconds off; ties: the least other columns in their order. Repeated rows each keep theirs.
 
-    The times of day are dealt to slots of ``most`` seconds; a row meets its slot and those next to it only, also across midnight. Repeated rows each keep theirs.
+    Times ask, not rows: of a key's rows at one time of day the least stands for all. They are dealt to slots of ``most`` seconds; within a slot one window carries the last time before each one that asks and the first after it, and the
+    slots around get a slot's first and last time only, also across midnight. So no pairs are made, and a window holds the times of one key and slot.
     """
     slots = -(-86_400 // most)
-    slot = lambda c: F.floor(F.pmod(F.col(c), F.lit(86_400)) / most)
-    three = F.array_distinct(F.array(*[F.pmod(slot(at) + i, F.lit(slots)) for i in (-2, -1, 0, 1, 2)]))
-    a = left.withColumn("__row", F.monotonically_increasing_id()).select("*", F.explode(three).alias("__slot"))
-    b = right.select("*", slot(other).alias("__slot"))
-    d = F.abs(F.pmod(F.col(at) - F.col(other) + 43_200, F.lit(86_400)) - 43_200)
-    met = a.join(b, [key, "__slot"]).withColumn("gap", d).where(F.col("gap") <= most)
+    clock = lambda c: F.pmod(F.col(c), F.lit(86_400))
     rest = [c for c in right.columns if c != key]
-    best = met.groupBy("__row", *left.columns).agg(F.min(F.struct("gap", *rest)).alias("x"))
-    return best.select(*left.columns, "x.gap", *[f"x.{c}" for c in rest])
+    slot = F.floor(F.col("__t") / most)
+    b = right.groupBy(key, clock(other).alias("__t")).agg(F.min(F.struct(*rest)).alias("__b")).withColumn("__slot", slot)
+    ends = b.groupBy(key, "__slot").agg(F.min(F.struct("__t", "__b")).alias("lo"), F.max(F.struct("__t", "__b")).alias("hi"))
+    sent = [ends.select(key, (F.col("__slot") + i).alias("__to"), f"{end}.*") for i in (-2, -1, 1, 2) for end in ("lo", "hi")]
+    turn = F.floor(F.col("__to") / slots)
+    told = b.select(key, "__slot", "__t", "__b")
+    for x in sent:
+        told = told.unionByName(x.select(key, (F.col("__to") - turn * slots).alias("__slot"), (F.col("__t") - turn * 86_400).alias("__t"), "__b"))
+    asked = left.select(key, clock(at).alias("__t")).distinct().select(key, slot.alias("__slot"), "__t", F.lit(None).cast(b.schema["__b"].dataType).alias("__b"))
+    w = Window.partitionBy(key, "__slot").orderBy("__t")
+    x = F.when(F.col("__b").isNotNull(), F.struct("__t", "__b"))
+    around = told.unionByName(asked).select(key, "__t", F.col("__b").isNull().alias("__asks"), F.max(x).over(w.rangeBetween(Window.unboundedPreceding, 0)).alias("lo"), F.min(x).over(w.rangeBetween(0, Window.unboundedFollowing)).alias("hi")).where("__asks")
+    far = lambda c: F.abs(F.pmod(F.col("__t") - F.col(f"{c}.__b.{other}") + 43_200, F.lit(86_400)) - 43_200)
+    one = lambda c: F.when(F.col(c).isNotNull(), F.struct(far(c).alias("gap"), F.col(f"{c}.__b").alias("b")))
+    found = around.select(key, "__t", F.least(one("lo"), one("hi")).alias("x")).where(F.col("x.gap") <= most)
+    out = left.withColumn("__t", clock(at)).join(found, [key, "__t"])
+    return out.select(*left.columns, "x.gap", *[f"x.b.{c}" for c in rest])
 
 
 def peer_delays(waiting: DataFrame, samples: DataFrame, span: int = 2700, share: float = 0.8, least: int = 120, needed: int = 2) -> DataFrame:
