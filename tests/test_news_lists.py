@@ -43,3 +43,18 @@ def test_many_sources_one_reader(spark):
     pages = spark.createDataFrame([(1, "a", CARDS), (2, "b", "<div id=news><p><i>x</i> y<p><b>z</b></div><p><i>out</i>"), (3, "c", CARDS), (4, "a", None), (5, "a", "")], "page long, source string, html string")
     got = sorted((r["page"], r["n"], r["title"], r["date"], r["link"]) for r in list_items(pages, rules).collect())
     assert got == [(1, 0, "Line 5 closed", "1.03.2024", "/a?x=1&y=2"), (1, 1, "Third", None, "/c"), (2, 0, "x", None, None), (2, 1, "z", None, None)]
+
+
+def test_sql_reads_references_without_semicolon(spark, tmp_path):
+    """Texts cut off within a reference: the query and its SQL say the same."""
+    import duckdb
+
+    from wayline import registry
+
+    registry.load()
+    html = "<html><article><h1>A &amp; B &amp</h1><p>x &lt &#39 y &quot;z&nbsp</p></article></html>"
+    spark.createDataFrame([(1, html)], "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    got = registry.QUERIES["news_in_pages"](spark, str(tmp_path)).select("title", "lead").collect()
+    assert [tuple(r) for r in got] == con.execute(f"SELECT title, lead FROM ({registry.ORACLES['news_in_pages']})").fetchall() == [("A & B &", "x < ' y \"z")]

@@ -106,7 +106,8 @@ def shard_counts(spark, sf_dir):
     return t.read(spark, sf_dir, "pages").groupBy("url", F.pmod("page_id", F.lit(256)).alias("shard")).agg(F.count("*").alias("n")).select("url", "n", "shard")
 
 
-SHOWN = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace({x}, '<[^>]*>', ' ', 'gs'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))"""
+#: Shown text: references of HTML stand with or without their semicolon, as where a text was cut off.
+SHOWN = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '<[^>]*>', ' ', 'gs'), '&nbsp;?', ' ', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&#39(;|$|([^0-9;]))', '''\2', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))"""
 
 
 @query(f"""WITH l AS (SELECT page_id AS page, regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1, 's'), '<li>(.*?)</li>', 1) AS x FROM pages WHERE page_id % 2 = 0),
