@@ -65,13 +65,13 @@ YARD = """, yard AS (SELECT stop, lat, lon, radians(stop*37 % 360) AS w, 111320.
     lat + (-60*cos(w) - d*sin(w))/ky AS lat1, lon + (-60*sin(w) + d*cos(w))/kx AS lon1, lat + (60*cos(w) - d*sin(w))/ky AS lat2, lon + (60*sin(w) + d*cos(w))/kx AS lon2 FROM sides JOIN yard USING (stop)),
   m AS (SELECT track, s, p.ref, sin(w) AS ux, cos(w) AS uy, (lon1 - q.lon)*111320*cos(radians(q.lat)) AS ax, (lat1 - q.lat)*110574 AS ay, (lon2 - lon1)*111320*cos(radians(q.lat)) AS dx, (lat2 - lat1)*110574 AS dy FROM piece q, plat p WHERE (p.layer IS NULL OR p.layer = q.layer) AND abs(lat1 - q.lat) < 0.01 AND abs(lon1 - q.lon) < 0.01),
   c AS (SELECT *, ax + t*dx AS cx, ay + t*dy AS cy FROM (SELECT *, greatest(0.0, least(1.0, -(ax*dx + ay*dy)/(dx*dx + dy*dy))) AS t FROM m)),
-  o AS (SELECT track, s, ref, sqrt(cx*cx + cy*cy) AS off, ux*cy - uy*cx AS turn FROM c WHERE sqrt(cx*cx + cy*cy) <= 6.5),
+  o AS (SELECT * FROM (SELECT track, s, ref, floor(sqrt(cx*cx + cy*cy)*1000 + 0.5)/1000 AS off, floor((ux*cy - uy*cx)*1000 + 0.5)/1000 AS turn FROM c) WHERE off <= 6.5),
   lr AS (SELECT track, s, min(CASE WHEN turn > 0 THEN {'off': off, 'ref': ref} END) AS l, min(CASE WHEN turn < 0 THEN {'off': off, 'ref': ref} END) AS r FROM o GROUP BY 1, 2),
   v AS (SELECT q.*, CASE WHEN l.off <= 5.5 AND r.off <= 5.5 AND abs(l.off - r.off) < 1.8 THEN 'both' WHEN l.off IS NOT NULL AND (r.off IS NULL OR l.off + 1.8 <= r.off) THEN 'left' WHEN r.off IS NOT NULL AND (l.off IS NULL OR r.off + 1.8 <= l.off) THEN 'right' END AS side, l, r FROM piece q JOIN lr USING (track, s)),
   w AS (SELECT key, lat, lon, long, side, CASE side WHEN 'left' THEN l.ref WHEN 'right' THEN r.ref END AS ref, CASE side WHEN 'left' THEN atan2(-cos(w), sin(w)) WHEN 'right' THEN atan2(cos(w), -sin(w)) END AS b FROM v WHERE side IS NOT NULL),
   e AS (SELECT s.stop, unnest(['*', 't:' || key, 'p:' || ref]) AS entry, side, b, long FROM stops s JOIN w ON """ + t.METRES.format(a="s.lat", b="s.lon", c="w.lat", d="w.lon") + """ <= 190),
   g AS (SELECT stop, entry, sum(CASE WHEN side <> 'both' THEN long ELSE 0 END) AS one, sum(CASE WHEN side = 'both' THEN long ELSE 0 END) AS two, coalesce(sum(sin(b)*long), 0) AS sx, coalesce(sum(cos(b)*long), 0) AS sy FROM e WHERE entry IS NOT NULL GROUP BY 1, 2),
-  h AS (SELECT stop, entry, CASE WHEN two >= 15 AND two > one*0.35 THEN -1 WHEN one >= 15 AND sqrt(sx*sx + sy*sy)/one >= 0.92 THEN (floor(degrees(atan2(sx, sy)) + 0.5)::INT + 360) % 360 END AS bearing FROM g)
+  h AS (SELECT stop, entry, CASE WHEN two >= 15 AND two > one*0.35 THEN -1 WHEN one >= 15 AND sqrt(sx*sx + sy*sy)/one >= 0.92 THEN (floor(degrees(atan2(sx, sy)) + 0.500001)::INT + 360) % 360 END AS bearing FROM g)
   SELECT stop, entry, bearing FROM h WHERE bearing IS NOT NULL AND (starts_with(entry, 't:') OR bearing <> -1)"""
 
 
