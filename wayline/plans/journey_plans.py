@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from wayline.operators import alerts, itineraries, journeys, spatial
 from wayline.operators import patterns as pat
+from wayline.operators.tables import cut
 from wayline.plans import transit as t
 from wayline.registry import query
 
@@ -222,12 +224,19 @@ CHAINS = f""", walks AS (SELECT a.stop AS a, b.stop AS b, greatest(45, floor({AB
   JOIN x x2 ON x2.s = a2.stop JOIN day b3 ON b3.trip = t3 AND b3.stop = x2.t AND b3.dep >= a2.arr + x2.need JOIN day a3 ON a3.trip = t3 AND a3.seq > b3.seq AND a3.arr + a3.stop*53 % 400 <= 100000 GROUP BY 1"""))
 def refined_chains(spark, sf_dir):
     """Journeys of three fixed trips, each the next one to leave from a stop of the one before: the best places to change. The SQL tries all places of all three."""
-    st = day(spark, sf_dir)
+    st = cut(day(spark, sf_dir))
     last = st.groupBy("trip").agg(F.max("seq").alias("last"))
-    onward = st.join(last, "trip").where("seq < last").select("stop", F.col("dep").alias("at"), F.col("trip").alias("nxt"))
-    onto = st.where("seq > 1").join(onward, "stop").where("at >= arr + 120").groupBy("trip").agg(F.min_by("nxt", F.struct("at", "nxt")).alias("nxt"))
+    onward = st.join(last, "trip").where("seq < last").groupBy("stop", "dep").agg(F.min(F.struct(F.col("dep").alias("at"), F.col("trip").alias("nxt"))).alias("x"))
+    # of a stop the next departure after each time at which somebody is ready: one window, no pairs of calls
+    ready = st.where("seq > 1").select("trip", "stop", (F.col("arr") + 120).alias("ready"))
+    asks = ready.select("stop", F.col("ready").alias("dep")).distinct().withColumn("x", F.lit(None).cast(onward.schema["x"].dataType)).withColumn("asks", F.lit(True))
+    after = Window.partitionBy("stop").orderBy(F.desc("dep")).rangeBetween(Window.unboundedPreceding, 0)
+    found = onward.withColumn("asks", F.lit(False)).unionByName(asks).select("stop", F.col("dep").alias("ready"), "asks", F.min("x").over(after).alias("x")).where("asks and x is not null")
+    onto = cut(ready.join(found, ["stop", "ready"]).groupBy("trip").agg(F.min("x").alias("x")).select("trip", "x.nxt"))
     two = onto.select(F.col("trip").alias("nxt"), F.col("nxt").alias("third"))
     c = F.col("trip")
     chains = onto.join(two, "nxt").select(c.alias("c"), (c * 97 % 86_400 - 300).alias("start"), F.lit(100_000).alias("cap"), F.array("trip", "nxt", "third").alias("trips"))
+    chains = cut(chains)
     at = lambda i, k: chains.select("c", F.col("trips")[i].alias("trip")).join(st, "trip").select("c", "stop", (F.col("stop") * k % 400).alias("seconds")).distinct()
-    return journeys.refined_chains(chains, st, spatial.footpaths(t.stops(spark, sf_dir)), at(0, 37), at(2, 53)).select("c", "cost")
+    walks = spatial.footpaths(t.stops(spark, sf_dir).join(st.select("stop").distinct(), "stop", "left_semi"))
+    return journeys.refined_chains(chains, st, walks, at(0, 37), at(2, 53)).select("c", "cost")
