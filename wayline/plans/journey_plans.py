@@ -40,7 +40,7 @@ ALL_ROUNDS = WALKS + "".join(ROUND.format(k=k, j=k - 1, slack=120 if k > 1 else
 def earliest_arrivals(spark, sf_dir):
     """Four rides, a walk before and after each. A boarding takes the next trip of each line at the stop, as the SQL's least over all trips of a first-in-first-out line."""
     walks = spatial.footpaths(t.stops(spark, sf_dir))
-    out = journeys.earliest_arrivals(_by_trip(day(spark, sf_dir)), walks, asked(spark, sf_dir), rounds=ROUNDS)
+    out = journeys.earliest_arrivals(_by_trip(day(spark, sf_dir)), walks, asked(spark, sf_dir), rounds=ROUNDS, told=False)
     return out.select("q", "stop", "round", "arr")
 
 
@@ -86,7 +86,7 @@ def fast(spark, sf_dir):
 def overtaking_arrivals(spark, sf_dir):
     """Earliest arrivals where trips overtake: the SQL takes the least over all trips."""
     walks = spatial.footpaths(t.stops(spark, sf_dir))
-    out = journeys.earliest_arrivals(pat.chained(fast(spark, sf_dir).where("service = 2")), walks, asked(spark, sf_dir), rounds=ROUNDS)
+    out = journeys.earliest_arrivals(pat.chained(fast(spark, sf_dir).where("service = 2")), walks, asked(spark, sf_dir), rounds=ROUNDS, told=False)
     return out.select("q", "stop", "round", "arr")
 
 
