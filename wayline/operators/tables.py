@@ -28,9 +28,13 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def tasks(spark: SparkSession) -> int:
-    """Tasks for a step that makes many rows of few: Spark would size it by the few that it reads and leave it to one or two."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+#: Rows of a step that one task takes, where they are counted.
+ROWS_A_TASK = 1_000_000
+
+
+def tasks(spark: SparkSession, rows: int = 0) -> int:
+    """Tasks for a step that makes many rows of few: Spark would size it by the few that it reads and leave it to one or two. With ``rows``, those that it makes, as many that none takes more than its share, however many there are."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK))
 
 
 def forget(spark: SparkSession) -> int:

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from wayline.operators import alerts, itineraries, journeys, spatial
 from wayline.operators import patterns as pat
-from wayline.operators.tables import cut
+from wayline.operators.tables import cut, tasks
 from wayline.plans import transit as t
 from wayline.registry import query
 
@@ -39,7 +39,7 @@ ALL_ROUNDS = WALKS + "".join(ROUND.format(k=k, j=k - 1, slack=120 if k > 1 else
 @query(t.sql(f"{ASKED_SQL}{ALL_ROUNDS} " + " UNION ALL ".join(f"SELECT q, stop, {k} AS round, arr FROM b{k}" for k in range(1, ROUNDS + 1))))
 def earliest_arrivals(spark, sf_dir):
     """Four rides, a walk before and after each. A boarding takes the next trip of each line at the stop, as the SQL's least over all trips of a first-in-first-out line."""
-    walks = spatial.footpaths(t.stops(spark, sf_dir))
+    walks = _walks(spark, sf_dir)
     out = journeys.earliest_arrivals(_by_trip(day(spark, sf_dir)), walks, asked(spark, sf_dir), rounds=ROUNDS, told=False)
     return out.select("q", "stop", "round", "arr")
 
@@ -54,18 +54,25 @@ LEGS_SQL = f"""{ASKED_SQL}{WALKS}{ROUND.format(k=1, j=0, slack=0)},
 @query(t.sql(LEGS_SQL))
 def journey_legs(spark, sf_dir):
     """Journeys of one ride, with their legs followed one by one: every leg begins where and not before the last one ends, walks take as long as the footpath says, the ride is that of a trip of the day, and the last leg ends at the stop at the time told."""
-    walks, st = spatial.footpaths(t.stops(spark, sf_dir)), day(spark, sf_dir)
+    walks, st = _walks(spark, sf_dir), cut(day(spark, sf_dir))
     ask = asked(spark, sf_dir)
-    found = journeys.earliest_arrivals(_by_trip(st), walks, ask, rounds=1)
-    legs = found.join(ask.select("q", F.col("stop").alias("start"), F.col("dep").alias("at")), "q").select("q", "stop", "arr", "start", "at", F.size("legs").alias("n"), "legs", F.posexplode("legs").alias("i", "leg"))
+    found = cut(journeys.earliest_arrivals(_by_trip(st), walks, ask, rounds=1).select("q", "stop", F.col("arr").alias("told"), "legs"))
+    n = tasks(spark, 2 * found.count())
+    legs = found.repartition(n, "q").join(ask.select("q", F.col("stop").alias("start"), F.col("dep").alias("at")), "q").select("q", "stop", "told", "start", "at", F.size("legs").alias("n"), "legs", F.posexplode("legs").alias("i", "leg"))
     before = F.get("legs", F.col("i") - 1)
     joined = (F.col("leg.board") == F.coalesce(before["alight"], F.col("start"))) & (F.col("leg.dep") >= F.coalesce(before["arr"], F.col("at")))
-    last = (F.col("i") < F.col("n") - 1) | ((F.col("leg.alight") == F.col("stop")) & (F.col("leg.arr") == F.col("arr")))
-    on, off = (st.select("trip", F.col("stop").alias(s), F.col(c).alias(f"{s}_at")) for s, c in (("board", "dep"), ("alight", "arr")))
-    rides = legs.where("leg.trip is not null").select("q", "stop", "i", "leg.*").join(on, ["trip", "board"]).join(off, ["trip", "alight"]).where("dep = board_at and arr = alight_at").select("q", "stop", "i").distinct()
-    feet = legs.where("leg.trip is null").select("q", "stop", "i", "leg.*").join(walks.select(F.col("a").alias("board"), F.col("b").alias("alight"), "seconds"), ["board", "alight"]).where("arr - dep = seconds").select("q", "stop", "i")
-    good = legs.where(joined & last).select("q", "stop", "arr", "n", "i", F.col("leg.trip").alias("trip")).join(rides.union(feet), ["q", "stop", "i"])
-    return good.groupBy("q", "stop", "arr", "n").agg(F.count("*").alias("held"), F.count("trip").alias("rides")).where("held = n").select("q", "stop", "arr", (F.col("rides") == 1).alias("ridden"))
+    last = (F.col("i") < F.col("n") - 1) | ((F.col("leg.alight") == F.col("stop")) & (F.col("leg.arr") == F.col("told")))
+    legs = legs.where(joined & last).select("q", "stop", "told", "n", "leg.*")
+    on, off = (st.select("trip", F.col("stop").alias(s), c).distinct() for s, c in (("board", "dep"), ("alight", "arr")))
+    rides = legs.where("trip is not null").repartition(n, "trip", "board", "dep").join(on, ["trip", "board", "dep"]).repartition(n, "trip", "alight", "arr").join(off, ["trip", "alight", "arr"])
+    feet = legs.where("trip is null").withColumn("seconds", F.col("arr") - F.col("dep")).repartition(n, "board", "alight", "seconds").join(walks.select(F.col("a").alias("board"), F.col("b").alias("alight"), "seconds"), ["board", "alight", "seconds"])
+    good = rides.select("q", "stop", "told", "n", "trip").unionByName(feet.select("q", "stop", "told", "n", "trip")).repartition(n, "q", "stop")
+    return good.groupBy("q", "stop", "told", "n").agg(F.count("*").alias("held"), F.count("trip").alias("rides")).where("held = n").select("q", "stop", F.col("told").alias("arr"), (F.col("rides") == 1).alias("ridden"))
+
+
+def _walks(spark, sf_dir):
+    """The walks between stops, written once: several steps read them."""
+    return cut(spatial.footpaths(t.stops(spark, sf_dir)).select("a", "b", "seconds"))
 
 
 def _by_trip(st):
@@ -85,7 +92,7 @@ def fast(spark, sf_dir):
 @query(t.sql(f"{FAST}{ASKED_SQL}{ALL_ROUNDS.replace('FROM stop_times WHERE', 'FROM fast WHERE')} " + " UNION ALL ".join(f"SELECT q, stop, {k} AS round, arr FROM b{k}" for k in range(1, ROUNDS + 1))))
 def overtaking_arrivals(spark, sf_dir):
     """Earliest arrivals where trips overtake: the SQL takes the least over all trips."""
-    walks = spatial.footpaths(t.stops(spark, sf_dir))
+    walks = _walks(spark, sf_dir)
     out = journeys.earliest_arrivals(pat.chained(fast(spark, sf_dir).where("service = 2")), walks, asked(spark, sf_dir), rounds=ROUNDS, told=False)
     return out.select("q", "stop", "round", "arr")
 
@@ -124,7 +131,7 @@ LATEST += "".join(LATE.format(k=k, j=k - 1, slack=120 if k > 1 else 0) for k in
 @query(t.sql(f"{ASKED_SQL}{LATEST} " + " UNION ALL ".join(f"SELECT q, stop, {k} AS round, dep FROM c{k}" for k in range(1, ROUNDS + 1))))
 def latest_departures(spark, sf_dir):
     """Arrive by a time: the latest departure from every stop."""
-    walks = spatial.footpaths(t.stops(spark, sf_dir))
+    walks = _walks(spark, sf_dir)
     by = asked(spark, sf_dir).select("q", "stop", (F.col("dep") + 3600).alias("arr"))
     return journeys.latest_departures(_by_trip(day(spark, sf_dir)), walks, by, rounds=ROUNDS)
 
