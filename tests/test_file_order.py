@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import pytest
 
+from wayline.operators import tables
 from wayline.sources import timetable_files as tf
 
 
@@ -41,3 +44,19 @@ def test_blocks_of_one_file(spark, tmp_path, small_blocks):
     df = tf.read_file(spark, path, "routes")
     assert df.rdd.getNumPartitions() > 3
     assert {r["route_id"]: r["route_short_name"] for r in tf.routes(df).collect()} == {f"r{i % 7}": f"name {i}" for i in range(893, 900)}
+
+
+def test_tasks_grow_with_the_files(spark, tmp_path, monkeypatch):
+    """Calls and trips are ordered in as many tasks as the files' bytes ask for; a trip that is asked for twice has its calls once, and of a call that repeats the first row stays."""
+    monkeypatch.setattr(tables, "BYTES_A_TASK", 500)
+    share = lambda path: sum(x.stat().st_size for x in Path(path).iterdir()) // 500
+    head = "trip_id,stop_id,stop_sequence,arrival_time,departure_time"
+    path = write(tmp_path / "times of day", *[[head] + [f"t{i},k{k},{i % 4},,08:00:{k:02d}" for i in range(400)] for k in range(3)])
+    ids = spark.createDataFrame([(f"t{i}",) for i in [*range(0, 400, 2), 0, 2]], "trip_id string")
+    for asked, n in ((None, 400), (ids, 200)):
+        out = tf.stop_times(tf.read_file(spark, path, "stop_times"), asked)
+        assert sorted(out.collect()) == sorted((f"t{i}", i % 4, "k0", 0, 28_800) for i in range(0, 400, 400 // n))
+    assert tf.stop_times(tf.read_file(spark, path, "stop_times")).rdd.getNumPartitions() >= share(path) > tables.tasks(spark)
+    path = write(tmp_path / "trips", *[["trip_id,route_id,service_id"] + [f"t{i},r{k},s" for i in range(400)] for k in range(3)])
+    out = tf.trips(tf.read_file(spark, path, "trips"))
+    assert out.rdd.getNumPartitions() >= share(path) > tables.tasks(spark) and {r["route_id"] for r in out.collect()} == {"r2"} and out.count() == 400

@@ -37,6 +37,18 @@ def tasks(spark: SparkSession, rows: int = 0) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK))
 
 
+#: Bytes of a text file whose rows one task takes, where the files are known.
+BYTES_A_TASK = 8_000_000
+
+
+def file_tasks(df: DataFrame) -> int:
+    """Tasks for a step on all rows of the files that df reads: as many that none takes more than its share of bytes, however large the files are."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f)) for f in df.inputFiles()]
+    return max(tasks(spark), -(-sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths) // BYTES_A_TASK))
+
+
 def forget(spark: SparkSession) -> int:
     """Deletes all tables that this application has written to the shared folder, the training-data operators' too; returns how many. For the end of a job: frames that read them can't be used after it."""
     jvm = spark.sparkContext._jvm

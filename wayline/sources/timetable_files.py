@@ -9,6 +9,7 @@ from pyspark.sql.utils import AnalysisException
 from wayline.functions.clock import seconds_of
 from wayline.functions.words import normalized
 from wayline.operators.records import one_of_each
+from wayline.operators.tables import file_tasks
 
 #: Columns that a file must have.
 REQUIRED = {"stops": ["stop_id", "stop_name"], "routes": ["route_id"], "trips": ["trip_id", "route_id", "service_id"], "stop_times": ["trip_id", "stop_id", "stop_sequence"], "calendar": ["service_id"], "calendar_dates": ["service_id", "date", "exception_type"], "shapes": ["shape_id", "shape_pt_sequence"]}
@@ -44,17 +45,22 @@ def _number(df: DataFrame, name: str, kind: str, default) -> Column:
     return F.coalesce(F.expr(f"try_cast(`{name}` AS {kind})"), F.lit(default).cast(kind)) if name in df.columns else F.lit(default).cast(kind)
 
 
+def _last(df: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """Of each key the row that stands last in the files. Rows are dealt by key to as many tasks as the file's bytes ask for, before any of them is ordered: a row carries its place, which is long."""
+    return one_of_each(rows.repartition(file_tasks(df), key), [key], [F.col("__row")], first=False).drop("__row")
+
+
 def stops(df: DataFrame) -> DataFrame:
     """Rows with id and name; of an id that repeats the last row stays."""
     rows = df.where((_text(df, "stop_id") != "") & (_text(df, "stop_name") != ""))
     out = rows.select("stop_id", _text(df, "stop_code").alias("stop_code"), "stop_name", _number(df, "stop_lat", "double", 0.0).alias("stop_lat"), _number(df, "stop_lon", "double", 0.0).alias("stop_lon"), normalized(F.col("stop_name")).alias("normalized_name"), "__row")
-    return one_of_each(out, ["stop_id"], [F.col("__row")], first=False).drop("__row")
+    return _last(df, out, "stop_id")
 
 
 def routes(df: DataFrame) -> DataFrame:
     short = F.coalesce(F.nullif(_text(df, "route_short_name"), F.lit("")), F.col("route_id"))
     out = df.where(_text(df, "route_id") != "").select("route_id", short.alias("route_short_name"), _text(df, "route_long_name").alias("route_long_name"), _number(df, "route_type", "int", 3).alias("route_type"), "__row")
-    return one_of_each(out, ["route_id"], [F.col("__row")], first=False).drop("__row")
+    return _last(df, out, "route_id")
 
 
 def trips(df: DataFrame, services: DataFrame | None = None) -> DataFrame:
@@ -63,18 +69,23 @@ def trips(df: DataFrame, services: DataFrame | None = None) -> DataFrame:
     if services is not None:
         out = out.join(services, "service_id", "left_semi")
     out = out.select("trip_id", "route_id", "service_id", _text(df, "trip_headsign").alias("headsign"), _number(df, "direction_id", "int", 0).alias("direction"), _text(df, "shape_id").alias("shape_id"), "__row")
-    return one_of_each(out, ["trip_id"], [F.col("__row")], first=False).drop("__row")
+    return _last(df, out, "trip_id")
 
 
 def stop_times(df: DataFrame, trip_ids: DataFrame | None = None) -> DataFrame:
-    """Rows with a stop and a whole-number place; departure as arrival where it is missing, arrival as 00:00:00. Of a (trip, place) that repeats the first row stays."""
+    """Rows with a stop and a whole-number place; departure as arrival where it is missing, arrival as 00:00:00. Of a (trip, place) that repeats the first row stays.
+
+    Rows meet the trips asked for, and one another, by trip, in as many tasks as the file's bytes ask for.
+    """
     seq = F.expr("try_cast(stop_sequence AS int)")
-    out = df.where((_text(df, "stop_id") != "") & seq.isNotNull())
-    if trip_ids is not None:
-        out = out.join(trip_ids, "trip_id", "left_semi")
     arr = F.coalesce(F.nullif(_text(df, "arrival_time"), F.lit("")), F.lit("00:00:00"))
     dep = F.coalesce(F.nullif(_text(df, "departure_time"), F.lit("")), arr)
-    out = out.select("trip_id", seq.alias("seq"), "stop_id", seconds_of(arr).alias("arr"), seconds_of(dep).alias("dep"), "__row")
+    out = df.where((_text(df, "stop_id") != "") & seq.isNotNull()).select("trip_id", seq.alias("seq"), "stop_id", seconds_of(arr).alias("arr"), seconds_of(dep).alias("dep"), "__row")
+    n = file_tasks(df)
+    if trip_ids is None:
+        out = out.repartition(n, "trip_id")
+    else:
+        out = out.join(trip_ids.select("trip_id").repartition(n, "trip_id").distinct(), "trip_id")
     return one_of_each(out, ["trip_id", "seq"], [F.col("__row")]).drop("__row")
 
 
