@@ -63,7 +63,7 @@ def journey_legs(spark, sf_dir):
     joined = (F.col("leg.board") == F.coalesce(before["alight"], F.col("start"))) & (F.col("leg.dep") >= F.coalesce(before["arr"], F.col("at")))
     last = (F.col("i") < F.col("n") - 1) | ((F.col("leg.alight") == F.col("stop")) & (F.col("leg.arr") == F.col("told")))
     legs = legs.where(joined & last).select("q", "stop", "told", "n", "leg.*")
-    on, off = (st.select("trip", F.col("stop").alias(s), c).distinct() for s, c in (("board", "dep"), ("alight", "arr")))
+    on, off = (st.select("trip", F.col("stop").alias(s), c).repartition(n, "trip", s, c).distinct() for s, c in (("board", "dep"), ("alight", "arr")))
     rides = legs.where("trip is not null").repartition(n, "trip", "board", "dep").join(on, ["trip", "board", "dep"]).repartition(n, "trip", "alight", "arr").join(off, ["trip", "alight", "arr"])
     feet = legs.where("trip is null").withColumn("seconds", F.col("arr") - F.col("dep")).repartition(n, "board", "alight", "seconds").join(walks.select(F.col("a").alias("board"), F.col("b").alias("alight"), "seconds"), ["board", "alight", "seconds"])
     good = rides.select("q", "stop", "told", "n", "trip").unionByName(feet.select("q", "stop", "told", "n", "trip")).repartition(n, "q", "stop")
