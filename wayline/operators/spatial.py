@@ -70,9 +70,10 @@ def within_distance(left: DataFrame, right: DataFrame, metres: float, spread: st
 
 
 def footpaths(stops: DataFrame, metres: float = 800.0, speed: float = 1.45, detour: float = 1.15, least: int = 45) -> DataFrame:
-    """(a, b, distance, seconds): walks between different stops (stop, lat, lon), both ways."""
-    side = lambda p: stops.select(F.col("stop").alias(p), F.col("lat").alias(f"{p}_lat"), F.col("lon").alias(f"{p}_lon"))
-    pairs = within_distance(side("a"), side("b"), metres).where("a <> b")
+    """(a, b, distance, seconds): walks between different stops (stop, lat, lon), both ways. With a column ``many``, stops for which it is true stand for several of a place and have a walk to themselves."""
+    side = lambda p, *more: stops.select(F.col("stop").alias(p), F.col("lat").alias(f"{p}_lat"), F.col("lon").alias(f"{p}_lon"), *more)
+    many = ["many"] if "many" in stops.columns else []
+    pairs = within_distance(side("a", *many), side("b"), metres).where("a <> b or many" if many else "a <> b")
     seconds = F.greatest(F.lit(least), F.floor(F.col("metres") * detour / speed + 0.5)).cast("long")
     return pairs.select("a", "b", F.floor(F.col("metres") + 0.5).cast("long").alias("distance"), seconds.alias("seconds"))
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,9 +33,19 @@ def cut(df: DataFrame) -> DataFrame:
 ROWS_A_TASK = 1_000_000
 
 
-def tasks(spark: SparkSession, rows: int = 0) -> int:
-    """Tasks for a step that makes many rows of few: Spark would size it by the few that it reads and leave it to one or two. With ``rows``, those that it makes, as many that none takes more than its share, however many there are."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK))
+def tasks(spark: SparkSession, rows: int = 0, share: int | None = None) -> int:
+    """Tasks for a step that makes many rows of few: Spark would size it by the few that it reads and leave it to one or two. With ``rows``, those that it makes, as many that none takes more than its ``share``, however many there are."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism, -(-rows // (share or ROWS_A_TASK)))
+
+
+#: Values of a key that stand in one array, about.
+SET = 256
+
+
+def dealt(rows: DataFrame, key: list[str], value: str, name: str) -> DataFrame:
+    """(*key, name): the values of each key in arrays of about ``SET``, as many arrays as a key needs: the other side of a join meets arrays, not values, and its task holds one of them."""
+    n = rows.groupBy(*key).agg(F.ceil(F.count("*") / SET).alias("__n"))
+    return rows.join(n, key).groupBy(*key, F.pmod(F.xxhash64(value), F.col("__n")).alias("__part")).agg(F.collect_list(value).alias(name)).drop("__part")
 
 
 #: Bytes of a text file whose rows one task takes, where the files are known.

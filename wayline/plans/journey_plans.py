@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wayline.operators import alerts, itineraries, journeys, spatial
+from wayline.operators import alerts, alike, itineraries, journeys, spatial
 from wayline.operators import patterns as pat
 from wayline.operators.tables import cut, tasks
 from wayline.plans import transit as t
@@ -116,8 +116,10 @@ def range_journeys(spark, sf_dir):
     s = F.col("s_suppkey")
     first = 21600 + s * 11 % 24 * 1800
     queries = t.read(spark, sf_dir, "supplier").select(s.alias("q"), s.alias("stop"), first.alias("first"), (first + SPAN).alias("last"))
-    walks = spatial.footpaths(t.stops(spark, sf_dir))
-    return journeys.range_arrivals(pat.chained(fast(spark, sf_dir).where("service = 2")), walks, queries, rounds=RANGE_ROUNDS)
+    calls = cut(pat.chained(fast(spark, sf_dir).where("service = 2")))
+    nodes, walks = alike.places(t.stops(spark, sf_dir), calls)
+    kinds, own = alike.asks(queries, nodes, "first", "last")
+    return alike.told(journeys.range_arrivals(calls, walks, kinds, rounds=RANGE_ROUNDS), nodes, own)
 
 
 LATE = """, l{k} AS (SELECT q.q, x.stop, max(x.dep) AS dep FROM c{j} q JOIN day y ON y.stop = q.stop AND y.arr <= q.dep - {slack} JOIN day x ON x.trip = y.trip AND x.seq < y.seq GROUP BY 1, 2),
