@@ -53,9 +53,10 @@ LEGS_SQL = f"""{ASKED_SQL}{WALKS}{ROUND.format(k=1, j=0, slack=0)},
 
 @query(t.sql(LEGS_SQL))
 def journey_legs(spark, sf_dir):
-    """Journeys of one ride, with their legs followed one by one: every leg begins where and not before the last one ends, walks take as long as the footpath says, the ride is that of a trip of the day, and the last leg ends at the stop at the time told."""
-    walks, st = _walks(spark, sf_dir), cut(day(spark, sf_dir))
-    ask = asked(spark, sf_dir)
+    """Journeys of one ride, with their legs followed one by one: every leg begins where and not before the last one ends, walks take as long as the footpath says, the ride is that of a trip of the day, and the last leg ends at the stop at the time told. Journeys of one kind (``alike``) are followed once."""
+    st = cut(day(spark, sf_dir))
+    nodes, walks = alike.places(t.stops(spark, sf_dir), st)
+    ask, own = alike.asks(asked(spark, sf_dir), nodes, "dep")
     found = cut(journeys.earliest_arrivals(_by_trip(st), walks, ask, rounds=1).select("q", "stop", F.col("arr").alias("told"), "legs"))
     n = tasks(spark, 2 * found.count())
     legs = found.repartition(n, "q").join(ask.select("q", F.col("stop").alias("start"), F.col("dep").alias("at")), "q").select("q", "stop", "told", "start", "at", F.size("legs").alias("n"), "legs", F.posexplode("legs").alias("i", "leg"))
@@ -67,7 +68,8 @@ def journey_legs(spark, sf_dir):
     rides = legs.where("trip is not null").repartition(n, "trip", "board", "dep").join(on, ["trip", "board", "dep"]).repartition(n, "trip", "alight", "arr").join(off, ["trip", "alight", "arr"])
     feet = legs.where("trip is null").withColumn("seconds", F.col("arr") - F.col("dep")).repartition(n, "board", "alight", "seconds").join(walks.select(F.col("a").alias("board"), F.col("b").alias("alight"), "seconds"), ["board", "alight", "seconds"])
     good = rides.select("q", "stop", "told", "n", "trip").unionByName(feet.select("q", "stop", "told", "n", "trip")).repartition(n, "q", "stop")
-    return good.groupBy("q", "stop", "told", "n").agg(F.count("*").alias("held"), F.count("trip").alias("rides")).where("held = n").select("q", "stop", F.col("told").alias("arr"), (F.col("rides") == 1).alias("ridden"))
+    held = good.groupBy("q", "stop", "told", "n").agg(F.count("*").alias("held"), F.count("trip").alias("rides")).where("held = n").select("q", "stop", F.col("told").alias("arr"), (F.col("rides") == 1).alias("ridden"))
+    return alike.told(held, nodes, own, "dep")
 
 
 def _walks(spark, sf_dir):
