@@ -44,6 +44,15 @@ def earliest_arrivals(spark, sf_dir):
     return out.select("q", "stop", "round", "arr")
 
 
+def _arrivals(spark, sf_dir, calls):
+    """Earliest arrivals of the journeys asked for at all stops: found for those of each kind, told for all."""
+    calls = cut(calls)
+    nodes, walks = alike.places(t.stops(spark, sf_dir), calls)
+    kinds, own = alike.asks(asked(spark, sf_dir), nodes, "dep")
+    found = journeys.earliest_arrivals(calls, walks, kinds, rounds=ROUNDS, told=False)
+    return alike.told(found.select("q", "stop", "round", "arr"), nodes, own, "dep")
+
+
 LEGS_SQL = f"""{ASKED_SQL}{WALKS}{ROUND.format(k=1, j=0, slack=0)},
   got AS (SELECT b1.q, b1.stop, b1.arr AS reached, f.stop AS board_at, f.arr AS ready, x.trip, x.dep, y.stop AS off_at, y.arr AS off, w.b AS walked_to, w.seconds
     FROM b1 JOIN b0 f ON f.q = b1.q JOIN day x ON x.stop = f.stop AND x.dep >= f.arr JOIN day y ON y.trip = x.trip AND y.seq > x.seq LEFT JOIN (SELECT * FROM walks UNION ALL SELECT stop, stop, 0 FROM stops) w ON w.a = y.stop
@@ -94,9 +103,7 @@ def fast(spark, sf_dir):
 @query(t.sql(f"{FAST}{ASKED_SQL}{ALL_ROUNDS.replace('FROM stop_times WHERE', 'FROM fast WHERE')} " + " UNION ALL ".join(f"SELECT q, stop, {k} AS round, arr FROM b{k}" for k in range(1, ROUNDS + 1))))
 def overtaking_arrivals(spark, sf_dir):
     """Earliest arrivals where trips overtake: the SQL takes the least over all trips."""
-    walks = _walks(spark, sf_dir)
-    out = journeys.earliest_arrivals(pat.chained(fast(spark, sf_dir).where("service = 2")), walks, asked(spark, sf_dir), rounds=ROUNDS, told=False)
-    return out.select("q", "stop", "round", "arr")
+    return _arrivals(spark, sf_dir, pat.chained(fast(spark, sf_dir).where("service = 2")))
 
 
 SPAN = 3600
