@@ -39,9 +39,7 @@ ALL_ROUNDS = WALKS + "".join(ROUND.format(k=k, j=k - 1, slack=120 if k > 1 else
 @query(t.sql(f"{ASKED_SQL}{ALL_ROUNDS} " + " UNION ALL ".join(f"SELECT q, stop, {k} AS round, arr FROM b{k}" for k in range(1, ROUNDS + 1))))
 def earliest_arrivals(spark, sf_dir):
     """Four rides, a walk before and after each. A boarding takes the next trip of each line at the stop, as the SQL's least over all trips of a first-in-first-out line."""
-    walks = _walks(spark, sf_dir)
-    out = journeys.earliest_arrivals(_by_trip(day(spark, sf_dir)), walks, asked(spark, sf_dir), rounds=ROUNDS, told=False)
-    return out.select("q", "stop", "round", "arr")
+    return _arrivals(spark, sf_dir, _by_trip(day(spark, sf_dir)))
 
 
 def _arrivals(spark, sf_dir, calls):
