@@ -79,11 +79,6 @@ def journey_legs(spark, sf_dir):
     return alike.told(held, nodes, own, "dep")
 
 
-def _walks(spark, sf_dir):
-    """The walks between stops, written once: several steps read them."""
-    return cut(spatial.footpaths(t.stops(spark, sf_dir)).select("a", "b", "seconds"))
-
-
 def _by_trip(st):
     """Calls by chains of trips that never overtake one another."""
     return pat.chained(st)
@@ -140,9 +135,12 @@ LATEST += "".join(LATE.format(k=k, j=k - 1, slack=120 if k > 1 else 0) for k in
 @query(t.sql(f"{ASKED_SQL}{LATEST} " + " UNION ALL ".join(f"SELECT q, stop, {k} AS round, dep FROM c{k}" for k in range(1, ROUNDS + 1))))
 def latest_departures(spark, sf_dir):
     """Arrive by a time: the latest departure from every stop."""
-    walks = _walks(spark, sf_dir)
-    by = asked(spark, sf_dir).select("q", "stop", (F.col("dep") + 3600).alias("arr"))
-    return journeys.latest_departures(_by_trip(day(spark, sf_dir)), walks, by, rounds=ROUNDS)
+    calls = cut(_by_trip(day(spark, sf_dir)))
+    nodes, walks = alike.places(t.stops(spark, sf_dir), calls)
+    kinds, own = alike.asks(asked(spark, sf_dir).select("q", "stop", (F.col("dep") + 3600).alias("arr")), nodes, "arr")
+    found = journeys.latest_departures(calls, walks, kinds, rounds=ROUNDS)
+    turned = alike.told(found.select("q", "stop", "round", (-F.col("dep")).alias("arr")), nodes, own.withColumn("arr", -F.col("arr")), "arr")
+    return turned.select("q", "stop", "round", (-F.col("arr")).alias("dep"))
 
 
 JOURNEYS_SQL = """j AS (SELECT o_custkey % 50 AS q, o_orderkey AS id, o_orderkey*97 % 7200 // 60 AS dep, o_orderkey*97 % 7200 // 60 + 20 + o_orderkey*31 % 90 AS arr, o_orderkey % 4 AS transfers FROM orders)"""
