@@ -84,3 +84,24 @@ def test_nearest_in_time_against_all_pairs(spark):
         gap = lambda t, d: abs((t - d + 43_200) % 86_400 - 43_200)
         want = [(k, t, *min((gap(t, d), d, n) for m, d, n in b if m == k)) for k, t in a]
         assert sorted(map(tuple, out.collect())) == sorted(w for w in want if w[2] <= most)
+
+
+def test_better_walks_of_crowded_places(spark, monkeypatch):
+    """Walks are made by sets of stops, however many a place has; better ones stand instead of them, both ways, and where there was none."""
+    from wayline.operators import tables
+
+    monkeypatch.setattr(tables, "SET", 3)
+    stops = [(i, 51.0 + i % 3 * 0.003, 17.0) for i in range(30)] + [(90, 52.0, 17.0), (91, None, None)]
+    s = spark.createDataFrame(stops, "stop long, lat double, lon double")
+    near = {(a, b): abs(a % 3 - b % 3) for a in range(30) for b in range(30) if a != b and abs(a % 3 - b % 3) < 3}
+    better = [(0, 3, 7), (0, 6, 7), (0, 1, 7), (4, 0, 8), (5, 90, 9), (77, 1, 9)]
+    both = {(a, b): x for a, b, x in better} | {(b, a): x for a, b, x in better}
+    walks = spatial.footpaths(s, 700.0)
+    got = {(r["a"], r["b"]): r["seconds"] for r in walks.collect()}
+    assert walks.count() == len(got) and set(got) == {k for k, d in near.items()}
+    frame = spark.createDataFrame(better, "a long, b long, seconds long")
+    out = spatial.replaced(s, frame, 700.0)
+    rows = [tuple(r) for r in out.collect()]
+    assert len(rows) == len(set(rows)) and {(a, b): x for a, b, x in rows} == {k: x for k, x in got.items() if k not in both} | both
+    monkeypatch.setattr(spatial, "PAIRS_TOLD", 9)
+    assert spatial.footpaths(s, 700.0).rdd.getNumPartitions() >= len(near) // 9, "as many tasks as the walks ask for"

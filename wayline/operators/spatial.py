@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wayline.functions.geometry import haversine
-from wayline.operators.tables import cut, tasks
+from wayline.operators.tables import cut, dealt, tasks
 
 #: Metres of the globe's radius, as the distance takes it.
 EARTH = 6_371_000
@@ -69,13 +69,39 @@ def within_distance(left: DataFrame, right: DataFrame, metres: float, spread: st
     return met.select(*left.columns, *right.columns, "metres")
 
 
+def _walk(speed: float, detour: float, least: int) -> Column:
+    return F.greatest(F.lit(least), F.floor(F.col("metres") * detour / speed + 0.5)).cast("long")
+
+
+#: Pairs that one task gives out; it holds none of them.
+PAIRS_TOLD = 4_000_000
+
+
+def _sets(stops: DataFrame, metres: float, out: DataFrame | None = None) -> DataFrame:
+    """(__as, __bs, metres): sets of stops (stop, lat, lon) at two places at most ``metres`` apart, dealt to as many tasks as their pairs ask for. With ``out`` (a, the two places, __out) also ``__better``: for stops of the first set what they have there in ``__out``."""
+    spot = ["a_lat", "a_lon", "b_lat", "b_lon"]
+    at = lambda p: stops.select("stop", F.col("lat").alias(f"{p}_lat"), F.col("lon").alias(f"{p}_lon"))
+    a, b = at("a"), at("b")
+    near = cut(near_places(a, b, metres))
+    n = lambda x, p: x.groupBy(f"{p}_lat", f"{p}_lon").agg(F.count("*").alias(f"__{p}"))
+    many = near.join(n(a, "a"), spot[:2]).join(n(b, "b"), spot[2:]).agg(F.sum(F.col("__a") * F.col("__b"))).first()[0] or 0
+    sets = near.join(dealt(a, spot[:2], "stop", "__as", out is not None), spot[:2])
+    if out is not None:
+        own = dealt(a, spot[:2], "stop", "__as", True).select(*spot[:2], "__part", F.explode("__as").alias("a"))
+        own = out.join(own, ["a", *spot[:2]]).groupBy(*spot, "__part").agg(F.map_from_entries(F.collect_set(F.struct("a", "__out"))).alias("__better"))
+        sets = sets.join(own, [*spot, "__part"], "left")
+    sets = sets.join(dealt(b, spot[2:], "stop", "__bs"), spot[2:])
+    return sets.repartition(tasks(stops.sparkSession, many, PAIRS_TOLD))
+
+
 def footpaths(stops: DataFrame, metres: float = 800.0, speed: float = 1.45, detour: float = 1.15, least: int = 45) -> DataFrame:
     """(a, b, distance, seconds): walks between different stops (stop, lat, lon), both ways. With a column ``many``, stops for which it is true stand for several of a place and have a walk to themselves."""
-    side = lambda p, *more: stops.select(F.col("stop").alias(p), F.col("lat").alias(f"{p}_lat"), F.col("lon").alias(f"{p}_lon"), *more)
-    many = ["many"] if "many" in stops.columns else []
-    pairs = within_distance(side("a", *many), side("b"), metres).where("a <> b or many" if many else "a <> b")
-    seconds = F.greatest(F.lit(least), F.floor(F.col("metres") * detour / speed + 0.5)).cast("long")
-    return pairs.select("a", "b", F.floor(F.col("metres") + 0.5).cast("long").alias("distance"), seconds.alias("seconds"))
+    if "many" in stops.columns:
+        side = lambda p, *more: stops.select(F.col("stop").alias(p), F.col("lat").alias(f"{p}_lat"), F.col("lon").alias(f"{p}_lon"), *more)
+        pairs = within_distance(side("a", "many"), side("b"), metres).where("a <> b or many")
+    else:
+        pairs = _sets(stops, metres).withColumn("a", F.explode("__as")).withColumn("b", F.explode("__bs")).where("a <> b")
+    return pairs.select("a", "b", F.floor(F.col("metres") + 0.5).cast("long").alias("distance"), _walk(speed, detour, least).alias("seconds"))
 
 
 def interchanges(first: DataFrame, second: DataFrame, hubs: DataFrame, metres: float = 600.0, hub_metres: float = 1500.0, hub_seconds: int = 600, speed: float = 1.45, detour: float = 1.15, least: int = 45) -> DataFrame:
@@ -88,10 +114,18 @@ def interchanges(first: DataFrame, second: DataFrame, hubs: DataFrame, metres: f
     return rows.groupBy("a", "b").agg(F.max("seconds").alias("seconds"))
 
 
-def replaced(paths: DataFrame, better: DataFrame) -> DataFrame:
-    """Walks (a, b, seconds) in which ``better`` stands, both ways, instead of those of the same pair."""
+def replaced(stops: DataFrame, better: DataFrame, metres: float = 800.0, speed: float = 1.45, detour: float = 1.15, least: int = 45) -> DataFrame:
+    """(a, b, seconds): the walks of ``footpaths`` in which ``better`` (a, b, seconds) stands, both ways, instead of those of the same pair.
+
+    Sets of stops at two places meet, each stop with those that it has better walks to there, so no walk is in a shuffle: the tasks that give them out make them.
+    """
     both = better.select("a", "b", "seconds").union(better.select("b", "a", "seconds"))
-    return paths.select("a", "b", "seconds").join(both, ["a", "b"], "left_anti").union(both)
+    at = lambda p: stops.select(F.col("stop").alias(p), F.col("lat").alias(f"{p}_lat"), F.col("lon").alias(f"{p}_lon"))
+    spot = ["a_lat", "a_lon", "b_lat", "b_lon"]
+    out = both.join(at("a"), "a").join(at("b"), "b").groupBy("a", *spot).agg(F.collect_set("b").alias("__out"))
+    pairs = _sets(stops, metres, out).withColumn("a", F.explode("__as")).withColumn("__out", F.try_element_at("__better", "a"))
+    plain = pairs.withColumn("b", F.explode(F.when(F.col("__out").isNull(), F.col("__bs")).otherwise(F.array_except("__bs", "__out")))).where("a <> b")
+    return plain.select("a", "b", _walk(speed, detour, least).alias("seconds")).union(both)
 
 
 def nearest(points: DataFrame, stops: DataFrame, k: int = 1, first_metres: float = 400.0, most_metres: float = 6400.0) -> DataFrame:

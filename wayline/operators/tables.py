@@ -42,10 +42,11 @@ def tasks(spark: SparkSession, rows: int = 0, share: int | None = None) -> int:
 SET = 256
 
 
-def dealt(rows: DataFrame, key: list[str], value: str, name: str) -> DataFrame:
-    """(*key, name): the values of each key in arrays of about ``SET``, as many arrays as a key needs: the other side of a join meets arrays, not values, and its task holds one of them."""
+def dealt(rows: DataFrame, key: list[str], value: str, name: str, numbered: bool = False) -> DataFrame:
+    """(*key, name), ``numbered`` with the array's number __part: the values of each key in arrays of about ``SET``, as many arrays as a key needs: the other side of a join meets arrays, not values, and its task holds one of them."""
     n = rows.groupBy(*key).agg(F.ceil(F.count("*") / SET).alias("__n"))
-    return rows.join(n, key).groupBy(*key, F.pmod(F.xxhash64(value), F.col("__n")).alias("__part")).agg(F.collect_list(value).alias(name)).drop("__part")
+    sets = rows.join(n, key).groupBy(*key, F.pmod(F.xxhash64(value), F.col("__n")).alias("__part")).agg(F.collect_list(value).alias(name))
+    return sets if numbered else sets.drop("__part")
 
 
 #: Bytes of a text file whose rows one task takes, where the files are known.

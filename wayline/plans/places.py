@@ -41,7 +41,7 @@ def interchanges(spark, sf_dir):
 def replaced_walks(spark, sf_dir):
     s = t.stops(spark, sf_dir)
     better = s.where("stop % 9 = 0").select(F.col("stop").alias("a"), (F.col("stop") + 1).alias("b"), F.lit(77).cast("long").alias("seconds"))
-    return sp.replaced(sp.footpaths(s, metres=2500.0), better)
+    return sp.replaced(s, better, metres=2500.0)
 
 
 @query(t.sql(f"""{POINTS} SELECT p, stop, floor(m + 0.5)::BIGINT AS metres, rank FROM (SELECT a.p, b.stop, {AB} AS m, row_number() OVER (PARTITION BY a.p ORDER BY {AB}, b.stop) AS rank FROM points a, stops b WHERE {AB} <= 6400) WHERE rank <= 3"""))
